@@ -1,0 +1,131 @@
+"""SQLite database files as a Spark data source.
+
+A file on storage that all executors mount is read in parallel by ranges of rowid::
+
+    spark.dataSource.register(SqliteSource)
+    spark.read.format("sqlite").option("path", file).option("table", "t").load()
+"""
+
+from __future__ import annotations
+
+import os
+import sqlite3
+from collections.abc import Callable, Iterator
+from contextlib import closing
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+
+# Rows handed over per Arrow batch.
+BATCH_ROWS = 10_000
+
+# Rowids read by one task.
+ROWS_PER_PARTITION = 1_000_000
+
+# Fragments of a declared type, and the Spark type they stand for.
+_AFFINITY = (
+    ("INT", T.LongType()),
+    ("CHAR", T.StringType()),
+    ("CLOB", T.StringType()),
+    ("TEXT", T.StringType()),
+    ("BLOB", T.BinaryType()),
+    ("REAL", T.DoubleType()),
+    ("FLOA", T.DoubleType()),
+    ("DOUB", T.DoubleType()),
+    ("NUM", T.DoubleType()),
+    ("DEC", T.DoubleType()),
+    ("BOOL", T.LongType()),
+)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _open(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+
+def _type_of(declared: str) -> T.DataType:
+    return next((dtype for part, dtype in _AFFINITY if part in declared.upper()), T.StringType())
+
+
+def user_tables(path: str) -> list[str]:
+    """Tables of a file, leaving out SQLite's own."""
+    with closing(_open(path)) as db:
+        rows = db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall()
+    return [name for (name,) in rows if not name.startswith("sqlite_")]
+
+
+class RowidRange(InputPartition):
+    def __init__(self, first: int, last: int):
+        self.first = first
+        self.last = last
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, path: str, table: str, schema: T.StructType, step: int):
+        self.path, self.table, self.schema, self.step = path, table, schema, step
+
+    def partitions(self) -> list[RowidRange]:
+        with closing(_open(self.path)) as db:
+            first, last = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+        if first is None:
+            return [RowidRange(0, -1)]
+        return [RowidRange(at, min(at + self.step - 1, last)) for at in range(first, last + 1, self.step)]
+
+    def read(self, partition: RowidRange) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(self.schema)
+        columns = ", ".join(_quoted(f.name) for f in self.schema)
+        query = f"SELECT {columns} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?"
+        with closing(_open(self.path)) as db:
+            cursor = db.execute(query, (partition.first, partition.last))
+            while rows := cursor.fetchmany(BATCH_ROWS):
+                arrays = [
+                    pa.array([_value(v, field.type) for v in values], field.type)
+                    for values, field in zip(zip(*rows), arrow)
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+
+def _value(value, dtype: pa.DataType):
+    """SQLite types values, not columns; bring a stray value to the column's type."""
+    if value is None:
+        return None
+    if pa.types.is_string(dtype):
+        return value if isinstance(value, str) else str(value)
+    if pa.types.is_integer(dtype):
+        return int(value)
+    if pa.types.is_floating(dtype):
+        return float(value)
+    return value if isinstance(value, bytes) else str(value).encode()
+
+
+class SqliteSource(DataSource):
+    """Options: ``path``, ``table`` and, if wanted, ``rowsPerPartition``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite"
+
+    def schema(self) -> T.StructType:
+        with closing(_open(self.options["path"])) as db:
+            columns = db.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
+        return T.StructType([T.StructField(c[1], _type_of(c[2] or "")) for c in columns])
+
+    def reader(self, schema: T.StructType) -> SqliteReader:
+        step = int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        return SqliteReader(self.options["path"], self.options["table"], schema, step)
+
+
+def sqlite_source(spark: SparkSession, path: str) -> tuple[list[str], Callable[[str], DataFrame]] | None:
+    """Table names and reader of a SQLite file for
+    :func:`frameops.sources.export.export_databases`; None if there is no such file."""
+    if not os.path.exists(path):
+        return None
+    spark.dataSource.register(SqliteSource)
+    reader = spark.read.format("sqlite").option("path", path)
+    return user_tables(path), lambda table: reader.option("table", table).load()
