@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frameops.catalog.registry import query
+from frameops.catalog import relational  # noqa: F401  (registers the queries recorded here)
+from frameops.catalog.registry import QUERIES, query
 from frameops.corpus import build, errors, prompts, screen
 from frameops.session import scratch_path
 from frameops.sources.tables import load_tables
@@ -270,12 +271,12 @@ def user_turns(t):
 
 @query(
     "SELECT conv_id, turn, unnest(['system', 'user', 'assistant', 'user', 'assistant', 'user']) AS role,"
-    " unnest(['Answer briefly.', 'Example?', 'An answer.', text, upper(text), 'Try again: ' || role]) AS content,"
+    " unnest(['Answer briefly.', 'Example?', 'An answer.', text, '> ' || text, 'Try again: ' || role]) AS content,"
     " unnest([0, 1, 2, 3, 4, 5]) AS position FROM conversations"
 )
 def chat_messages(t):
     messages = prompts.chat_messages("Answer briefly.", [("Example?", "An answer.")], F.col("text"))
-    repaired = prompts.repair_messages(messages, F.upper("text"), F.concat(F.lit("Try again: "), "role"))
+    repaired = prompts.repair_messages(messages, F.concat(F.lit("> "), "text"), F.concat(F.lit("Try again: "), "role"))
     rows = t.conversations.select("conv_id", "turn", F.posexplode(repaired).alias("position", "m"))
     return rows.select("conv_id", "turn", "m.role", "m.content", "position")
 
@@ -327,7 +328,8 @@ def _corpus_sql():
         names = {"q_0000": "o_orderstatus,n", "q_0001": "o_orderkey", "q_0002": "o_custkey,spent",
                  "q_0004": "l_partkey", "q_0006": "l_returnflag,quantity"}[qid]
         parts.append(
-            f"SELECT '{qid}', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END, count(*), '{names}' FROM ({sql})"
+            f"SELECT '{qid}' AS id, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS n_rows,"
+            f" '{names}' AS columns FROM ({sql})"
         )
     return " UNION ALL ".join(parts)
 
@@ -338,6 +340,14 @@ _TABLES_OF = {
 }
 
 
+def _table_counts():
+    """The tables of a record as text, ``name=rows``."""
+    entries = F.transform(
+        F.map_entries("tables"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["n_rows"].cast("string"))
+    )
+    return F.array_join(F.array_sort(entries), ",")
+
+
 @query(f"SELECT id, status, n_rows, columns FROM ({_corpus_sql()})")
 def question_outcomes(t):
     _, outcomes = _question_corpus(t)
@@ -351,40 +361,29 @@ def question_outcomes(t):
 )
 def question_records(t):
     records, _ = _question_corpus(t)
-    counts = F.transform(
-        F.array_sort(F.map_entries("tables")),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"]["n_rows"].cast("string")),
-    )
     return records.select(
-        "id", "db_id", "expected_n_rows", F.array_join(counts, ",").alias("tables"),
+        "id", "db_id", "expected_n_rows", _table_counts().alias("tables"),
         F.length("expected_output_hash").alias("hash_length"),
     )
 
 
-def _reference_names():
-    from frameops.catalog.registry import QUERIES
-
-    return [name for name, q in QUERIES.items() if q.tables]
-
+# The catalog queries that answer a reference question name the tables they use.
+_REFERENCES = {name: q for name, q in QUERIES.items() if q.tables}
 
-def reference_records(t):
-    """Records of every catalog query that answers one of the reference questions."""
-    from frameops.catalog.registry import QUERIES
 
-    names = _reference_names()
-    used = {name: QUERIES[name].tables for name in names}
-    tables = load_tables(t.spark, t.folder, sorted({x for ts in used.values() for x in ts}))
-    catalog = {name: (lambda _, q=QUERIES[name].run: q(t)) for name in names}
-    return build.build_references(t.spark, catalog, tables, used, scratch_path(t.spark, "reference-outputs"))
+def _references_sql():
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS id, (SELECT count(*) FROM ({q.sql})) AS n_rows, "
+        + " || ',' || ".join(f"'{x}=' || (SELECT count(*) FROM {x})" for x in sorted(q.tables))
+        + " AS tables"
+        for name, q in _REFERENCES.items()
+    )
 
 
-@query(
-    "SELECT count(*) AS n_orders, 25 AS n_ok FROM orders"
-)
-def reference_build(t):
-    records, outcomes = reference_records(t)
-    done = build.status_totals(outcomes).where(F.col("status") == "ok").select(F.col("n").cast("int").alias("n_ok"))
-    n_orders = records.where(F.col("id") == "count_by_status").select(
-        F.col("tables")["orders"]["n_rows"].alias("n_orders")
-    )
-    return n_orders.crossJoin(done)
+@query(_references_sql())
+def reference_records(t):
+    used = {name: q.tables for name, q in _REFERENCES.items()}
+    tables = load_tables(t.spark, t.folder, sorted({x for names in used.values() for x in names}))
+    catalog = {name: (lambda _, run=q.run: run(t)) for name, q in _REFERENCES.items()}
+    records, _ = build.build_references(t.spark, catalog, tables, used, scratch_path(t.spark, "reference-outputs"))
+    return records.select("id", F.col("expected_n_rows").alias("n_rows"), _table_counts().alias("tables"))

@@ -71,7 +71,7 @@ def compare_row_count(t):
     return _shown(compare(expected.where(F.col("l_linenumber") != 7), expected))
 
 
-@query(_verdict_sql("empty_actual", "SELECT 0", _ALL_LINES, _LINE_LIST, _LINE_LIST,
+@query(_verdict_sql("empty_actual", "SELECT CAST(0 AS BIGINT)", _ALL_LINES, _LINE_LIST, _LINE_LIST,
                     "'empty_actual: generated code produced an empty DataFrame'"))
 def compare_empty(t):
     expected = t.lineitem.select(*_LINES)
@@ -147,8 +147,8 @@ def _perturbed_orders(t):
 
 
 _COLUMN_COUNTS = """
-SELECT * FROM (VALUES (1, 'o_orderkey', 0), (2, 'o_custkey', 0)) v(position, "column", n_different)
-UNION ALL SELECT 3, 'o_totalprice', count(*) FROM orders WHERE o_custkey % 4 = 0 AND o_totalprice <> 0
+SELECT CAST(1 AS BIGINT) AS position, 'o_orderkey' AS "column", CAST(0 AS BIGINT) AS n_different
+UNION ALL SELECT 2, 'o_custkey', 0 UNION ALL SELECT 3, 'o_totalprice', count(*) FROM orders WHERE o_custkey % 4 = 0 AND o_totalprice <> 0
 UNION ALL SELECT 4, 'o_orderstatus', count(*) FROM orders WHERE o_orderkey % 10 = 3"""
 
 

@@ -411,7 +411,7 @@ def n_unique(t):
 
 @query(
     "SELECT source, count(DISTINCT quality) + CAST(coalesce(bool_or(quality IS NULL), false) AS INTEGER) AS n_unique,"
-    " count(quality) AS n_labelled, count(*) AS n_rows, coalesce(sum(toxic), 0) AS n_toxic"
+    " count(quality) AS n_labelled, count(*) AS n_rows, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS n_toxic"
     " FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"
 )
 def aggregates_with_nulls(t):

@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 
 from frameops.plans.batch import balanced_prefix
 
-# White space as Python's str.strip() sees it.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# White space as Python's str.strip() sees it.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Label and pattern of each misused call, in the order they are reported.
 ANTI_PATTERNS = (
@@ -47,7 +50,8 @@ UNCHECKED_LEVELS = ("constrained", "fast", "retry")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    """Trim white space at both ends; only the ends of the text are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_code_fence(text: Column) -> Column:
@@ -61,7 +65,7 @@ def final_assignment(code: Column) -> Column:
     text if the value is not in parentheses or they are never closed."""
     marker = "result ="
     after = F.substring_index(code, marker, -1)
-    value = F.regexp_replace(after, r"(?U)^[\s\x1c-\x1f]+", "")
+    value = F.ltrim(after, F.lit(WHITE_SPACE))
     closed = balanced_prefix(F.when(F.instr(code, marker) > 0, F.when(value.startswith("("), value)), "(", ")")
     return (
         F.when(F.instr(code, marker) == 0, code)

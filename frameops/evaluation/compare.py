@@ -33,7 +33,7 @@ def normalise(df: DataFrame, float_digits: int = FLOAT_DIGITS) -> DataFrame:
 def _normal(column: Column, dtype: T.DataType, digits: int) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.round(column, digits)
-    if isinstance(dtype, T.MapType):
+    if isinstance(dtype, T.MapType) and hashable(dtype.valueType):
         return F.array_sort(F.map_entries(column))
     if not hashable(dtype):
         return F.to_json(F.struct(column.alias("v")))

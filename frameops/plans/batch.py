@@ -215,8 +215,8 @@ def repair_plan(plan: Column, valid: Column) -> Column:
     """A parsed plan with repairable column names replaced, as in
     :func:`frameops.plans.run.repair_names`, given the array of known names."""
 
-    def fix_item(item: Column, key: str) -> Column:
-        return item.withField(key, _repair(item[key], valid))
+    def fix_item(key: str) -> Callable[[Column], Column]:
+        return lambda item: item.withField(key, _repair(item[key], valid))
 
     def fix_column(item: Column) -> Column:
         # Sort columns are objects, the others bare names.
@@ -237,7 +237,7 @@ def repair_plan(plan: Column, valid: Column) -> Column:
                     continue
                 fixed = fixed.withField(
                     items,
-                    F.when(kind == name, F.transform(operation[items], lambda i, k=key: fix_item(i, k)))
+                    F.when(kind == name, F.transform(operation[items], fix_item(key)))
                     .otherwise(fixed[items]),
                 )
         holders = [name for name, fields in NAME_FIELDS.items() if "columns" in dict(fields)]

@@ -28,7 +28,7 @@ def error_text(error: Exception) -> str:
 def private_session(spark: SparkSession) -> SparkSession:
     """A session with its own views over the same Spark application."""
     session = spark.newSession()
-    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions"):
         value = spark.conf.get(key, None)
         if value is not None:
             session.conf.set(key, value)
