@@ -207,9 +207,9 @@ def _float(name):
 def _hash_sql(table, names, fields, by=""):
     row = " || ',' || ".join(_field(f) for f in fields)
     pieces = ", ".join(
-        f"sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT) AS HUGEINT)) AS p{i}" for i in range(4)
+        f"sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT) AS HUGEINT)) AS p{i}" for i in range(2)
     )
-    joined = " || '|' || ".join(["'" + names + "'", "n", "p0", "p1", "p2", "p3"])
+    joined = " || '|' || ".join(["'" + names + "'", "n", "p0", "p1"])
     group = f"GROUP BY {by}" if by else ""
     keep = f"{by}, " if by else ""
     return (

@@ -8,18 +8,14 @@ small ones do not leave the cluster idle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import batched
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameops.evaluation.fingerprint import content_hash
-from frameops.session import scratch_path
-from frameops.sources.sqltext import error_text, private_session
+from frameops.jobs import QUERY_ERRORS, error_text, rows_of_jobs
+from frameops.sources.sqltext import private_session
 from frameops.sources.tables import declared_schema, row_counts
 
 OUTCOME_SCHEMA = (
@@ -27,9 +23,6 @@ OUTCOME_SCHEMA = (
 )
 STATUSES = ("ok", "empty", "failed")
 
-# Outcomes written to the shared folder together.
-OUTCOMES_PER_WRITE = 1_000
-
 
 @dataclass(frozen=True)
 class Job:
@@ -46,7 +39,7 @@ def _run(job: Job, out: str, keep_empty: bool) -> tuple:
         df.write.mode("overwrite").parquet(path)
         written = df.sparkSession.read.schema(df.schema).parquet(path)
         found = content_hash(written).first()
-    except (PySparkException, Py4JJavaError, ValueError, KeyError) as error:
+    except QUERY_ERRORS as error:
         return job.id, "failed", error_text(error), None, None, None, None
     if found["n_rows"] == 0 and not keep_empty:
         return job.id, "empty", None, None, None, 0, df.columns
@@ -61,13 +54,7 @@ def record_outputs(
     An outcome has the status (ok, empty or failed), the error, and the content hash,
     row count and columns of the written output.
     """
-    outcomes = scratch_path(spark, "outcomes")
-    spark.createDataFrame([], OUTCOME_SCHEMA).write.parquet(outcomes)
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        for some in batched(jobs, OUTCOMES_PER_WRITE):
-            rows = list(pool.map(lambda job: _run(job, out, keep_empty), some))
-            spark.createDataFrame(rows, OUTCOME_SCHEMA).coalesce(1).write.mode("append").parquet(outcomes)
-    return spark.read.schema(OUTCOME_SCHEMA).parquet(outcomes)
+    return rows_of_jobs(spark, jobs, lambda job: _run(job, out, keep_empty), OUTCOME_SCHEMA, at_once)
 
 
 def build_question_corpus(

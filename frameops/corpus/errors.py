@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameops.functions.scalar import let
+
 # Patterns that find the missing and the valid column names.
 MISSING_COLUMN = r'(?i)unable to find column\s+"([^"]+)"'
 VALID_COLUMNS = r"(?i)valid columns?:\s*\[([^\]]+)\]"
@@ -30,17 +32,20 @@ def error_class(message: Column) -> Column:
 
 def triage(message: Column) -> Column:
     """Struct of ``error_class``, ``missing_column``, ``valid_columns`` and ``excerpt``."""
-    kind = error_class(message)
-    named = kind == "missing_column"
-    excerpt = F.when(kind == "other", F.substring(message, 1, OTHER_LENGTH))
-    for name, length in ERROR_CLASSES:
-        excerpt = excerpt.when(kind == name, F.substring(message, 1, length))
-    return F.struct(
-        kind.alias("error_class"),
-        F.when(named, F.regexp_extract(message, MISSING_COLUMN, 1)).alias("missing_column"),
-        F.when(named, F.regexp_extract(message, VALID_COLUMNS, 1)).alias("valid_columns"),
-        excerpt.alias("excerpt"),
-    )
+
+    def parts(kind: Column) -> Column:
+        named = kind == "missing_column"
+        length = F.when(kind == "other", OTHER_LENGTH)
+        for name, characters in ERROR_CLASSES:
+            length = length.when(kind == name, characters)
+        return F.struct(
+            kind.alias("error_class"),
+            F.when(named, F.regexp_extract(message, MISSING_COLUMN, 1)).alias("missing_column"),
+            F.when(named, F.regexp_extract(message, VALID_COLUMNS, 1)).alias("valid_columns"),
+            F.substring(message, F.lit(1), length).alias("excerpt"),
+        )
+
+    return let(error_class(message), parts)
 
 
 def class_counts(df: DataFrame, message: str = "error") -> DataFrame:

@@ -118,12 +118,15 @@ def _verdict(n_actual: Column, n_expected: Column, n_different: Column) -> Colum
     )
 
 
-def compare(actual: DataFrame, expected: DataFrame, float_digits: int = FLOAT_DIGITS) -> DataFrame:
+def compare(
+    actual: DataFrame, expected: DataFrame, float_digits: int = FLOAT_DIGITS, previews: int = 0
+) -> DataFrame:
     """One row that says whether two frames hold the same rows, and if not why.
 
     Column order and row order are ignored, copies count, floats are rounded and
     nulls equal nulls. An empty actual frame never matches, even an empty expected
-    one. Everything is one lazy plan with a single shuffle of merged rows.
+    one. Everything is one lazy plan with a single shuffle of merged rows. With
+    ``previews``, the first rows of both frames are added as text.
     """
     missing, extra = column_difference(actual.columns, expected.columns)
     if missing or extra:
@@ -144,6 +147,7 @@ def compare(actual: DataFrame, expected: DataFrame, float_digits: int = FLOAT_DI
             )
             .withColumn("reason", _verdict(F.col("actual_n_rows"), F.col("expected_n_rows"), F.col("n_different")))
         )
+    shown = {"actual_preview": actual, "expected_preview": expected} if previews else {}
     return counts.select(
         (F.col("reason") == "match").alias("match"),
         "reason",
@@ -156,6 +160,7 @@ def compare(actual: DataFrame, expected: DataFrame, float_digits: int = FLOAT_DI
         summary_text(
             F.col("reason"), F.col("actual_n_rows"), F.col("expected_n_rows"), _list_text(missing), _list_text(extra)
         ).alias("summary"),
+        *[preview_text(df, previews).scalar().alias(name) for name, df in shown.items()],
     )
 
 
@@ -280,3 +285,12 @@ def detail_text(differences: DataFrame) -> DataFrame:
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows."""
     return df.limit(n)
+
+
+def preview_text(df: DataFrame, n: int = 5) -> DataFrame:
+    """First ``n`` rows as one text, a JSON object per line; ``<empty>`` if there are none."""
+    lines = preview(df, n).select(
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("line")
+    )
+    text = F.array_join(F.collect_list("line"), "\n")
+    return lines.agg(F.when(F.count(F.lit(1)) > 0, text).otherwise("<empty>").alias("text"))

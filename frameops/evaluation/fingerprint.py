@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 FLOAT_DIGITS = 6
 
-# The row hash is cut into pieces of this many hexadecimal digits (60 bits), which
-# are summed as decimals: 38 digits hold more than 10**19 rows.
+# Two pieces of the row hash, of this many hexadecimal digits (60 bits) each, are
+# summed as decimals: 38 digits hold the sum over more than 10**19 rows.
 _PIECE = 15
-_PIECES = 4
+_PIECES = 2
 
 
 def value_text(column: Column, dtype: T.DataType, digits: int = FLOAT_DIGITS) -> Column:

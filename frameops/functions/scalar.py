@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ def _column(value) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def true_divide(numerator, denominator) -> Column:
     """Floating division; by zero it gives +-infinity or NaN, never an error."""
     num = _column(numerator).cast("double")

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameops.functions.scalar import let
 from frameops.plans.run import NAME_FIELDS
 
 # What a plan may contain.
@@ -171,28 +172,40 @@ _OPERATION_CHECKS = {
 
 
 def _operation_ok(operation: Column) -> Column:
-    kind = F.try_variant_get(operation, "$.type", "string")
-    verdict = F.lit(False)
-    for name, checks in _OPERATION_CHECKS.items():
-        verdict = verdict | (F.coalesce(kind == name, F.lit(False)) & _all(checks, operation))
-    return verdict
+    def check(kind: Column) -> Column:
+        (first, checks), *others = _OPERATION_CHECKS.items()
+        verdict = F.when(kind == first, _all(checks, operation))
+        for name, checks in others:
+            verdict = verdict.when(kind == name, _all(checks, operation))
+        return verdict.otherwise(False)
+
+    return let(F.try_variant_get(operation, "$.type", "string"), check)
 
 
 def plan_problem(text: Column) -> Column:
     """What is wrong with a plan text, or null if it is a valid plan:
     ``malformed``, ``source_table``, ``operations`` or ``operation <n>``."""
-    plan = F.try_parse_json(text)
-    operations = F.try_variant_get(plan, "$.operations", "array<variant>")
-    verdicts = F.transform(operations, _operation_ok)
-    return (
-        F.when(plan.isNull() | ~_kind(plan).startswith("OBJECT"), "malformed")
-        .when(~_is_text(_field(plan, "source_table")), "source_table")
-        .when(operations.isNull(), "operations")
-        .when(
+
+    def first_bad(verdicts: Column) -> Column:
+        return F.when(
             F.array_contains(verdicts, False),
             F.concat(F.lit("operation "), F.array_position(verdicts, False).cast("string")),
         )
-    )
+
+    def judge(plan: Column) -> Column:
+        operations = F.try_variant_get(plan, "$.operations", "array<variant>")
+        return (
+            F.when(plan.isNull(), "malformed")
+            .when(~_is_text(_field(plan, "source_table")), "source_table")
+            .otherwise(
+                let(
+                    F.transform(operations, _operation_ok),
+                    lambda verdicts: F.when(verdicts.isNull(), "operations").otherwise(first_bad(verdicts)),
+                )
+            )
+        )
+
+    return let(F.try_parse_json(text), judge)
 
 
 def plan_valid(text: Column) -> Column:
@@ -219,14 +232,20 @@ def repair_plan(plan: Column, valid: Column) -> Column:
         return lambda item: item.withField(key, _repair(item[key], valid))
 
     def fix_column(item: Column) -> Column:
-        # Sort columns are objects, the others bare names.
-        name = F.try_variant_get(item, "$.name", "string")
-        bare = F.try_variant_get(item, "$", "string")
-        descending = F.coalesce(F.try_variant_get(item, "$.descending", "boolean"), F.lit(False))
-        as_object = F.to_json(F.struct(_repair(name, valid).alias("name"), descending.alias("descending")))
-        as_text = F.to_json(F.array(_repair(bare, valid)))
-        unwrapped = F.substring(as_text, F.lit(2), F.char_length(as_text) - 2)
-        return F.parse_json(F.when(name.isNotNull(), as_object).otherwise(unwrapped))
+        # Sort columns are objects, the others bare names; names that stay are not rewritten.
+        object_name = F.try_variant_get(item, "$.name", "string")
+
+        def rewrite(name: Column) -> Column:
+            repaired = _repair(name, valid)
+            descending = F.coalesce(F.try_variant_get(item, "$.descending", "boolean"), F.lit(False))
+            as_object = F.to_json(F.struct(repaired.alias("name"), descending.alias("descending")))
+            as_list = F.to_json(F.array(repaired))
+            as_text = F.substring(as_list, F.lit(2), F.char_length(as_list) - 2)
+            return F.when(name == repaired, item).otherwise(
+                F.parse_json(F.when(object_name.isNotNull(), as_object).otherwise(as_text))
+            )
+
+        return let(F.coalesce(object_name, F.try_variant_get(item, "$", "string")), rewrite)
 
     def fix(operation: Column) -> Column:
         kind = operation["type"]

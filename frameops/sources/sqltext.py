@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from frameops.jobs import QUERY_ERRORS, error_text
 from frameops.session import RUNTIME_SETTINGS, stage
 
 
@@ -19,12 +18,6 @@ class SqlOutcome:
     error: str | None
 
 
-def error_text(error: Exception) -> str:
-    """Type and first line of an error."""
-    lines = str(error).strip().splitlines() or [""]
-    return f"{type(error).__name__}: {lines[0]}"
-
-
 def private_session(spark: SparkSession) -> SparkSession:
     """A session with its own views over the same Spark application."""
     session = spark.newSession()
@@ -52,7 +45,7 @@ def execute_sql(
     try:
         result = spark.sql(sql)
         return SqlOutcome(True, stage(result, "sql") if run else result, None)
-    except (PySparkException, Py4JJavaError) as error:
+    except QUERY_ERRORS as error:
         return SqlOutcome(False, None, error_text(error))
     finally:
         for name in tables or {}:

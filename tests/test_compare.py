@@ -51,6 +51,12 @@ def test_reasons_have_an_order(base):
     assert (fewer.reason, fewer.summary) == ("row_count", "row_count: actual=2 expected=5")
 
 
+def test_previews(base):
+    verdict = compare(base.orderBy("k", "s").select("k", "s"), base.where("k > 99").select("k", "s"), previews=2).first()
+    assert verdict.actual_preview == '{"k":null,"s":"b"}\n{"k":1,"s":"a"}'
+    assert verdict.expected_preview == "<empty>"
+
+
 def test_copies_count(spark):
     one = spark.createDataFrame([(1,), (1,), (2,)], "a int")
     two = spark.createDataFrame([(1,), (2,), (2,)], "a int")

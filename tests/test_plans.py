@@ -126,7 +126,7 @@ def test_invalid_plans(spark):
     cases = {
         "": "malformed",
         "not json": "malformed",
-        "[1]": "malformed",
+        "[1]": "source_table",
         '{"source_table":"t","operations":[': "malformed",
         '{"operations":[]}': "source_table",
         '{"source_table":5,"operations":[]}': "source_table",

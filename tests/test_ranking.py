@@ -7,6 +7,7 @@ import pytest
 from helpers import physical_plan, rows_of
 
 from frameops.operators import ranking
+from frameops.operators.frame import sort
 from frameops.operators.ranking import aggregate_over, number_rows, rank, top_per_group
 from frameops.functions import aggregates as agg
 
@@ -137,6 +138,26 @@ def test_aggregate_over_equals_a_window_without_one(spark):
     assert "Window" not in physical_plan(found)
 
 
+def test_hot_group_is_spread_over_the_slices(spark, monkeypatch):
+    staged = []
+
+    def keep(df, label="stage", original=ranking.stage):
+        staged.append(original(df, label))
+        return staged[-1]
+
+    monkeypatch.setattr(ranking, "stage", keep)
+    df = spark.range(40_000).selectExpr("if(id % 3 < 2, 'hot', cast(id as string)) as g", "id % 20000 as v")
+    rank(df, "v", "dense", over="g", max_rows_per_task=0).count()
+    sizes = [r["count"] for r in staged[0].groupBy("__slice").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+
+
+def test_sort_spreads_a_hot_value(spark):
+    df = spark.range(20_000).selectExpr("if(id % 3 < 2, 0, id) as k", "id")
+    parts = [len(p) for p in sort(df, "k").rdd.glom().collect()]
+    assert max(parts) < 2 * sum(parts) / len(parts)
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         rank(spark.range(1), "id", "first")
