@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted join names -> kind of join.
@@ -41,12 +41,19 @@ def join(
     right_on: str | Sequence[str] | None = None,
     how: str = "inner",
     suffix: str = "_right",
+    hot: str | None = None,
 ) -> DataFrame:
     """Join two frames on equal keys; null keys match nothing.
 
     inner / left keep the left key columns, right keeps the right ones, full
     keeps both. A right column whose name is taken gets ``suffix``.
+
+    An outer join can be split at a hot key of the side it keeps whole. Where the
+    other side may hold a hot key, say so with ``hot`` ("left", "right" or "both"):
+    the join is then made of parts that can be split at either side.
     """
+    if hot not in (None, "left", "right", "both"):
+        raise ValueError(f"unknown side {hot!r}")
     kind = KINDS[how]
     if kind == "cross":
         if on or left_on or right_on:
@@ -65,7 +72,7 @@ def join(
     if kind in ("left_semi", "left_anti"):
         # Distinct keys are reduced before the shuffle, so a hot right key is one row.
         keys = renamed.select(*[private[k] for k in right_keys]).distinct()
-        return left.join(keys, _on(left_keys, right_keys, private), kind)
+        return left.join(keys, _equal(left_keys, [private[k] for k in right_keys]), kind)
 
     kept_left = [c for c in left.columns if not (kind == "right" and c in left_keys)]
     kept_right = [c for c in right.columns if not (kind in ("inner", "left") and c in right_keys)]
@@ -79,29 +86,42 @@ def join(
 
     if kind == "cross":
         joined = left.crossJoin(renamed)
-    elif kind == "full":
-        joined = _full(left, renamed, left_keys, [private[k] for k in right_keys])
+    elif kind == "full" or (kind == "left" and hot in ("right", "both")) or (kind == "right" and hot in ("left", "both")):
+        joined = _in_parts(left, renamed, left_keys, [private[k] for k in right_keys], kind, hot in ("right", "both"))
     else:
-        joined = left.join(renamed, _on(left_keys, right_keys, private), kind)
+        joined = left.join(renamed, _equal(left_keys, [private[k] for k in right_keys]), kind)
     return joined.select(
         *[F.col(f"`{c}`") for c in kept_left],
         *[F.col(private[c]).alias(output[c]) for c in kept_right],
     )
 
 
-def _on(left_keys, right_keys, private):
-    return reduce(and_, [F.col(f"`{l}`") == F.col(private[r]) for l, r in zip(left_keys, right_keys)])
+def _equal(left_keys: Sequence[str], right_keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(f"`{l}`") == F.col(f"`{r}`") for l, r in zip(left_keys, right_keys)])
+
 
+def _alone(df: DataFrame, keys: list[str], other: DataFrame, other_keys: list[str]) -> DataFrame:
+    """Rows of ``df`` without a partner, found by the distinct keys of the other frame."""
+    probe = [f"__probe_{i}" for i in range(len(keys))]
+    known = other.select(*[F.col(f"`{k}`").alias(p) for k, p in zip(other_keys, probe)]).distinct()
+    return df.join(known, _equal(keys, probe), "left_anti")
 
-def _full(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
-    """Full outer join as a left join plus the right rows without a partner.
 
-    Adaptive execution can split a hot partition of a left or anti join but not
-    of a full outer join, and a small right side can still be broadcast. The
-    anti join looks only at the distinct left keys, reduced before the shuffle.
+def _in_parts(
+    left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], kind: str, hot_right: bool
+) -> DataFrame:
+    """An outer join as the union of its matches and the rows without a partner.
+
+    Adaptive execution splits hot partitions on both sides of an inner join, on the
+    left of a left or anti join, and not at all in a full outer join. In parts, a hot
+    key on any side can be split, and a small side can still be broadcast.
     """
-    both = left.join(right, reduce(and_, [F.col(f"`{l}`") == F.col(r) for l, r in zip(left_keys, right_keys)]), "left")
-    probe = [f"__probe_{i}" for i in range(len(left_keys))]
-    keys = left.select(*[F.col(f"`{l}`").alias(p) for l, p in zip(left_keys, probe)]).distinct()
-    alone = right.join(keys, reduce(and_, [F.col(r) == F.col(p) for r, p in zip(right_keys, probe)]), "left_anti")
-    return both.unionByName(alone, allowMissingColumns=True)
+    if kind == "full" and not hot_right:
+        parts = [left.join(right, _equal(left_keys, right_keys), "left")]
+    else:
+        parts = [left.join(right, _equal(left_keys, right_keys), "inner")]
+        if kind in ("left", "full"):
+            parts.append(_alone(left, left_keys, right, right_keys))
+    if kind in ("right", "full"):
+        parts.append(_alone(right, right_keys, left, left_keys))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

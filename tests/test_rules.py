@@ -181,6 +181,18 @@ def test_full_join_keeps_both_keys_and_all_rows(pair):
     assert "FullOuter" not in physical_plan(joined)
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+@pytest.mark.parametrize("hot", ["left", "right", "both"])
+def test_outer_joins_in_parts_give_the_same_rows(pair, how, hot):
+    assert rows_of(join(*pair, on="id", how=how, hot=hot)) == rows_of(join(*pair, on="id", how=how))
+    assert join(*pair, on="id", how=how, hot=hot).columns == join(*pair, on="id", how=how).columns
+
+
+def test_hot_names_a_side(pair):
+    with pytest.raises(ValueError):
+        join(*pair, on="id", how="left", hot="top")
+
+
 def test_right_join_keeps_the_right_key(pair):
     joined = join(*pair, on="id", how="right")
     assert joined.columns == ["name", "id", "name_right"]
