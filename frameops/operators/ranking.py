@@ -51,13 +51,13 @@ def running_before(
     """Add, per measure, its sum over the rows sorted before this one in its group.
 
     ``order`` must tell the rows of a group apart. The range-partitioned rows are
-    staged, so the slice of a row is the same wherever it is read.
+    staged, so the slice of a row is the same wherever it is read. Adaptive execution
+    may merge small neighbouring slices, which keeps them in order.
     """
-    slices = shuffle_partitions(df.sparkSession)
     group_order = [F.col(f"`{c}`").asc_nulls_first() for c in over]
     sliced = stage(
         df.withColumns(dict(measures))
-        .repartitionByRange(slices, *group_order, *order)
+        .repartitionByRange(*group_order, *order)
         .withColumn("__slice", F.spark_partition_id()),
         "slices",
     ).withColumn("__group", _group_key(over))
@@ -177,7 +177,8 @@ def _expand_copies(placed: DataFrame, columns: Sequence[str], name: str) -> Data
     chunks = placed.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {COPIES_PER_CHUNK}"))))
     most = placed.agg(F.max("__n")).first()[0] or 0
     if most > COPIES_PER_CHUNK:
-        # Spread the chunks of a hot row before they grow back to full size.
+        # Spread the chunks of a hot row before they grow back to full size. The number
+        # is given because chunks look small and would be merged into few partitions.
         chunks = chunks.repartition(shuffle_partitions(placed.sparkSession), "__copies_before", "__chunk")
     first = F.col("__chunk") * COPIES_PER_CHUNK
     last = F.least(first + COPIES_PER_CHUNK, F.col("__n")) - 1
