@@ -181,6 +181,13 @@ def column_set_difference(t):
     )
 
 
+@query(_verdict_sql("match", "SELECT count(*) FROM documents", "SELECT count(*) FROM documents",
+                    "text,doc_id,n_chars", "doc_id,text,n_chars", "'match'"))
+def compare_long_texts(t):
+    expected = t.documents.select("doc_id", "text", "n_chars")
+    return _shown(compare(expected.select("text", "doc_id", "n_chars"), expected))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7, 3) AS part FROM lineitem")
 def normalise_floats(t):
     slim = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 7).alias("part"))

@@ -10,7 +10,13 @@ from frameops.session import scratch_path
 from frameops.sources import records
 from frameops.sources.export import export_databases
 from frameops.sources.sqltext import execute_sql
-from frameops.sources.tables import declared_schema, load_database, load_tables, row_counts
+from frameops.sources.tables import (
+    load_database,
+    load_expected,
+    load_tables,
+    row_counts,
+    write_frame,
+)
 
 _NAMES = (
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
@@ -28,6 +34,17 @@ def table_scan(t):
     return load_tables(t.spark, t.folder)["lineitem"].select("l_orderkey", "l_partkey", "l_quantity")
 
 
+@query(
+    "SELECT 'per_segment' AS \"table\", count(DISTINCT c_mktsegment) AS n_rows FROM customer"
+    " UNION ALL SELECT 'per_status', count(DISTINCT o_orderstatus) FROM orders"
+)
+def expected_outputs(t):
+    folder = scratch_path(t.spark, "expected")
+    write_frame(t.customer.groupBy("c_mktsegment").count(), f"{folder}/per_segment.parquet")
+    write_frame(t.orders.groupBy("o_orderstatus").count(), f"{folder}/per_status.parquet")
+    return row_counts(load_expected(t.spark, folder))
+
+
 @query(
     "SELECT count(*) AS n_rows, 'o_orderkey:Int64,o_custkey:Int64,o_orderstatus:Utf8,o_totalprice:Float64,"
     "o_orderdate:Datetime,o_orderpriority:Utf8' AS declared FROM orders"

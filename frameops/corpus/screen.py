@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameops.functions.scalar import let
 from frameops.plans.batch import balanced_prefix
 
 # White space as Python's str.strip() sees it.
@@ -83,10 +84,13 @@ def anti_patterns(code: Column) -> Column:
 def unknown_column(code: Column, columns: Column) -> Column:
     """First referenced column that is neither known nor an alias anywhere in the
     code; null if there is none or if nothing is known to check against."""
-    known = F.array_union(columns, F.regexp_extract_all(code, F.lit(ALIAS), F.lit(1)))
     used = F.regexp_extract_all(code, F.lit(COLUMN_REFERENCE), F.lit(1))
-    unknown = F.filter(used, lambda name: ~F.array_contains(known, name))
-    return F.when(F.size(known) > 0, F.get(unknown, F.lit(0)))
+
+    def first_stray(known: Column) -> Column:
+        strays = F.filter(used, lambda name: ~F.array_contains(known, name))
+        return F.when(F.size(known) > 0, F.get(strays, F.lit(0)))
+
+    return let(F.array_union(columns, F.regexp_extract_all(code, F.lit(ALIAS), F.lit(1))), first_stray)
 
 
 @F.pandas_udf(T.StringType())
@@ -109,21 +113,27 @@ def syntax_error(code: pd.Series) -> pd.Series:
 
 def verdict(code: Column, columns: Column, error: Column) -> Column:
     """``ok`` or the first reason to reject the code. ``error`` is its syntax error."""
+    misused = F.coalesce(*[F.when(code.rlike(pattern), F.lit(label)) for label, pattern in ANTI_PATTERNS])
     stray = unknown_column(code, columns)
-    misused = F.get(anti_patterns(code), F.lit(0))
     return (
         F.when(F.coalesce(strip(code) == "", F.lit(True)), "empty")
         .when(error.isNotNull(), F.concat(F.lit("syntax_error: "), error))
         .when(~(code.contains("result =") | code.contains("result=")), "missing_result_assignment")
-        .when(misused.isNotNull(), F.concat(F.lit("hallucinated_api: "), misused))
-        .when(stray.isNotNull(), F.concat(F.lit("unknown_column: '"), stray, F.lit("'")))
-        .otherwise("ok")
+        # The concatenations are null, and skipped, where nothing was found.
+        .otherwise(
+            F.coalesce(
+                F.concat(F.lit("hallucinated_api: "), misused),
+                F.concat(F.lit("unknown_column: '"), stray, F.lit("'")),
+                F.lit("ok"),
+            )
+        )
     )
 
 
 def screen(df: DataFrame, code: str = "code", columns: str = "valid_columns") -> DataFrame:
     """Add ``reason`` (the verdict) and ``ok`` to a table of code."""
-    checked = df.withColumn("__syntax", syntax_error(F.col(code)))
+    written = F.when(strip(F.col(code)) != "", F.col(code))
+    checked = df.withColumn("__syntax", syntax_error(written))
     judged = checked.withColumn("reason", verdict(F.col(code), F.col(columns), F.col("__syntax")))
     return judged.withColumn("ok", F.col("reason") == "ok").drop("__syntax")
 

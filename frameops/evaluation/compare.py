@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameops.functions.scalar import named
 from frameops.operators.frame import hashable
 from frameops.operators.ranking import number_rows
 
@@ -27,12 +26,14 @@ def column_difference(actual: Sequence[str], expected: Sequence[str]) -> tuple[l
 def normalise(df: DataFrame, float_digits: int = FLOAT_DIGITS) -> DataFrame:
     """Round floating columns; a map becomes its sorted entries so that it can be
     grouped. No sorting of rows is needed to compare frames as multisets."""
-    return df.select(*[_normal(F.col(f"`{f.name}`"), f.dataType, float_digits).alias(f.name) for f in df.schema])
+    return df.select(*[_normal(named(f.name), f.dataType, float_digits).alias(f.name) for f in df.schema])
 
 
 def _normal(column: Column, dtype: T.DataType, digits: int) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.round(column, digits)
+    if isinstance(dtype, T.NullType):
+        return column.cast("string")
     if isinstance(dtype, T.MapType) and hashable(dtype.valueType):
         return F.array_sort(F.map_entries(column))
     if not hashable(dtype):
@@ -52,32 +53,44 @@ def comparable(left: T.DataType, right: T.DataType) -> bool:
     return T.NullType() in (left, right) or type(left) is type(right)
 
 
-def _counted(actual: DataFrame, expected: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
+def _digest(column: Column, dtype: T.DataType) -> Column:
+    """A long text replaced by a SHA-256 of all of it, so that comparing wide rows moves
+    digests only. A digest is longer than any text that is kept."""
+    if isinstance(dtype, T.StringType):
+        return F.when(F.octet_length(column) > 64, F.concat(F.lit("#"), F.sha2(column, 256))).otherwise(column)
+    return F.sha2(column, 256) if isinstance(dtype, T.BinaryType) else column
+
+
+def _counted(
+    actual: DataFrame, expected: DataFrame, columns: Sequence[str], digits: int, digest: Sequence[str] = ()
+) -> DataFrame:
     """Every distinct row with its number of copies on either side.
 
     One union and one aggregation: copies are merged before the shuffle and no
-    join is needed. Columns of types that cannot be equal never share a row.
+    join is needed. Columns of types that cannot be equal never share a row. Long
+    texts in the ``digest`` columns stand for themselves by digest.
     """
     sides = []
     clash = any(not comparable(actual.schema[c].dataType, expected.schema[c].dataType) for c in columns)
     for frame, side in ((actual, "a"), (expected, "e")):
-        rows = normalise(frame.select(*[F.col(f"`{c}`") for c in columns]), digits)
+        rows = normalise(frame.select(*[named(c) for c in columns]), digits)
         if clash:
             rows = rows.select(
                 *[
-                    F.col(f"`{c}`")
+                    named(c)
                     if comparable(actual.schema[c].dataType, expected.schema[c].dataType)
-                    else F.to_json(F.struct(F.col(f"`{c}`").alias(side))).alias(c)
+                    else F.to_json(F.struct(named(c).alias(side))).alias(c)
                     for c in columns
                 ]
             ).withColumn("__side", F.lit(side))
+        rows = rows.withColumns({c: _digest(named(c), rows.schema[c].dataType) for c in digest})
         sides.append(
             rows.withColumns(
                 {"__a": F.lit(int(side == "a")).cast("long"), "__e": F.lit(int(side == "e")).cast("long")}
             )
         )
     both = sides[0].unionByName(sides[1])
-    keys = [F.col(f"`{c}`") for c in both.columns if c not in ("__a", "__e")]
+    keys = [named(c) for c in both.columns if c not in ("__a", "__e")]
     return both.groupBy(*keys).agg(F.sum("__a").alias("__a"), F.sum("__e").alias("__e"))
 
 
@@ -85,7 +98,7 @@ def difference(actual: DataFrame, expected: DataFrame, float_digits: int = FLOAT
     """Rows with a different number of copies: ``n_actual`` against ``n_expected``."""
     rows = _counted(actual, expected, expected.columns, float_digits).where(F.col("__a") != F.col("__e"))
     return rows.select(
-        *[F.col(f"`{c}`") for c in expected.columns], F.col("__a").alias("n_actual"), F.col("__e").alias("n_expected")
+        *[named(c) for c in expected.columns], F.col("__a").alias("n_actual"), F.col("__e").alias("n_expected")
     )
 
 
@@ -139,7 +152,7 @@ def compare(
         )
     else:
         counts = (
-            _counted(actual, expected, expected.columns, float_digits)
+            _counted(actual, expected, expected.columns, float_digits, digest=expected.columns)
             .agg(
                 F.coalesce(F.sum("__a"), F.lit(0)).alias("actual_n_rows"),
                 F.coalesce(F.sum("__e"), F.lit(0)).alias("expected_n_rows"),
@@ -178,8 +191,8 @@ def compare_by(
     if missing or extra:
         raise ValueError(f"frames differ in columns: missing {missing}, extra {extra}")
     counts = (
-        _counted(actual, expected, columns, float_digits)
-        .groupBy(*by)
+        _counted(actual, expected, columns, float_digits, digest=[c for c in columns if c not in by])
+        .groupBy(*map(named, by))
         .agg(
             F.sum("__a").alias("actual_n_rows"),
             F.sum("__e").alias("expected_n_rows"),
@@ -188,7 +201,7 @@ def compare_by(
         .withColumn("reason", _verdict(F.col("actual_n_rows"), F.col("expected_n_rows"), F.col("n_different")))
     )
     return counts.select(
-        *by,
+        *map(named, by),
         (F.col("reason") == "match").alias("match"),
         "reason",
         "actual_n_rows",
@@ -215,10 +228,10 @@ def differing_columns(
         return _differing_by_key(actual, expected, keys, columns, float_digits)
     frames = []
     for frame, prefix in ((actual, "a"), (expected, "e")):
-        rows = normalise(frame.select(*[F.col(f"`{c}`") for c in columns]), float_digits)
+        rows = normalise(frame.select(*[named(c) for c in columns]), float_digits)
         numbered = number_rows(rows, columns, name="__position")
         frames.append(
-            numbered.select("__position", F.struct(*[F.col(f"`{c}`") for c in columns]).alias(f"__{prefix}"))
+            numbered.select("__position", F.struct(*[named(c) for c in columns]).alias(f"__{prefix}"))
         )
     paired = frames[0].join(frames[1], "__position", "full")
     return _count_differences(paired, columns)
@@ -227,12 +240,12 @@ def differing_columns(
 def _differing_by_key(actual, expected, keys, columns, digits) -> DataFrame:
     sides = []
     for frame, side in ((actual, "a"), (expected, "e")):
-        rows = normalise(frame.select(*[F.col(f"`{c}`") for c in columns]), digits)
-        row = F.struct(*[F.col(f"`{c}`") for c in columns])
+        rows = normalise(frame.select(*[named(c) for c in columns]), digits)
+        row = F.struct(*[named(c) for c in columns])
         nothing = F.lit(None)
         sides.append(
             rows.select(
-                F.struct(*[F.col(f"`{c}`") for c in keys]).alias("__key"),
+                F.struct(*[named(c) for c in keys]).alias("__key"),
                 (row if side == "a" else nothing).alias("__a"),
                 (row if side == "e" else nothing).alias("__e"),
             )
@@ -290,7 +303,7 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 def preview_text(df: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows as one text, a JSON object per line; ``<empty>`` if there are none."""
     lines = preview(df, n).select(
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("line")
+        F.to_json(F.struct(*[named(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("line")
     )
     text = F.array_join(F.collect_list("line"), "\n")
     return lines.agg(F.when(F.count(F.lit(1)) > 0, text).otherwise("<empty>").alias("text"))

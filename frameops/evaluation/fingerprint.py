@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameops.functions.scalar import named
+
 FLOAT_DIGITS = 6
 
 # Two pieces of the row hash, of this many hexadecimal digits (60 bits) each, are
-# summed as decimals: 38 digits hold the sum over more than 10**19 rows.
+# summed. Each is summed in three limbs of 20 bits: plain long sums that hold 2**43
+# rows, put together as decimals at the end.
 _PIECE = 15
 _PIECES = 2
+_LIMB = 20
+_LIMBS = 3
 
 
 def value_text(column: Column, dtype: T.DataType, digits: int = FLOAT_DIGITS) -> Column:
@@ -44,23 +49,45 @@ def row_text(df: DataFrame, digits: int = FLOAT_DIGITS) -> Column:
     share a text; null is told apart from every string."""
     parts = []
     for field in df.schema:
-        text = value_text(F.col(f"`{field.name}`"), field.dataType, digits)
+        text = value_text(named(field.name), field.dataType, digits)
         parts.append(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("N")))
     return F.concat_ws(",", *parts)
 
 
-def _pieces(df: DataFrame, digits: int) -> list[Column]:
-    hashed = F.sha2(row_text(df, digits), 256)
-    return [
-        F.sum(F.conv(F.substring(hashed, 1 + i * _PIECE, _PIECE), 16, 10).cast("decimal(38,0)")).alias(f"piece_{i}")
+def _hashed(df: DataFrame, by: Sequence[str], digits: int) -> DataFrame:
+    """The ``by`` columns and the pieces of every row's hash as longs."""
+    rest = df.select(*[named(c) for c in df.columns if c not in by])
+    hashed = df.select(*[named(c) for c in by], F.sha2(row_text(rest, digits), 256).alias("__hash"))
+    return hashed.select(
+        *[named(c) for c in by],
+        *[
+            F.conv(F.substring("__hash", 1 + i * _PIECE, _PIECE), 16, 10).cast("bigint").alias(f"__piece_{i}")
+            for i in range(_PIECES)
+        ],
+    )
+
+
+def _totals() -> list[Column]:
+    limbs = [
+        F.sum(F.shiftright(f"__piece_{i}", j * _LIMB).bitwiseAND(F.lit(2**_LIMB - 1))).alias(f"__limb_{i}_{j}")
         for i in range(_PIECES)
+        for j in range(_LIMBS)
     ]
+    return [F.count(F.lit(1)).alias("n_rows"), *limbs]
+
+
+def _sum_text(piece: int) -> Column:
+    total = F.lit(0).cast("decimal(38,0)")
+    for j in range(_LIMBS):
+        weight = F.lit(2 ** (j * _LIMB)).cast("decimal(18,0)")
+        total = total + F.col(f"__limb_{piece}_{j}").cast("decimal(19,0)") * weight
+    return total.cast("decimal(38,0)").cast("string")
 
 
 def _fingerprint(columns: Sequence[str]) -> Column:
     names = ",".join(columns)
     filled = F.concat_ws(
-        "|", F.lit(names), F.col("n_rows").cast("string"), *[F.col(f"piece_{i}").cast("string") for i in range(_PIECES)]
+        "|", F.lit(names), F.col("n_rows").cast("string"), *[_sum_text(i) for i in range(_PIECES)]
     )
     return F.sha2(F.when(F.col("n_rows") == 0, F.lit("<empty>:" + names)).otherwise(filled), 256)
 
@@ -72,12 +99,11 @@ def content_hash(df: DataFrame, float_digits: int = FLOAT_DIGITS) -> DataFrame:
     one partial row; nothing else is shuffled. Column order is significant, and an
     empty frame is known by its column names.
     """
-    totals = df.agg(F.count(F.lit(1)).alias("n_rows"), *_pieces(df, float_digits))
+    totals = _hashed(df, [], float_digits).agg(*_totals())
     return totals.select(_fingerprint(df.columns).alias("content_hash"), "n_rows")
 
 
 def content_hash_by(df: DataFrame, by: Sequence[str], float_digits: int = FLOAT_DIGITS) -> DataFrame:
     """:func:`content_hash` of the other columns, one row per value of ``by``."""
-    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in by])
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *_pieces(rest, float_digits))
-    return totals.select(*by, _fingerprint(rest.columns).alias("content_hash"), "n_rows")
+    totals = _hashed(df, by, float_digits).groupBy(*map(named, by)).agg(*_totals())
+    return totals.select(*map(named, by), _fingerprint([c for c in df.columns if c not in by]).alias("content_hash"), "n_rows")

@@ -18,6 +18,11 @@ def _column(value) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

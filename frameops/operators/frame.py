@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameops.functions.scalar import named
+
 COMPARISONS = {"==": eq, "!=": ne, "<": lt, "<=": le, ">": gt, ">=": ge}
 
 
 def condition(column: str, op: str, value) -> Column:
     """``column op value`` for one of the six comparison signs."""
-    return COMPARISONS[op](F.col(f"`{column}`"), F.lit(value))
+    return COMPARISONS[op](named(column), F.lit(value))
 
 
 def filter_all(
@@ -64,7 +66,7 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def group_agg(df: DataFrame, by: Sequence[str | Column] | str | Column, **aggregates: Column) -> DataFrame:
     """Group by columns or aliased expressions and aggregate."""
-    keys = [by] if isinstance(by, (str, Column)) else list(by)
+    keys = [named(k) if isinstance(k, str) else k for k in ([by] if isinstance(by, (str, Column)) else by)]
     return df.groupBy(*keys).agg(*[v.alias(n) for n, v in aggregates.items()])
 
 
@@ -75,7 +77,7 @@ def order_keys(by: Sequence[str] | str, descending: bool | Sequence[bool] = Fals
     if len(flags) != len(names):
         raise ValueError(f"{len(names)} sort keys but {len(flags)} directions")
     return [
-        F.desc_nulls_first(F.col(f"`{n}`")) if d else F.asc_nulls_first(F.col(f"`{n}`"))
+        F.desc_nulls_first(named(n)) if d else F.asc_nulls_first(named(n))
         for n, d in zip(names, flags)
     ]
 
@@ -103,7 +105,7 @@ def sort(
     """
     keys = order_keys(by, descending)
     if spread_ties:
-        names = [f"`{f.name}`" for f in df.schema if hashable(f.dataType)]
+        names = [named(f.name) for f in df.schema if hashable(f.dataType)]
         keys.append(F.xxhash64(*names).asc())
     return df.orderBy(*keys)
 
@@ -135,9 +137,8 @@ def unique(
         return df.dropDuplicates(keys)
     order = [keep_first_by] if isinstance(keep_first_by, str) else list(keep_first_by)
     rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("kept") if rest else F.first(F.lit(1)).alias("kept")
-    )
     if not rest:
-        return kept.select(*df.columns)
-    return kept.select(*[F.col(c) if c in keys else F.col("kept")[c].alias(c) for c in df.columns])
+        return df.distinct()
+    first = F.min_by(F.struct(*map(named, rest)), F.struct(*map(named, order))).alias("__kept")
+    kept = df.groupBy(*map(named, keys)).agg(first)
+    return kept.select(*[named(c) if c in keys else F.col("__kept")[c].alias(c) for c in df.columns])

@@ -14,6 +14,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameops.functions.scalar import named
+
 # Accepted join names -> kind of join.
 KINDS = {
     "inner": "inner",
@@ -67,7 +69,7 @@ def join(
 
     # Private names on the right side keep self-joins and clashes unambiguous.
     private = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
-    renamed = right.select(*[F.col(f"`{c}`").alias(p) for c, p in private.items()])
+    renamed = right.select(*[named(c).alias(p) for c, p in private.items()])
 
     if kind in ("left_semi", "left_anti"):
         # Distinct keys are reduced before the shuffle, so a hot right key is one row.
@@ -91,19 +93,19 @@ def join(
     else:
         joined = left.join(renamed, _equal(left_keys, [private[k] for k in right_keys]), kind)
     return joined.select(
-        *[F.col(f"`{c}`") for c in kept_left],
+        *[named(c) for c in kept_left],
         *[F.col(private[c]).alias(output[c]) for c in kept_right],
     )
 
 
 def _equal(left_keys: Sequence[str], right_keys: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(f"`{l}`") == F.col(f"`{r}`") for l, r in zip(left_keys, right_keys)])
+    return reduce(and_, [named(l) == named(r) for l, r in zip(left_keys, right_keys)])
 
 
 def _alone(df: DataFrame, keys: list[str], other: DataFrame, other_keys: list[str]) -> DataFrame:
     """Rows of ``df`` without a partner, found by the distinct keys of the other frame."""
     probe = [f"__probe_{i}" for i in range(len(keys))]
-    known = other.select(*[F.col(f"`{k}`").alias(p) for k, p in zip(other_keys, probe)]).distinct()
+    known = other.select(*[named(k).alias(p) for k, p in zip(other_keys, probe)]).distinct()
     return df.join(known, _equal(keys, probe), "left_anti")
 
 

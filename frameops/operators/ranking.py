@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameops.functions.scalar import named
 from frameops.operators.frame import order_keys
 from frameops.session import shuffle_partitions, stage
 
@@ -28,7 +29,7 @@ METHODS = ("average", "min", "max", "dense", "ordinal")
 
 def _group_key(over: Sequence[str]) -> Column:
     """Group columns as one struct: equal when all fields are, nulls included."""
-    return F.struct(*[F.col(f"`{c}`") for c in over]) if over else F.struct(F.lit(0).alias("all"))
+    return F.struct(*[named(c) for c in over]) if over else F.struct(F.lit(0).alias("all"))
 
 
 def _as_list(names: Sequence[str] | str | None) -> list[str]:
@@ -41,7 +42,8 @@ def groups_are_small(df: DataFrame, over: Sequence[str], bound: int) -> bool:
     """Whether no group has more than ``bound`` rows (counts only the group columns)."""
     if not over:
         return False
-    biggest = df.groupBy(*over).count().agg(F.max("count")).first()[0]
+    sizes = df.groupBy(*map(named, over)).agg(F.count(F.lit(1)).alias("__n"))
+    biggest = sizes.agg(F.max("__n")).first()[0]
     return (biggest or 0) <= bound
 
 
@@ -54,7 +56,7 @@ def running_before(
     staged, so the slice of a row is the same wherever it is read. Adaptive execution
     may merge small neighbouring slices, which keeps them in order.
     """
-    group_order = [F.col(f"`{c}`").asc_nulls_first() for c in over]
+    group_order = [named(c).asc_nulls_first() for c in over]
     sliced = stage(
         df.withColumns(dict(measures))
         .repartitionByRange(*group_order, *order)
@@ -76,7 +78,7 @@ def running_before(
         {f"__local_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures}
     )
     return local.join(offsets, ["__group", "__slice"]).select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[named(c) for c in df.columns],
         *[(F.col(f"__local_{m}") + F.col(f"__offset_{m}")).alias(f"{m}_before") for m in measures],
     )
 
@@ -103,9 +105,9 @@ def rank(
     if groups_are_small(df, groups, max_rows_per_task):
         return _window_rank(df, column, method, descending, groups, name)
 
-    value = F.col(f"`{column}`")
+    value = named(column)
     key_columns = list(dict.fromkeys([*groups, column]))
-    pairs = df.where(value.isNotNull()).groupBy(*key_columns).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = df.where(value.isNotNull()).groupBy(*map(named, key_columns)).agg(F.count(F.lit(1)).alias("__n"))
     order = [value.desc_nulls_last() if descending else value.asc_nulls_last()]
     placed = running_before(pairs, groups, order, {"__rows": F.col("__n"), "__values": F.lit(1)})
     position = {
@@ -118,15 +120,16 @@ def rank(
     return (
         df.withColumn("__key", _group_key(key_columns))
         .join(ranks, "__key", "left")
-        .select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("__rank").alias(name))
+        .select(*[named(c) for c in df.columns if c != name], F.col("__rank").alias(name))
     )
 
 
 def _window_rank(df, column, method, descending, groups, name) -> DataFrame:
-    value = F.col(f"`{column}`")
+    value = named(column)
     key = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    ordered = Window.partitionBy(*groups).orderBy(key)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*dict.fromkeys([*groups, column])))
+    ordered = Window.partitionBy(*map(named, groups)).orderBy(key)
+    # Rows that sort equal are the current range, so ranks and ties share one sort.
+    ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
     position = {
         "dense": lambda: F.dense_rank().over(ordered).cast("long"),
         "min": lambda: F.rank().over(ordered).cast("long"),
@@ -137,7 +140,7 @@ def _window_rank(df, column, method, descending, groups, name) -> DataFrame:
 
 
 def _ordinal(df, column, descending, groups, name, tie_break, bound) -> DataFrame:
-    value = F.col(f"`{column}`")
+    value = named(column)
     ranked = number_rows(
         df.where(value.isNotNull()), [column, *tie_break], [descending] + [False] * len(tie_break),
         groups, name, max_rows_per_task=bound,
@@ -165,8 +168,9 @@ def number_rows(
     rest = [c for c in df.columns if c not in names and c not in groups]
     order = order_keys(names, descending) + order_keys(rest)
     if groups_are_small(df, groups, max_rows_per_task):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+        ordered = Window.partitionBy(*map(named, groups)).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(ordered).cast("long"))
+    counted = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     placed = running_before(counted, groups, order, {"__copies": F.col("__n")})
     return _expand_copies(placed, df.columns, name)
 
@@ -183,7 +187,7 @@ def _expand_copies(placed: DataFrame, columns: Sequence[str], name: str) -> Data
     first = F.col("__chunk") * COPIES_PER_CHUNK
     last = F.least(first + COPIES_PER_CHUNK, F.col("__n")) - 1
     return chunks.withColumn("__copy", F.explode(F.sequence(first, last))).select(
-        *[F.col(f"`{c}`") for c in columns], (F.col("__copies_before") + F.col("__copy") + 1).alias(name)
+        *[named(c) for c in columns], (F.col("__copies_before") + F.col("__copy") + 1).alias(name)
     )
 
 
@@ -207,11 +211,11 @@ def top_per_group(
         raise ValueError("top_per_group ranks by 'dense' or 'min'")
     groups = _as_list(over)
     keys = list(dict.fromkeys([*groups, column]))
-    value = F.col(f"`{column}`")
+    value = named(column)
     order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    pairs = df.where(value.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = df.where(value.isNotNull()).groupBy(*map(named, keys)).agg(F.count(F.lit(1)).alias("__n"))
     if groups:
-        ordered = Window.partitionBy(*groups).orderBy(order)
+        ordered = Window.partitionBy(*map(named, groups)).orderBy(order)
         best = pairs.withColumn("__place", F.row_number().over(ordered)).where(F.col("__place") <= n)
     else:
         # At most n rows are left to number.
@@ -219,16 +223,17 @@ def top_per_group(
             "__place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))
         )
     if method == "min":
-        before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        within = map(named, groups) if groups else [F.lit(0)]
+        before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         best = best.withColumn("__place", F.coalesce(F.sum("__n").over(before), F.lit(0)) + 1).where(
             F.col("__place") <= n
         )
-    winners = stage(best.select(*keys, F.col("__place").cast("long").alias("__place")), "winners")
+    winners = stage(best.select(*map(named, keys), F.col("__place").cast("long").alias("__place")), "winners")
     winners = winners.select(_group_key(keys).alias("__key"), "__place")
     return (
         df.withColumn("__key", _group_key(keys))
         .join(winners, "__key")
-        .select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("__place").alias(name))
+        .select(*[named(c) for c in df.columns if c != name], F.col("__place").alias(name))
     )
 
 
@@ -241,10 +246,10 @@ def aggregate_over(
     group can be split; a window would gather its rows in one task.
     """
     groups = _as_list(over)
-    totals = df.groupBy(*groups).agg(*[v.alias(k) for k, v in aggregates.items()])
+    totals = df.groupBy(*map(named, groups)).agg(*[v.alias(k) for k, v in aggregates.items()])
     totals = totals.select(_group_key(groups).alias("__key"), *aggregates)
     return (
         df.withColumn("__key", _group_key(groups))
         .join(totals, "__key")
-        .select(*[F.col(f"`{c}`") for c in df.columns if c not in aggregates], *[F.col(k) for k in aggregates])
+        .select(*[named(c) for c in df.columns if c not in aggregates], *[F.col(k) for k in aggregates])
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameops.functions.aggregates import AGGREGATES, agg_len
+from frameops.functions.scalar import named
 from frameops.operators.frame import filter_all, group_agg, head, sort, top_k
 from frameops.operators.joins import join
 from frameops.operators.ranking import rank
@@ -72,7 +73,7 @@ def _aggregation(spec: Mapping, order: list[tuple[str, bool]]) -> Column:
         return agg_len()
     if kind in ("first", "last"):
         return _at_end(column, kind == "first", order)
-    return AGGREGATES[kind](F.col(f"`{column}`"))
+    return AGGREGATES[kind](named(column))
 
 
 def _at_end(column: str, first: bool, order: list[tuple[str, bool]]) -> Column:
@@ -80,8 +81,8 @@ def _at_end(column: str, first: bool, order: list[tuple[str, bool]]) -> Column:
     directions = {descending for _, descending in order}
     if len(directions) != 1:
         raise ValueError("first and last need a preceding sort in one direction")
-    value = F.col(f"`{column}`")
-    names = [F.col(f"`{n}`") for n, _ in order]
+    value = named(column)
+    names = [named(n) for n, _ in order]
     if not directions.pop():
         key = F.struct(*names)
         return F.min_by(value, key) if first else F.max_by(value, key)
@@ -117,14 +118,14 @@ def _with_columns(state: _State, op: Mapping) -> DataFrame:
             df, spec["column"], spec.get("method", "dense"), spec.get("descending", True),
             spec.get("over") or None, f"__plan_{i}",
         )
-    kept = [F.col(f"`{c}`") for c in state.df.columns if c not in pending.values()]
+    kept = [named(c) for c in state.df.columns if c not in pending.values()]
     return df.select(*kept, *[F.col(c).alias(alias) for c, alias in pending.items()])
 
 
 _OPERATIONS = {
     "filter": _filter,
     "group_by": _group_by,
-    "select": lambda state, op: state.df.select(*[F.col(f"`{c}`") for c in op["columns"]]),
+    "select": lambda state, op: state.df.select(*[named(c) for c in op["columns"]]),
     "join": _join,
     "with_columns": _with_columns,
     "head": lambda state, op: head(state.df, max(1, op["n"])),

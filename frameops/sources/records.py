@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameops.functions.scalar import named
 from frameops.operators.ranking import MAX_ROWS_PER_TASK, number_rows
 
 _TABLES = "map<string, struct<columns: map<string, string>, n_rows: bigint>>"
@@ -71,4 +72,4 @@ def load_questions(
         kept = kept.orderBy(order).limit(limit)
     numbered = number_rows(kept, order, over="db_id", name="__number", max_rows_per_task=max_rows_per_task)
     new_id = F.format_string(f"{prefix}_%s_%04d", F.col("db_id"), F.col("__number") - 1)
-    return numbered.select(new_id.alias("id"), *[F.col(f"`{c}`") for c in questions.columns])
+    return numbered.select(new_id.alias("id"), *[named(c) for c in questions.columns])

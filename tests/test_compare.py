@@ -51,6 +51,18 @@ def test_reasons_have_an_order(base):
     assert (fewer.reason, fewer.summary) == ("row_count", "row_count: actual=2 expected=5")
 
 
+def test_long_texts_are_compared_whole(spark):
+    long = "x" * 5000
+    schema = "k int, s string, b binary"
+    a = spark.createDataFrame([(1, long + "a", b"12"), (2, "short", None)], schema)
+    b = spark.createDataFrame([(2, "short", None), (1, long + "a", b"12")], schema)
+    assert reason(a, b).match
+    assert reason(a, b.withColumn("s", F.when(F.col("k") == 1, long + "b").otherwise(F.col("s")))).reason == "content"
+    digest = a.where("k = 1").select(F.concat(F.lit("#"), F.sha2("s", 256)).alias("s"))
+    assert reason(a.where("k = 1").select("s"), digest).reason == "content"
+    assert rows_of(difference(a, b.where("k = 2")))[0][1] == repr(long + "a")
+
+
 def test_previews(base):
     verdict = compare(base.orderBy("k", "s").select("k", "s"), base.where("k > 99").select("k", "s"), previews=2).first()
     assert verdict.actual_preview == '{"k":null,"s":"b"}\n{"k":1,"s":"a"}'

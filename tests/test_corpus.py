@@ -15,21 +15,24 @@ def apply(spark, function, texts):
     return [r.out for r in df.select("i", function(F.col("t")).alias("out")).orderBy("i").collect()]
 
 
-def unfenced(text):
-    text = text.strip()
-    for fence in ("```python", "```"):
-        if text.startswith(fence):
-            text = text[len(fence):].strip()
-            break
-    return text[:-3].strip() if text.endswith("```") else text
-
-
 def test_strip_code_fence(spark):
-    texts = [
-        "x = 1", "```python\nx = 1\n```", "```\nx\n```", "  ```python x```  ", "```", "``````", "```pythonx```", "a ``` b",
-        "\n\t x   ", "```python\n\n```\n", "```py\nx\n```", "x```", "", " \x1c\x1f ",
-    ]
-    assert apply(spark, screen.strip_code_fence, texts) == [unfenced(t) for t in texts]
+    cases = {
+        "x = 1": "x = 1",
+        "```python\nx = 1\n```": "x = 1",
+        "```\nx\n```": "x",
+        "  ```python x```  ": "x",
+        "```": "",
+        "``````": "",
+        "```pythonx```": "x",
+        "a ``` b": "a ``` b",
+        "\n\t x   ": "x",
+        "```python\n\n```\n": "",
+        "```py\nx\n```": "py\nx",
+        "x```": "x",
+        "": "",
+        " \x1c\x1f\u3000\xa0x": "x",
+    }
+    assert apply(spark, screen.strip_code_fence, cases) == list(cases.values())
 
 
 def test_final_assignment(spark):

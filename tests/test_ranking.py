@@ -158,6 +158,16 @@ def test_sort_spreads_a_hot_value(spark):
     assert max(parts) < 2 * sum(parts) / len(parts)
 
 
+def test_names_with_odd_characters(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 2), (None, 2)], "`a.b c` string, `v.1` int")
+    for bound in (0, 10):
+        assert rank(df, "v.1", "dense", over="a.b c", max_rows_per_task=bound).count() == 3
+        assert number_rows(df, "v.1", over="a.b c", max_rows_per_task=bound).count() == 3
+    assert top_per_group(df, "v.1", 1, over="a.b c").count() == 2
+    assert aggregate_over(df, "a.b c", n=agg.agg_len()).columns == ["a.b c", "v.1", "n"]
+    assert sort(df, ["a.b c", "v.1"]).first()[1] == 2
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         rank(spark.range(1), "id", "first")
