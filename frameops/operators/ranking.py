@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameops.functions.scalar import named
-from frameops.operators.frame import order_keys
+from frameops.operators.frame import hashable, order_keys
 from frameops.session import shuffle_partitions, stage
 
 # Largest group a single task may sort.
@@ -47,38 +47,41 @@ def groups_are_small(df: DataFrame, over: Sequence[str], bound: int) -> bool:
     return (biggest or 0) <= bound
 
 
-def running_before(
-    df: DataFrame, over: Sequence[str], order: Sequence[Column], measures: Mapping[str, Column]
-) -> DataFrame:
-    """Add, per measure, its sum over the rows sorted before this one in its group.
+def cut_slices(df: DataFrame, over: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows in sorted slices, staged, with the number of their slice in ``__slice``.
 
-    ``order`` must tell the rows of a group apart. The range-partitioned rows are
-    staged, so the slice of a row is the same wherever it is read. Adaptive execution
-    may merge small neighbouring slices, which keeps them in order.
+    ``order`` must tell the rows of a group apart, so that slices are of even size.
+    Staging fixes the slice of a row wherever it is read. Adaptive execution may merge
+    small neighbouring slices, which keeps them in order.
     """
     group_order = [named(c).asc_nulls_first() for c in over]
-    sliced = stage(
-        df.withColumns(dict(measures))
-        .repartitionByRange(*group_order, *order)
-        .withColumn("__slice", F.spark_partition_id()),
-        "slices",
-    ).withColumn("__group", _group_key(over))
+    ranged = df.repartitionByRange(*group_order, *order)
+    return stage(ranged.withColumn("__slice", F.spark_partition_id()), "slices")
+
+
+def running_before(
+    sliced: DataFrame, over: Sequence[str], order: Sequence[Column], measures: Mapping[str, Column]
+) -> DataFrame:
+    """Per measure, its sum over the rows sorted before this one in its group.
 
+    ``sliced`` comes from :func:`cut_slices` with the same group and order. A window adds
+    up the rows of one slice; the totals of earlier slices, at most one row per slice and
+    group, are added to that.
+    """
+    keyed = sliced.withColumns({"__group": _group_key(over), **measures})
     inside = Window.partitionBy("__group", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("__group").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("__group", "__slice")
+        keyed.groupBy("__group", "__slice")
         .agg(*[F.sum(m).alias(f"__total_{m}") for m in measures])
         .select(
             "__group", "__slice",
             *[F.coalesce(F.sum(f"__total_{m}").over(earlier), F.lit(0)).alias(f"__offset_{m}") for m in measures],
         )
     )
-    local = sliced.withColumns(
-        {f"__local_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures}
-    )
+    local = keyed.withColumns({f"__local_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
     return local.join(offsets, ["__group", "__slice"]).select(
-        *[named(c) for c in df.columns],
+        *[named(c) for c in sliced.columns if c != "__slice"],
         *[(F.col(f"__local_{m}") + F.col(f"__offset_{m}")).alias(f"{m}_before") for m in measures],
     )
 
@@ -109,7 +112,8 @@ def rank(
     key_columns = list(dict.fromkeys([*groups, column]))
     pairs = df.where(value.isNotNull()).groupBy(*map(named, key_columns)).agg(F.count(F.lit(1)).alias("__n"))
     order = [value.desc_nulls_last() if descending else value.asc_nulls_last()]
-    placed = running_before(pairs, groups, order, {"__rows": F.col("__n"), "__values": F.lit(1)})
+    measures = {"__rows": F.col("__n"), "__values": F.lit(1)}
+    placed = running_before(cut_slices(pairs, groups, order), groups, order, measures)
     position = {
         "dense": F.col("__values_before") + 1,
         "min": F.col("__rows_before") + 1,
@@ -165,21 +169,22 @@ def number_rows(
     """
     groups = _as_list(over)
     names = _as_list(by)
-    rest = [c for c in df.columns if c not in names and c not in groups]
+    rest = [f.name for f in df.schema if f.name not in (*names, *groups) and hashable(f.dataType)]
     order = order_keys(names, descending) + order_keys(rest)
     if groups_are_small(df, groups, max_rows_per_task):
         ordered = Window.partitionBy(*map(named, groups)).orderBy(*order)
         return df.withColumn(name, F.row_number().over(ordered).cast("long"))
     counted = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running_before(counted, groups, order, {"__copies": F.col("__n")})
-    return _expand_copies(placed, df.columns, name)
+    sliced = cut_slices(counted, groups, order)
+    most = sliced.agg(F.max("__n")).first()[0] or 0
+    placed = running_before(sliced, groups, order, {"__copies": F.col("__n")})
+    return _expand_copies(placed, most, df.columns, name)
 
 
-def _expand_copies(placed: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    """One output row per copy, numbered onward from ``__copies_before``."""
-    placed = stage(placed, "placed")
+def _expand_copies(placed: DataFrame, most: int, columns: Sequence[str], name: str) -> DataFrame:
+    """One output row per copy, numbered onward from ``__copies_before``; no row has
+    more than ``most`` copies."""
     chunks = placed.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {COPIES_PER_CHUNK}"))))
-    most = placed.agg(F.max("__n")).first()[0] or 0
     if most > COPIES_PER_CHUNK:
         # Spread the chunks of a hot row before they grow back to full size. The number
         # is given because chunks look small and would be merged into few partitions.

@@ -70,6 +70,11 @@ def load_questions(
     kept = questions.where(F.col("db_id").isin(*databases))
     if limit:
         kept = kept.orderBy(order).limit(limit)
-    numbered = number_rows(kept, order, over="db_id", name="__number", max_rows_per_task=max_rows_per_task)
+    # Only the two key columns are numbered; the texts join them on the unique position.
+    places = number_rows(
+        kept.select("db_id", order), order, over="db_id", name="__number", max_rows_per_task=max_rows_per_task
+    )
     new_id = F.format_string(f"{prefix}_%s_%04d", F.col("db_id"), F.col("__number") - 1)
-    return numbered.select(new_id.alias("id"), *[named(c) for c in questions.columns])
+    return kept.join(places.select(order, "__number"), order).select(
+        new_id.alias("id"), *[named(c) for c in questions.columns if c != "id"]
+    )

@@ -57,7 +57,8 @@ def test_records_round_trip(spark, tmp_path):
 
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_question_ids_count_per_database(spark, bound):
-    df = spark.createDataFrame([(i, "ab"[i % 2] if i < 9 else "c", f"q{i}") for i in range(12)], "seq int, db_id string, question string")
+    rows = [(i, "ab"[i % 2] if i < 9 else "c", f"q{i}", {"t": i}) for i in range(12)]
+    df = spark.createDataFrame(rows, "seq int, db_id string, question string, sizes map<string,int>")
     found = records.load_questions(df, ["a", "b"], limit=5, max_rows_per_task=bound).orderBy("seq").collect()
     assert [r.id for r in found] == ["spider_a_0000", "spider_b_0000", "spider_a_0001", "spider_b_0001", "spider_a_0002"]
     assert records.load_questions(df, ["a", "b", "c"], whitelist=["c", "z"], max_rows_per_task=bound).count() == 3
