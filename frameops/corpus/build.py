@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from frameops.evaluation.fingerprint import content_hash
 from frameops.jobs import QUERY_ERRORS, error_text, rows_of_jobs
+from frameops.session import stage
 from frameops.sources.sqltext import private_session
 from frameops.sources.tables import declared_schema, row_counts
 
@@ -91,7 +92,8 @@ def build_question_corpus(
 
     outcomes = record_outputs(spark, jobs(), out, at_once=at_once)
     schema_type = "db_id string, tables map<string, struct<columns: map<string, string>, n_rows: bigint>>"
-    tables = spark.createDataFrame(schemas, schema_type)
+    # Staged, so that the planner knows how small it is.
+    tables = stage(spark.createDataFrame(schemas, schema_type), "schemas")
     kept = outcomes.where(F.col("status") == "ok")
     records = (
         questions.select("id", "db_id", "question", "sql")
@@ -132,9 +134,10 @@ def build_references(
         (name, {t: (declared_schema(tables[t]), counts[t]) for t in used[name]}) for name in catalog
     ]
     schema_type = "id string, tables map<string, struct<columns: map<string, string>, n_rows: bigint>>"
+    tables_used = stage(spark.createDataFrame(described, schema_type), "schemas")
     records = (
         outcomes.where(F.col("status") == "ok")
-        .join(spark.createDataFrame(described, schema_type), "id")
+        .join(tables_used, "id")
         .select(
             "id", "tables",
             F.col("content_hash").alias("expected_output_hash"),
