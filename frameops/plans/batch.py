@@ -238,11 +238,11 @@ def repair_plan(plan: Column, valid: Column) -> Column:
         def rewrite(name: Column) -> Column:
             repaired = _repair(name, valid)
             descending = F.coalesce(F.try_variant_get(item, "$.descending", "boolean"), F.lit(False))
-            as_object = F.to_json(F.struct(repaired.alias("name"), descending.alias("descending")))
-            as_list = F.to_json(F.array(repaired))
-            as_text = F.substring(as_list, F.lit(2), F.char_length(as_list) - 2)
-            return F.when(name == repaired, item).otherwise(
-                F.parse_json(F.when(object_name.isNotNull(), as_object).otherwise(as_text))
+            as_object = F.to_variant_object(F.struct(repaired.alias("name"), descending.alias("descending")))
+            return (
+                F.when(name == repaired, item)
+                .when(object_name.isNotNull(), as_object)
+                .otherwise(repaired.cast("variant"))
             )
 
         return let(F.coalesce(object_name, F.try_variant_get(item, "$", "string")), rewrite)
