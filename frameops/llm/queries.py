@@ -8,12 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameops.llm import common, decontaminate, packing, secret_scan, simhash, toxicity
+from frameops.llm import (
+    ann,
+    chat_format,
+    common,
+    decontaminate,
+    packing,
+    secret_scan,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
+from frameops.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -36,12 +49,53 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# A conversation that quotes the template's own marks.
+QUOTING = r"""
+SELECT CAST(-1 AS BIGINT) AS conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' AS text
+FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)
+"""
+
+
+@query
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = common.table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    made = chat_format.format_chats(turns.unionAll(spark.sql(QUOTING)))
+    said = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = made.select(
+        "*",
+        chat_format.read_turns(F.col("formatted")).alias("turns"),
+        chat_format.learned_text(F.col("segments")).alias("learned"),
+    )
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        common.digest_of(F.transform("turns", said), "").alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = common.table(spark, folder, "pages")
+    archives, index_folder = scratch_path(spark, "warc"), scratch_path(spark, "warc-index")
+    captures = warc.write_archives(pages, archives)
+    index = warc.build_index(captures, archives, index_folder)
+    return warc.payload_sizes(warc.read_records(warc.look_up(pages, index), archives))
+
+
+@query
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(common.table(spark, folder, "embeddings"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = (common.table(spark, folder, name) for name in ("documents", "benchmark"))
@@ -57,6 +111,11 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(common.table(spark, folder, "documents"), VOCABULARY)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of the documents with a digest of their ids, placed in sequences; the ids are not moved."""
     pieces = packing.token_pieces(docs, TOKENIZER, RANKS, public_tokenizers.PATTERN)
@@ -81,6 +140,33 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SQL["op2_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'),
+      chr(10), chr(92) || chr(10))) + 1
+    + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + length('<|im_end|>') + 1)
+    AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+SQL["op4_warc"] = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
 SQL["op6_decontaminate"] = r"""
 WITH doc_words AS (
   SELECT doc_id, row_number() OVER () AS row_id,
