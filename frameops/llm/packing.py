@@ -205,7 +205,8 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     kept = [c for c in pieces.columns if c not in ("task", "place")]
-    ranked = pieces.join(counts.select("length", "task", "ahead"), ["length", "task"])
+    # A merge join: there are counts for every task, so neither side has a bound.
+    ranked = pieces.join(counts.select("length", "task", "ahead").hint("merge"), ["length", "task"])
     ranked = ranked.select(*kept, (F.col("ahead") + F.col("place")).alias("rank"))
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "rank") + ", sequence_id bigint, offset bigint"
     return ranked.mapInArrow(batches, schema)
