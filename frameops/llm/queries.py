@@ -14,6 +14,7 @@ from frameops.llm import (
     common,
     decontaminate,
     packing,
+    repeats,
     secret_scan,
     simhash,
     token_counts,
@@ -111,6 +112,19 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(common.table(spark, folder, "documents"))
+    removed = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("ranges").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, folder, "documents"), VOCABULARY)
