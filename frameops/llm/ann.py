@@ -199,44 +199,84 @@ def _windows(all_: DataFrame, queries: DataFrame, curves: Curves, width: int, k:
     counts = counts.select("curve", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     both = both.join(counts, ["curve", "task"]).withColumn("place", F.col("ahead") + F.col("nth"))
 
-    # Places count candidates and queries; windows are widened by the queries' share.
+    # Places count candidates and queries; windows are widened by the queries' share. Blocks are as long as a
+    # window, so that a query meets three of a curve at the most, however many rows there are.
     wide = int(np.ceil(width * 1.1)) + 1
-    block = F.floor(F.col("place") / s.block)
-    first, last = F.floor(F.greatest(F.col("place") - wide, F.lit(0)) / s.block), F.floor((F.col("place") + wide) / s.block)
+    length = max(wide, s.block)
+    block = F.floor(F.col("place") / length)
+    first, last = F.floor(F.greatest(F.col("place") - wide, F.lit(0)) / length), F.floor((F.col("place") + wide) / length)
+    # A block's queries go to several tasks if there are more than one should hold; each streams the block's rows.
+    total = both.filter("curve = 0").count()
+    teams = max(1, int(np.ceil(queries.count() * min(1.0, 3 * length / total) / s.block)))
     rows = both.filter("query = 0").select("curve", block.alias("block"), "query", "gid", "v")
     blocks = rows.select("curve", "block").distinct()
     asked = both.filter("query = 1").select("curve", F.explode(F.sequence(first, last)).alias("block"), "query", "gid", "v")
     asked = asked.join(blocks, ["curve", "block"], "left_semi")
-    keys = ["curve", "block"]
-    met = rows.unionAll(asked).repartition(n, *keys).sortWithinPartitions(*keys, "query", "gid")
+    asked = asked.withColumn("team", F.pmod(F.xxhash64("gid"), F.lit(teams)))
+    rows = rows.withColumn("team", F.explode(F.expr(f"sequence(0L, {teams - 1}L)")))
+    keys = ["curve", "block", "team"]
+    columns = [*keys, "query", "gid", "v"]
+    met = rows.select(*columns).unionAll(asked.select(*columns))
+    met = met.repartition(n, *keys).sortWithinPartitions(*keys, F.desc("query"), "gid")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, ids, held = None, [], []
-        matrix = None
+        of, group = None, None
         for part in parts:
-            curve, blk, query, gid = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            curve, blk, team, query, gid = (part.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             vectors = np.array(part.column("v").to_pylist(), dtype=float).reshape(part.num_rows, -1)
-            cuts = np.flatnonzero((curve[1:] != curve[:-1]) | (blk[1:] != blk[:-1]) | (query[1:] != query[:-1])) + 1
+            new = (curve[1:] != curve[:-1]) | (blk[1:] != blk[:-1]) | (team[1:] != team[:-1]) | (query[1:] != query[:-1])
+            cuts = np.flatnonzero(new) + 1
             for a, b in zip([0, *cuts], [*cuts, len(curve)], strict=True):
                 if a == b:
                     continue
-                key = (curve[a], blk[a])
-                if key != of:
-                    of, ids, held, matrix = key, [], [], None
-                if not query[a]:
-                    ids.append(gid[a:b])
-                    held.append(vectors[a:b])
-                    continue
-                if matrix is None:
-                    matrix, near = np.concatenate(held), np.concatenate(ids)
-                rough = vectors[a:b] @ matrix.T
-                keep = min(k + 1, len(near))
-                best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                # Sums in a fixed order: equal pairs of vectors have equal scores wherever they meet.
-                exact = (vectors[a:b][:, None, :] * matrix[best]).sum(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(gid[a:b], keep)), pa.array(near[best].ravel()), pa.array(exact.ravel())],
-                    ["gid", "near", "score"],
-                )
+                if (key := (curve[a], blk[a], team[a])) != of:
+                    if group is not None:
+                        yield from group.best()
+                    of, group = key, _Best(k + 1, s.block)
+                (group.ask if query[a] else group.offer)(gid[a:b], vectors[a:b])
+        if group is not None:
+            yield from group.best()
 
     return met.mapInArrow(compare, "gid bigint, near bigint, score double")
+
+
+class _Best:
+    """The best rows so far for the queries of one block; rows are compared some thousand at a time."""
+
+    def __init__(self, keep: int, at_once: int) -> None:
+        self.keep, self.at_once, self.waiting, self.n = keep, at_once, [], 0
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
+        self.near = self.scores = None
+
+    def ask(self, gid: np.ndarray, vectors: np.ndarray) -> None:
+        self.asked.append((gid, vectors))
+
+    def offer(self, gid: np.ndarray, vectors: np.ndarray) -> None:
+        if self.asked:
+            self.waiting.append((gid, vectors))
+            self.n += len(gid)
+            if self.n >= self.at_once:
+                self.compare()
+
+    def compare(self) -> None:
+        ids, rows = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        if self.near is None:
+            self.gid, self.vectors = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+            self.near = np.empty((len(self.gid), 0), dtype=np.int64)
+            self.scores = np.empty((len(self.gid), 0))
+        rough = self.vectors @ rows.T
+        some = min(self.keep, len(ids))
+        best = np.argpartition(-rough, some - 1, axis=1)[:, :some]
+        # Sums in a fixed order: equal pairs of vectors have equal scores wherever they meet.
+        exact = np.stack([(v * rows[at]).sum(-1) for v, at in zip(self.vectors, best, strict=True)])
+        near, scores = np.hstack([self.near, ids[best]]), np.hstack([self.scores, exact])
+        order = np.lexsort((near, -scores), axis=1)[:, : self.keep]
+        self.near, self.scores = (np.take_along_axis(x, order, axis=1) for x in (near, scores))
+        self.waiting, self.n = [], 0
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting:
+            self.compare()
+        if self.near is not None:
+            columns = [np.repeat(self.gid, self.near.shape[1]), self.near.ravel(), self.scores.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gid", "near", "score"])
