@@ -25,13 +25,15 @@ from frameops.session import shuffle_partitions, stage
 WINDOW = 100
 ANCHOR = 16
 CHUNK = 8 << 20
-# Regions of an anchor that one task takes; anchors that may have more go another way.
-HOT = 50_000
+# Different regions of an anchor that one construction takes, at some 400 bytes each; and the number of regions
+# from which an anchor is worth being split over tasks.
+HOT = 250_000
 # Regions that one construction takes at a time.
 COLLECTION = 20_000
 NO_ID = (1 << 63) - 1
 
 REGION = "h bigint, g bigint, doc bigint, th bigint, pack bigint"
+SETTLED = "again h doc th pack"
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -106,32 +108,36 @@ def _rows(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
 
 def _settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of regions sorted by anchor, digest and place: those equal to an earlier one, and the different ones of an
-    anchor that has several. An anchor that occurs once is dropped."""
-
-    def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
-        new = np.any([x[1:] != x[:-1] for x in columns], axis=0)  # repeated rows are one document
-        columns = [x[np.concatenate([[True], new])] for x in columns]
-        h, g = columns[:2]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        first = new_h | np.concatenate([[True], g[1:] != g[:-1]])
-        of = np.cumsum(new_h) - 1
-        several = np.bincount(of, weights=first)[of] > 1
-        keep = ~first | several
-        return _rows([x[keep] for x in (~first, h, *columns[2:])], "again h doc th pack")
-
-    held: list[np.ndarray] | None = None
+    anchor that has several. An anchor that occurs once is dropped. Between batches only two rows are held: the
+    first of the anchor, which waits until a second digest is seen, and the last."""
+    first = last = None
+    several = False
     for part in parts:
         columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         if not len(columns[0]):
             continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        held = [x[cut:] for x in columns]
-        if cut:
-            yield settled([x[:cut] for x in columns])
-    if held is not None and len(held[0]):
-        yield settled(held)
+        if last is not None:
+            columns = [np.append(x, y) for x, y in zip(last, columns, strict=True)]
+        new = np.any([x[1:] != x[:-1] for x in columns], axis=0)  # repeated rows are one document
+        keep = np.concatenate([[True], new])
+        columns = [x[keep] for x in columns]
+        h, g = columns[:2]
+        old = np.zeros(len(h), dtype=bool)
+        old[0] = last is not None
+        new_h = np.concatenate([[last is None], h[1:] != h[:-1]])
+        new_g = new_h | np.concatenate([[False], g[1:] != g[:-1]])
+        run = np.cumsum(new_h) - new_h[0]
+        many = np.bincount(run, weights=new_g) > 1
+        if last is not None:  # the first run goes on: its first digest was seen before
+            many[0] = several or new_g[run == 0].any()
+            if many[0] and not several:
+                yield _rows([np.zeros(1, dtype=bool), *(np.array([x]) for x in (first[0], *first[2:]))], SETTLED)
+        out = ~old & (~new_g | many[run])
+        yield _rows([x[out] for x in (~new_g, h, *columns[2:])], SETTLED)
+        at = int(np.searchsorted(run, run[-1]))
+        if at or last is None:
+            first = [x[at] for x in columns]
+        last, several = [x[-1:] for x in columns], bool(many[-1])
 
 
 def _cut_regions(window: int):
@@ -238,21 +244,30 @@ def repeated_ranges(
     make = lambda made: rows.mapInArrow(_region_batches(window, anchor, made), REGION)
     found = make(lambda columns: [_rows(columns, "h g doc th pack")])
 
-    # An anchor with more than ``hot`` regions has its share of them in some batch-sized part of the work: parts
-    # hold a number of regions, and only anchors that make up a thousandth of one are counted over all of them.
+    # Anchors that would make one task much longer than the others: those with more than ``hot`` regions in the parts
+    # of the input where they are at least a thousandth. Which these are changes the way, not the result.
     def frequent(columns: list[np.ndarray]) -> list[pa.RecordBatch]:
         h, count = np.unique(columns[0], return_counts=True)
         some = count * 1000 >= len(columns[0])
         return [_rows([h[some], count[some]], "h n")] if some.any() else []
 
     counts = rows.mapInArrow(_region_batches(window, anchor, frequent), "h bigint, n bigint")
-    frequent_ones = stage(counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > hot), "hot-anchors")
-    any_hot = bool(frequent_ones.take(1))
-    main = found.join(frequent_ones, "h", "left_anti") if any_hot else found
+    skewed = stage(counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > hot), "skewed-anchors")
+    any_skewed = bool(skewed.take(1))
+    main = found.join(skewed, "h", "left_anti") if any_skewed else found
     order = ["h", "g", "doc", "th", "pack"]
     sorted_ = main.select(*order).repartition(n, "h").sortWithinPartitions(*order)
     schema = "again boolean, h bigint, doc bigint, th bigint, pack bigint"
     settled = stage(sorted_.mapInArrow(_settle, schema), "regions")
+    if any_skewed:
+        # The same with firsts by pre-aggregation, and the others by a join whose hot keys can be split.
+        some = stage(found.join(skewed.select("h"), "h").distinct(), "skewed-regions")
+        where = F.struct("doc", "th", "pack")
+        firsts = stage(some.groupBy("h", "g").agg(F.min(where).alias("first")), "skewed-firsts")
+        again = some.join(firsts, ["h", "g"]).filter(where != F.col("first"))
+        many = firsts.groupBy("h").count().filter("count > 1").select("h")
+        settled = settled.unionAll(again.select(F.lit(True).alias("again"), "h", "doc", "th", "pack"))
+        settled = settled.unionAll(firsts.join(many, "h").select(F.lit(False).alias("again"), "h", "first.*"))
 
     start, end = F.expr("(pack >> 16) - ((pack >> 8) & 255)"), F.expr(f"(pack >> 16) - (pack & 255) + {window}")
     ranges = lambda df: df.select("doc", "th", start.alias("start"), end.alias("end"))
@@ -264,24 +279,19 @@ def repeated_ranges(
         texts = rows.join(lists, ["doc", "th"]).select("doc", "th", "raw", "found").dropDuplicates(["doc", "th"])
         return texts.mapInArrow(_cut_regions(window), "h bigint, doc bigint, th bigint, pack bigint, bytes binary")
 
-    texts = with_bytes(edges).repartition(n, "h").sortWithinPartitions("h", "doc", "th", "pack")
-    built = texts.mapInArrow(_construct(window, anchor, collection), "doc bigint, th bigint, start bigint, end bigint")
-    out = out.unionAll(built)
-    if any_hot:
-        # Hot anchors: firsts by pre-aggregation, the others by a join that can split; their windows one by one.
-        some = stage(found.join(frequent_ones.select("h"), "h").distinct(), "hot-regions")
-        where = F.struct("doc", "th", "pack")
-        firsts = some.groupBy("h", "g").agg(F.min(where).alias("first"))
-        both = some.join(firsts, ["h", "g"])
-        out = out.unionAll(ranges(both.filter(where != F.col("first"))))
-        own = stage(firsts.select("h", "first.*"), "hot-firsts")
+    large = stage(edges.groupBy("h").count().filter(F.col("count") > hot), "large-anchors")
+    if large.take(1):
+        # Too many different regions for one construction: their windows one by one, by digest.
         fields = "w bigint, v bigint, doc bigint, th bigint, start bigint"
-        single = stage(with_bytes(own).mapInArrow(_windows(window), fields), "hot-windows")
+        single = stage(with_bytes(edges.join(large, "h", "left_semi")).mapInArrow(_windows(window), fields), "windows")
         at = F.struct("doc", "th", "start")
         least = single.groupBy("w", "v").agg(F.min(at).alias("first"))
         later = single.join(least, ["w", "v"]).filter(at != F.col("first"))
         out = out.unionAll(later.select("doc", "th", "start", (F.col("start") + window).alias("end")))
-    return out
+        edges = edges.join(large, "h", "left_anti")
+    texts = with_bytes(edges).repartition(n, "h").sortWithinPartitions("h", "doc", "th", "pack")
+    built = texts.mapInArrow(_construct(window, anchor, collection), "doc bigint, th bigint, start bigint, end bigint")
+    return out.unionAll(built)
 
 
 def remove_repeats(
