@@ -184,7 +184,7 @@ _CLASS = (
 )
 def error_triage(t):
     messages = t.events.select("event_id", F.expr(_ERROR).alias("error"))
-    return messages.select("event_id", errors.triage(F.col("error")).alias("t")).select("event_id", "t.*")
+    return messages.select("event_id", errors.triage(F.col("error"), errors.EXCERPTS).alias("t")).select("event_id", "t.*")
 
 
 @query(f"SELECT {_CLASS} AS error_class, count(*) AS n FROM events GROUP BY ALL")

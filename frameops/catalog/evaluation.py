@@ -250,7 +250,7 @@ def table_fingerprint(t):
 )
 def fingerprint_by_group(t):
     slim = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return content_hash_by(slim.repartition("l_orderkey"), ["l_returnflag"])
+    return content_hash_by(slim, ["l_returnflag"])
 
 
 @query(

@@ -262,3 +262,68 @@ _ANSWER = (
 )
 def extract_json_block(t):
     return t.events.select("event_id", batch.extract_block(F.expr(_ANSWER)).alias("block"))
+
+
+@query(
+    "SELECT user_id, count(*) AS n_events FROM events WHERE value >= 50 GROUP BY user_id"
+    " ORDER BY n_events ASC, user_id DESC LIMIT 12"
+)
+def plan_lax_values(t):
+    """Flags and counts written as text and as decimals mean what validation says they do."""
+    plan = {
+        "source_table": "events",
+        "operations": [
+            _op("filter", conditions=[{"column": "value", "op": ">=", "value": 50}]),
+            _op("group_by", columns=["user_id"], aggregations=[_agg("len", "*", "n_events")]),
+            _op(
+                "sort",
+                columns=[{"name": "n_events", "descending": "false"}, {"name": "user_id", "descending": "Yes"}],
+            ),
+            _op("head", n="12.0"),
+        ],
+    }
+    return run_plan(json.dumps(plan), {"events": t.events})
+
+
+@query(
+    "SELECT event_id, event_type, place FROM (SELECT event_id, event_type,"
+    " dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS place FROM events)"
+    " ORDER BY event_id DESC LIMIT 25"
+)
+def plan_sort_rank_head(t):
+    """The rows' order goes through a rank to the head."""
+    plan = {
+        "source_table": "events",
+        "operations": [
+            _op("sort", columns=_by("event_id", event_id=True)),
+            _op(
+                "with_columns",
+                expressions=[
+                    {"column": "user_id", "expr": "rank", "method": "dense", "descending": "no", "over": "event_type",
+                     "alias": "place"}
+                ],
+            ),
+            _op("head", n=25),
+            _op("select", columns=["event_id", "event_type", "place"]),
+        ],
+    }
+    return run_plan(json.dumps(plan), {"events": t.events})
+
+
+@query(
+    "SELECT d.doc_id, n_chars, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+    " ORDER BY n_chars DESC, d.doc_id LIMIT 15"
+)
+def plan_sort_join_head(t):
+    """The rows' order goes through a left join to the head."""
+    plan = {
+        "source_table": "documents",
+        "operations": [
+            _op("select", columns=["doc_id", "n_chars"]),
+            _op("sort", columns=_by("n_chars", "doc_id", n_chars=1)),
+            _op("join", table="labels", on="doc_id", how="left"),
+            _op("head", n=15),
+            _op("select", columns=["doc_id", "n_chars", "quality"]),
+        ],
+    }
+    return run_plan(json.dumps(plan), {"documents": t.documents, "labels": t.labels})

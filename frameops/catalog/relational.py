@@ -707,3 +707,19 @@ def date_parts(t):
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 1) AS price FROM lineitem")
 def round_floats(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", fn.round_digits("l_extendedprice", 1).alias("price"))
+
+
+@query(
+    "SELECT source, arg_min(d.doc_id, (coalesce(quality, -1), d.doc_id)) AS first_doc,"
+    " arg_max(d.doc_id, (coalesce(quality, -1), d.doc_id)) AS last_doc"
+    " FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"
+)
+def first_last_null_order(t):
+    """Rows whose order value is null come first; they are not skipped."""
+    marked = join(t.documents.select("doc_id", "source"), t.labels.select("doc_id", "quality"), on="doc_id", how="left")
+    return op.group_agg(
+        marked,
+        "source",
+        first_doc=agg.agg_first("doc_id", ["quality", "doc_id"]),
+        last_doc=agg.agg_last("doc_id", ["quality", "doc_id"]),
+    )

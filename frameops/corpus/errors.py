@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +33,21 @@ def error_class(message: Column) -> Column:
     return chain.otherwise("other")
 
 
-def triage(message: Column) -> Column:
-    """Struct of ``error_class``, ``missing_column``, ``valid_columns`` and ``excerpt``."""
+EXCERPTS = {**dict(ERROR_CLASSES), "other": OTHER_LENGTH}
+
+
+def triage(message: Column, lengths: Mapping[str, int] = MappingProxyType({})) -> Column:
+    """Struct of ``error_class``, ``missing_column``, ``valid_columns`` and ``excerpt``.
+
+    The excerpt is the whole message, or as many characters as ``lengths`` has for its class
+    (``EXCERPTS``: the usual ones).
+    """
 
     def parts(kind: Column) -> Column:
         named = kind == "missing_column"
-        length = F.when(kind == "other", OTHER_LENGTH)
-        for name, characters in ERROR_CLASSES:
-            length = length.when(kind == name, characters)
+        length = F.when(kind.isin(*EXCERPTS), F.char_length(message))
+        for name, characters in lengths.items():
+            length = F.when(kind == name, characters).otherwise(length)
         return F.struct(
             kind.alias("error_class"),
             F.when(named, F.regexp_extract(message, MISSING_COLUMN, 1)).alias("missing_column"),

@@ -54,9 +54,9 @@ def agg_last(column, order) -> Column:
 
 
 def _order_key(order) -> Column:
-    if isinstance(order, (list, tuple)):
-        return F.struct(*[_column(o) for o in order])
-    return _column(order)
+    """A struct even of one column: nulls then come first instead of being skipped."""
+    columns = order if isinstance(order, (list, tuple)) else [order]
+    return F.struct(*[_column(o) for o in columns])
 
 
 # Aggregate names of the declarative plan.

@@ -47,6 +47,46 @@ def repair_names(plan: Mapping, valid: Sequence[str]) -> dict:
     return {**plan, "operations": operations}
 
 
+# Words that count as true and false where a flag is written as text or number.
+TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")
+FALSE_WORDS = ("false", "f", "no", "n", "off", "0")
+
+
+def as_flag(value: object) -> bool:
+    """A truth value, also written as 0 / 1 or as a word."""
+    word = str(int(value) if isinstance(value, float) and value.is_integer() else value).strip().lower()
+    if word in TRUE_WORDS or word in FALSE_WORDS:
+        return word in TRUE_WORDS
+    raise ValueError(f"not a truth value: {value!r}")
+
+
+def as_whole(value: object) -> int:
+    """A whole number, also written as ``3.0`` or as text."""
+    number = float(value)
+    if isinstance(value, bool) or not number.is_integer():
+        raise ValueError(f"not a whole number: {value!r}")
+    return int(value) if isinstance(value, int) else int(number)
+
+
+def coerce_plan(plan: Mapping) -> dict:
+    """The plan with flags and counts as truth values and whole numbers, as validation reads them."""
+
+    def flagged(item: object) -> object:
+        if isinstance(item, Mapping) and "descending" in item:
+            return {**item, "descending": as_flag(item["descending"])}
+        return item
+
+    operations = []
+    for operation in plan["operations"]:
+        fixed = dict(operation)
+        if fixed["type"] == "head":
+            fixed["n"] = as_whole(fixed["n"])
+        for items in {"sort": ("columns",), "with_columns": ("expressions",)}.get(fixed["type"], ()):
+            fixed[items] = [flagged(item) for item in fixed[items]]
+        operations.append(fixed)
+    return {**plan, "operations": operations}
+
+
 def join_keys(on: str = "", left_on: str = "", right_on: str = "") -> dict[str, str]:
     """Join arguments of a plan; ``on`` may be written ``"left == right"``."""
     shared = on.strip()
@@ -122,28 +162,39 @@ def _with_columns(state: _State, op: Mapping) -> DataFrame:
     return df.select(*kept, *[F.col(c).alias(alias) for c, alias in pending.items()])
 
 
+def _head(state: _State, n: int) -> DataFrame:
+    """The first rows by the order of the last sort, which later operations have kept."""
+    if not state.order:
+        return head(state.df, n)
+    names = [name for name, _ in state.order]
+    if lost := [name for name in names if name not in state.df.columns]:
+        raise ValueError(f"head needs the columns that the rows are sorted by: {', '.join(lost)}")
+    return top_k(state.df, names, n, [descending for _, descending in state.order])
+
+
 _OPERATIONS = {
     "filter": _filter,
     "group_by": _group_by,
     "select": lambda state, op: state.df.select(*[named(c) for c in op["columns"]]),
     "join": _join,
     "with_columns": _with_columns,
-    "head": lambda state, op: head(state.df, max(1, op["n"])),
+    "head": lambda state, op: _head(state, max(1, op["n"])),
 }
 
 
 def run_plan(plan: Mapping | str, tables: Mapping[str, DataFrame], repair: bool = True) -> DataFrame:
-    """The frame a plan describes, as one DataFrame for the optimizer to plan.
+    """The frame a plan describes. All of it is lazy but a rank, which may write slices while the plan is built.
 
     ``plan`` is a mapping or its JSON text: ``source_table`` and ``operations`` of
-    type filter, group_by, sort, select, join, with_columns or head. A sort that is
-    directly followed by head becomes a top-k.
+    type filter, group_by, sort, select, join, with_columns or head. A head after a sort is a
+    top-k by the sort's columns, also with filters, ranks, inner and left joins in between; if
+    those columns are gone by then it is an error. Flags and counts may be written as text.
     """
     if isinstance(plan, str):
         plan = json.loads(plan)
     if repair:
         plan = repair_names(plan, [c for t in tables.values() for c in t.columns])
-    operations = list(plan["operations"])
+    operations = coerce_plan(plan)["operations"]
     state = _State(tables[plan["source_table"]], tables)
     skip = False
     for op, following in zip(operations, [*operations[1:], None]):
@@ -161,7 +212,7 @@ def run_plan(plan: Mapping | str, tables: Mapping[str, DataFrame], repair: bool
                 state.df = sort(state.df, names, flags)
         elif op["type"] in _OPERATIONS:
             state.df = _OPERATIONS[op["type"]](state, op)
-            if op["type"] in ("group_by", "join", "with_columns"):
+            if op["type"] == "group_by" or (op["type"] == "join" and op.get("how", "inner") == "outer"):
                 state.order = []
         else:
             raise ValueError(f"unknown operation {op['type']!r}")

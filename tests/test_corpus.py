@@ -124,7 +124,7 @@ def test_default_code(spark):
 def test_error_triage(spark):
     listed = 'ColumnNotFoundError: Unable to find column "x"; valid columns: ["a", "b"]'
     found = apply(
-        spark, errors.triage,
+        spark, lambda message: errors.triage(message, errors.EXCERPTS),
         [None, "", listed, "DuplicateError: " + "d" * 300, 'unable to find column "x" ColumnNotFoundError', "SchemaError" + "s" * 300,
          "AttributeError DuplicateError", "boom " + "b" * 500],
     )
@@ -133,6 +133,7 @@ def test_error_triage(spark):
     ]
     assert (found[2].missing_column, found[2].valid_columns, found[2].excerpt) == ("x", '"a", "b"', None)
     assert [len(r.excerpt) for r in found[3:8]] == [200, 45, 250, 29, 400]
+    assert len(apply(spark, errors.triage, ["boom " + "b" * 500])[0].excerpt) == 505
 
 
 # --- texts ---------------------------------------------------------------------

@@ -198,3 +198,36 @@ def test_extract_block(spark):
     df = spark.createDataFrame(list(enumerate(cases)) + [(99, None)], "i int, t string")
     found = [r.b for r in df.select("i", batch.extract_block(F.col("t")).alias("b")).orderBy("i").collect()]
     assert found == [*cases.values(), None]
+
+
+@pytest.mark.parametrize(
+    ("flag", "n", "first"),
+    [("false", "3", 0), ("NO", 3.0, 0), (0, " 3 ", 0), ("true", 3, 19), (True, "3.", 19), (1, 3, 19)],
+)
+def test_flags_and_counts_as_written(spark, flag, n, first):
+    plan = {
+        "source_table": "t",
+        "operations": [{"type": "sort", "columns": [{"name": "id", "descending": flag}]}, {"type": "head", "n": n}],
+    }
+    found = [r.id for r in run_plan(plan, {"t": spark.range(20)}).collect()]
+    assert found == ([0, 1, 2] if first == 0 else [19, 18, 17])
+
+
+def test_head_needs_the_columns_it_is_sorted_by(spark):
+    plan = {
+        "source_table": "t",
+        "operations": [
+            {"type": "sort", "columns": [{"name": "id", "descending": True}]},
+            {"type": "select", "columns": ["x"]},
+            {"type": "head", "n": 1},
+        ],
+    }
+    with pytest.raises(ValueError, match="sorted by"):
+        run_plan(plan, {"t": spark.range(3).selectExpr("id", "id AS x")})
+
+
+def test_first_does_not_skip_a_null_order_value(spark):
+    from frameops.functions.aggregates import agg_first
+
+    rows = spark.createDataFrame([("one", 1), ("nullkey", None)], "s string, k int")
+    assert rows.agg(agg_first("s", "k")).first()[0] == "nullkey"
