@@ -174,7 +174,8 @@ def mismatch_detail(t):
     " JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"
 )
 def column_set_difference(t):
-    missing, extra = column_difference(["n_nationkey", "n_name", "n_regionkey"], ["n_regionkey", "r_name"])
+    expected = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", "r_name")
+    missing, extra = column_difference(t.nation.columns, expected.columns)
     joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(
         F.count(F.lit(1)).alias("n"), F.lit(",".join(missing)).alias("missing"), F.lit(",".join(extra)).alias("extra")

@@ -42,11 +42,17 @@ def _normal(column: Column, dtype: T.DataType, digits: int) -> Column:
 
 
 def comparable(left: T.DataType, right: T.DataType) -> bool:
-    """Whether values of two types can be equal: same type, or both numeric."""
+    """Whether values of two types can be equal: same type or both numeric, for structs field by field."""
     if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
         return True
     if isinstance(left, T.ArrayType) and isinstance(right, T.ArrayType):
         return comparable(left.elementType, right.elementType)
+    if isinstance(left, T.StructType) and isinstance(right, T.StructType):
+        return [f.name for f in left] == [f.name for f in right] and all(
+            comparable(a.dataType, b.dataType) for a, b in zip(left, right)
+        )
+    if isinstance(left, T.MapType) and isinstance(right, T.MapType):
+        return comparable(left.keyType, right.keyType) and comparable(left.valueType, right.valueType)
     moments = (T.TimestampType, T.TimestampNTZType, T.DateType)
     if isinstance(left, moments) and isinstance(right, moments):
         return True

@@ -100,14 +100,16 @@ def sort(
     """Total order, nulls first.
 
     Rows that tie on every key would all fall into one range partition. With
-    ``spread_ties`` a hash of the row is the last key, which splits a hot value
-    over many tasks and makes the order of ties repeatable.
+    ``spread_ties`` a hash of the row is the next key, which splits a hot value
+    over many tasks and makes the order of ties repeatable, and the row's place in
+    the input the last, which splits rows that are equal altogether.
     """
     keys = order_keys(by, descending)
-    if spread_ties:
-        names = [named(f.name) for f in df.schema if hashable(f.dataType)]
-        keys.append(F.xxhash64(*names).asc())
-    return df.orderBy(*keys)
+    if not spread_ties:
+        return df.orderBy(*keys)
+    names = [named(f.name) for f in df.schema if hashable(f.dataType)]
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    return placed.orderBy(*keys, F.xxhash64(*names), "__place").drop("__place")
 
 
 def head(df: DataFrame, n: int) -> DataFrame:

@@ -177,3 +177,9 @@ def test_fingerprint_by_group(spark):
     found = {r.g: r.content_hash for r in content_hash_by(df, ["g"]).collect()}
     assert found["a"] == found["b"] != found["c"]
     assert found["a"] == fingerprint(df.where("g = 'a'").select("x"))
+
+
+@pytest.mark.parametrize("other", ["named_struct('x', 'a')", "named_struct('y', 1)", "named_struct('x', 1, 'y', 2)"])
+def test_unequal_structs_differ_in_content(spark, other):
+    left, right = spark.sql("SELECT named_struct('x', 1) AS s"), spark.sql(f"SELECT {other} AS s")
+    assert compare(left, right).first().reason == "content"

@@ -82,3 +82,12 @@ def test_rows_of_a_hot_value_are_ranked_where_they_are_split(spark, hot):
         df = rank(hot, "k", "dense", name="r").select("v", "r")
         assert "skew" in ran_plan(df)
     assert df.where("r = 1").count() == 100_000
+
+
+def test_sort_splits_rows_that_are_equal(spark):
+    from frameops.operators.frame import sort
+
+    rows = spark.range(0, 90_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"))
+    sizes = sort(rows, "k").where("k = 5").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 30_001 and max(r["count"] for r in sizes) < 25_000
+    assert [r.k for r in sort(rows, "k").limit(3).collect()] == [1, 2, 4]
