@@ -3,8 +3,9 @@
 A plain window sends every row of a group to one task. That is kept for groups
 whose largest size has been checked; beyond that bound, and always for a rank
 over the whole frame, positions come from a range-partitioned running total:
-rows are reduced to distinct sort values with counts, those are cut into sorted
-slices, and each slice adds the totals of the slices before it.
+distinct sort values with counts (for row numbers, the rows themselves) are cut
+into sorted slices, and each slice adds the totals of the slices before it. Both
+ways hand out the rows as they came in and give the same positions.
 """
 
 from __future__ import annotations
@@ -16,14 +17,11 @@ from pyspark.sql import functions as F
 
 from frameops.functions.scalar import named
 from frameops.operators.frame import hashable, order_keys
-from frameops.session import shuffle_partitions, stage
+from frameops.session import stage
 
 # Largest group a single task may sort.
 MAX_ROWS_PER_TASK = 1_000_000
 
-# Copies of one identical row that are expanded together.
-COPIES_PER_CHUNK = 100_000
-
 METHODS = ("average", "min", "max", "dense", "ordinal")
 
 
@@ -163,9 +161,10 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each group from 1 in sort order, nulls first.
 
-    Ties on ``by`` are ordered by the remaining columns. Identical rows are
-    interchangeable: they travel as one row with a count and are numbered when
-    they are expanded again, so a group of copies is never sorted as rows.
+    Ties on ``by`` are ordered by the remaining columns. Rows equal in all columns that
+    can be sorted (-0.0 equals 0.0) are numbered in any order; in a group too large for
+    one task they are told apart by their place in a staged copy, so that a group of
+    copies is cut into slices like any other.
     """
     groups = _as_list(over)
     names = _as_list(by)
@@ -174,25 +173,12 @@ def number_rows(
     if groups_are_small(df, groups, max_rows_per_task):
         ordered = Window.partitionBy(*map(named, groups)).orderBy(*order)
         return df.withColumn(name, F.row_number().over(ordered).cast("long"))
-    counted = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    sliced = cut_slices(counted, groups, order)
-    most = sliced.agg(F.max("__n")).first()[0] or 0
-    placed = running_before(sliced, groups, order, {"__copies": F.col("__n")})
-    return _expand_copies(placed, most, df.columns, name)
-
-
-def _expand_copies(placed: DataFrame, most: int, columns: Sequence[str], name: str) -> DataFrame:
-    """One output row per copy, numbered onward from ``__copies_before``; no row has
-    more than ``most`` copies."""
-    chunks = placed.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {COPIES_PER_CHUNK}"))))
-    if most > COPIES_PER_CHUNK:
-        # Spread the chunks of a hot row before they grow back to full size. The number
-        # is given because chunks look small and would be merged into few partitions.
-        chunks = chunks.repartition(shuffle_partitions(placed.sparkSession), "__copies_before", "__chunk")
-    first = F.col("__chunk") * COPIES_PER_CHUNK
-    last = F.least(first + COPIES_PER_CHUNK, F.col("__n")) - 1
-    return chunks.withColumn("__copy", F.explode(F.sequence(first, last))).select(
-        *[named(c) for c in columns], (F.col("__copies_before") + F.col("__copy") + 1).alias(name)
+    # The place is written, not computed again, so a repeated task deals out the same rows.
+    placed = stage(df.withColumn("__place", F.monotonically_increasing_id()), "rows")
+    order = [*order, F.col("__place").asc()]
+    numbered = running_before(cut_slices(placed, groups, order), groups, order, {"__rows": F.lit(1)})
+    return numbered.select(
+        *[named(c) for c in df.columns if c != name], (F.col("__rows_before") + 1).alias(name)
     )
 
 

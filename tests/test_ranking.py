@@ -86,8 +86,7 @@ def test_ordinal_rank_numbers_ties(spark, bound):
 
 
 @pytest.mark.parametrize("bound", [0, 10**6])
-def test_copies_of_one_row_get_distinct_numbers(spark, bound, monkeypatch):
-    monkeypatch.setattr(ranking, "COPIES_PER_CHUNK", 7)
+def test_copies_of_one_row_get_distinct_numbers(spark, bound):
     rows = [("hot", 1)] * 50 + [("hot", 0)] + [("cold", 3)] * 2 + [(None, None)] * 3
     df = spark.createDataFrame(rows, "g string, v int").repartition(4)
     found = number_rows(df, "v", over="g", name="n", max_rows_per_task=bound).collect()
@@ -97,6 +96,32 @@ def test_copies_of_one_row_get_distinct_numbers(spark, bound, monkeypatch):
     assert sorted(r.n for r in found if r.g is None) == [1, 2, 3]
 
 
+ODD_ROWS = """
+    SELECT g, v, m, parse_json(j) AS j FROM VALUES
+      ('a', double('-0.0'), map('k', 1), '{"x": 1}'), ('a', 0.0, map('k', 2), '[1]'), ('a', double('NaN'), NULL, '2'),
+      ('a', NULL, map(), NULL), ('a', double('-0.0'), map('k', 1), '{"x": 1}'), ('b', NULL, NULL, 'null')
+    AS t(g, v, m, j)
+"""
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+@pytest.mark.parametrize("method", ["dense", "average", "ordinal"])
+def test_both_ways_hand_out_rows_as_they_came(spark, bound, method):
+    """Zeros keep their sign; maps and variants pass through, ties between them in any order."""
+    df = spark.sql(ODD_ROWS)
+    shown = ["g", "cast(v as string)", "cast(m as string)", "to_json(j)"]
+    wanted = sorted(map(repr, df.selectExpr(*shown).collect()))
+    ranked = rank(df, "v", method, over="g", max_rows_per_task=bound)
+    assert sorted(map(repr, ranked.selectExpr(*shown).collect())) == wanted
+    places = sorted((r.g, str(r.v + 0.0 if r.v is not None else None), r["rank"]) for r in ranked.where("v is not null").collect())
+    zeros = {"dense": (1, 1, 1), "average": (2.0, 2.0, 2.0), "ordinal": (1, 2, 3)}[method]
+    last = {"dense": 2, "average": 4.0, "ordinal": 4}[method]
+    assert places == [("a", "0.0", z) for z in zeros] + [("a", "nan", last)]
+    numbered = number_rows(df, "v", over="g", name="n", max_rows_per_task=bound)
+    assert sorted(map(repr, numbered.selectExpr(*shown).collect())) == wanted
+    assert sorted((r.g, r.n) for r in numbered.collect()) == [("a", i) for i in range(1, 6)] + [("b", 1)]
+
+
 def test_numbers_over_the_whole_frame(spark):
     df = spark.range(1000).selectExpr("id % 10 as k", "id").repartition(6)
     found = number_rows(df, ["k", "id"], [True, False], name="n").collect()
