@@ -327,3 +327,20 @@ def plan_sort_join_head(t):
         ],
     }
     return run_plan(json.dumps(plan), {"documents": t.documents, "labels": t.labels})
+
+
+@query(
+    "SELECT event_type, arg_min(event_id, (-user_id, event_id)) AS first_event,"
+    " arg_max(event_id, (-user_id, event_id)) AS last_event, count(*) AS n FROM events GROUP BY event_type"
+)
+def plan_first_mixed_order(t):
+    """First and last of rows sorted down by one column and up by another."""
+    plan = {
+        "source_table": "events",
+        "operations": [
+            _op("sort", columns=_by("user_id", "event_id", user_id="true")),
+            _op("group_by", columns=["event_type"], aggregations=[
+                _agg("first", "event_id", "first_event"), _agg("len", "*", "n"), _agg("last", "event_id", "last_event")]),
+        ],
+    }
+    return run_plan(json.dumps(plan), {"events": t.events})

@@ -25,7 +25,7 @@ MAX_ROWS_PER_TASK = 1_000_000
 METHODS = ("average", "min", "max", "dense", "ordinal")
 
 
-def _group_key(over: Sequence[str]) -> Column:
+def group_key(over: Sequence[str]) -> Column:
     """Group columns as one struct: equal when all fields are, nulls included."""
     return F.struct(*[named(c) for c in over]) if over else F.struct(F.lit(0).alias("all"))
 
@@ -66,7 +66,7 @@ def running_before(
     up the rows of one slice; the totals of earlier slices, at most one row per slice and
     group, are added to that.
     """
-    keyed = sliced.withColumns({"__group": _group_key(over), **measures})
+    keyed = sliced.withColumns({"__group": group_key(over), **measures})
     inside = Window.partitionBy("__group", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("__group").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -118,9 +118,9 @@ def rank(
         "max": F.col("__rows_before") + F.col("__n"),
         "average": F.col("__rows_before") + (F.col("__n") + 1) / 2,
     }[method]
-    ranks = placed.select(_group_key(key_columns).alias("__key"), position.alias("__rank"))
+    ranks = placed.select(group_key(key_columns).alias("__key"), position.alias("__rank"))
     return (
-        df.withColumn("__key", _group_key(key_columns))
+        df.withColumn("__key", group_key(key_columns))
         .join(ranks, "__key", "left")
         .select(*[named(c) for c in df.columns if c != name], F.col("__rank").alias(name))
     )
@@ -220,9 +220,9 @@ def top_per_group(
             F.col("__place") <= n
         )
     winners = stage(best.select(*map(named, keys), F.col("__place").cast("long").alias("__place")), "winners")
-    winners = winners.select(_group_key(keys).alias("__key"), "__place")
+    winners = winners.select(group_key(keys).alias("__key"), "__place")
     return (
-        df.withColumn("__key", _group_key(keys))
+        df.withColumn("__key", group_key(keys))
         .join(winners, "__key")
         .select(*[named(c) for c in df.columns if c != name], F.col("__place").alias(name))
     )
@@ -238,9 +238,9 @@ def aggregate_over(
     """
     groups = _as_list(over)
     totals = df.groupBy(*map(named, groups)).agg(*[v.alias(k) for k, v in aggregates.items()])
-    totals = totals.select(_group_key(groups).alias("__key"), *aggregates)
+    totals = totals.select(group_key(groups).alias("__key"), *aggregates)
     return (
-        df.withColumn("__key", _group_key(groups))
+        df.withColumn("__key", group_key(groups))
         .join(totals, "__key")
         .select(*[named(c) for c in df.columns if c not in aggregates], *[F.col(k) for k in aggregates])
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameops.functions.scalar import let
-from frameops.plans.run import NAME_FIELDS
+from frameops.plans.run import FALSE_WORDS, TRUE_WORDS
 
 # What a plan may contain.
 COMPARE_OPS = ("==", "!=", "<", "<=", ">", ">=")
@@ -22,15 +22,16 @@ COMBINES = ("and", "or")
 AGGREGATIONS = ("sum", "mean", "min", "max", "len", "n_unique", "first", "last")
 JOIN_KINDS = ("inner", "left", "outer")
 RANK_METHODS = ("dense", "ordinal", "average", "min", "max")
-TRUTH_TEXTS = ("0", "1", "f", "t", "false", "true", "n", "y", "no", "yes", "off", "on")
+TRUTH_TEXTS = (*TRUE_WORDS, *FALSE_WORDS)
 
-PLAN_TYPE = (
+# Flags and counts stay as written until they are read by the rules of validation.
+_WRITTEN_TYPE = (
     "source_table string, operations array<struct<type: string,"
     " conditions: array<struct<column: string, op: string, value: variant>>, combine: string,"
     " columns: array<variant>, aggregations: array<struct<agg: string, column: string, alias: string>>,"
     " table: string, on: string, left_on: string, right_on: string, how: string,"
-    " expressions: array<struct<column: string, expr: string, method: string, descending: boolean,"
-    " over: string, alias: string>>, n: bigint>>"
+    " expressions: array<struct<column: string, expr: string, method: string, descending: variant,"
+    " over: string, alias: string>>, n: variant>>"
 )
 
 
@@ -212,15 +213,75 @@ def plan_valid(text: Column) -> Column:
     return plan_problem(text).isNull()
 
 
+def _flag_value(written: Column) -> Column:
+    word = F.lower(F.try_variant_get(written, "$", "string"))
+    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+
+
+def _whole_value(written: Column) -> Column:
+    digits = F.regexp_extract(F.try_variant_get(written, "$", "string"), r"^\s*([+-]?\d+)(\.0*)?\s*$", 1)
+    return digits.try_cast("bigint")
+
+
+def _sort_column(name: Column, flag: Column) -> Column:
+    return F.to_variant_object(F.struct(name.alias("name"), F.coalesce(flag, F.lit(False)).alias("descending")))
+
+
 def parse_plan(text: Column) -> Column:
-    """The plan as a struct; fields that an operation lacks are null."""
-    return F.from_json(text, PLAN_TYPE)
+    """The plan as a struct; fields that an operation lacks are null.
+
+    Flags and counts written as text or number become truth values and whole numbers, as
+    validation reads them.
+    """
+
+    def column_as_read(column: Column) -> Column:
+        written = _field(column, "descending")
+        as_read = _sort_column(F.try_variant_get(column, "$.name", "string"), _flag_value(written))
+        return F.when(~_kind(written).isin("BOOLEAN", "ABSENT"), as_read).otherwise(column)
+
+    def as_read(operation: Column) -> Column:
+        kind = operation["type"]
+        columns, expressions = operation["columns"], operation["expressions"]
+        return _changed(
+            operation,
+            columns=F.when(kind == "sort", F.transform(columns, column_as_read)).otherwise(columns),
+            expressions=F.transform(
+                expressions, lambda e: _changed(e, _EXPRESSION_FIELDS, descending=_flag_value(e["descending"]))
+            ),
+            n=_whole_value(operation["n"]),
+        )
+
+    plan = F.from_json(text, _WRITTEN_TYPE)
+    return let(
+        plan,
+        lambda p: F.when(
+            p.isNotNull(),
+            F.struct(
+                p["source_table"].alias("source_table"), F.transform(p["operations"], as_read).alias("operations")
+            ),
+        ),
+    )
+
+
+# Fields of a parsed operation and of an expression in it.
+_OPERATION_FIELDS = (
+    "type", "conditions", "combine", "columns", "aggregations", "table", "on", "left_on", "right_on", "how",
+    "expressions", "n",
+)
+_EXPRESSION_FIELDS = ("column", "expr", "method", "descending", "over", "alias")
+
+
+def _changed(item: Column, fields: Sequence[str] = _OPERATION_FIELDS, **new: Column) -> Column:
+    """A struct with some fields replaced, built once; null stays null."""
+    built = F.struct(*[new.get(f, item[f]).alias(f) for f in fields])
+    return F.when(item.isNotNull(), built)
 
 
 def _repair(name: Column, valid: Column) -> Column:
     underscored = F.replace(name, F.lit(" "), F.lit("_"))
     return F.when(
-        ~F.array_contains(valid, name) & F.array_contains(valid, underscored), underscored
+        F.contains(name, F.lit(" ")) & ~F.array_contains(valid, name) & F.array_contains(valid, underscored),
+        underscored,
     ).otherwise(name)
 
 
@@ -228,8 +289,8 @@ def repair_plan(plan: Column, valid: Column) -> Column:
     """A parsed plan with repairable column names replaced, as in
     :func:`frameops.plans.run.repair_names`, given the array of known names."""
 
-    def fix_item(key: str) -> Callable[[Column], Column]:
-        return lambda item: item.withField(key, _repair(item[key], valid))
+    def fixed_items(items: Column, fields: Sequence[str]) -> Column:
+        return F.transform(items, lambda item: _changed(item, fields, column=_repair(item["column"], valid)))
 
     def fix_column(item: Column) -> Column:
         # Sort columns are objects, the others bare names; names that stay are not rewritten.
@@ -237,8 +298,7 @@ def repair_plan(plan: Column, valid: Column) -> Column:
 
         def rewrite(name: Column) -> Column:
             repaired = _repair(name, valid)
-            descending = F.coalesce(F.try_variant_get(item, "$.descending", "boolean"), F.lit(False))
-            as_object = F.to_variant_object(F.struct(repaired.alias("name"), descending.alias("descending")))
+            as_object = _sort_column(repaired, F.try_variant_get(item, "$.descending", "boolean"))
             return (
                 F.when(name == repaired, item)
                 .when(object_name.isNotNull(), as_object)
@@ -249,24 +309,29 @@ def repair_plan(plan: Column, valid: Column) -> Column:
 
     def fix(operation: Column) -> Column:
         kind = operation["type"]
-        fixed = operation
-        for name, fields in NAME_FIELDS.items():
-            for items, key in fields:
-                if items == "columns":
-                    continue
-                fixed = fixed.withField(
-                    items,
-                    F.when(kind == name, F.transform(operation[items], fix_item(key)))
-                    .otherwise(fixed[items]),
-                )
-        holders = [name for name, fields in NAME_FIELDS.items() if "columns" in dict(fields)]
-        return fixed.withField(
-            "columns",
-            F.when(kind.isin(*holders), F.transform(operation["columns"], fix_column))
-            .otherwise(operation["columns"]),
+
+        def where(kinds: Sequence[str], items: str, fixed: Column) -> Column:
+            return F.when(kind.isin(*kinds), fixed).otherwise(operation[items])
+
+        return _changed(
+            operation,
+            conditions=where(
+                ["filter"], "conditions", fixed_items(operation["conditions"], ("column", "op", "value"))
+            ),
+            columns=where(
+                ["group_by", "sort", "select"], "columns", F.transform(operation["columns"], fix_column)
+            ),
+            aggregations=where(
+                ["group_by"], "aggregations", fixed_items(operation["aggregations"], ("agg", "column", "alias"))
+            ),
+            expressions=where(
+                ["with_columns"], "expressions", fixed_items(operation["expressions"], _EXPRESSION_FIELDS)
+            ),
         )
 
-    return plan.withField("operations", F.transform(plan["operations"], fix))
+    return _changed(
+        plan, ("source_table", "operations"), operations=F.transform(plan["operations"], fix)
+    )
 
 
 def referenced_columns(plan: Column) -> Column:

@@ -231,3 +231,45 @@ def test_first_does_not_skip_a_null_order_value(spark):
 
     rows = spark.createDataFrame([("one", 1), ("nullkey", None)], "s string, k int")
     assert rows.agg(agg_first("s", "k")).first()[0] == "nullkey"
+
+
+def test_parsed_flags_and_counts_are_read_as_validated(spark):
+    texts = [
+        plan({"type": "head", "n": "3"}), plan({"type": "head", "n": 3.0}), plan({"type": "head", "n": " 4. "}),
+        plan({"type": "with_columns", "expressions": [{"column": "a", "expr": "rank", "alias": "r", "descending": "no"}]}),
+        plan({"type": "with_columns", "expressions": [{"column": "a", "expr": "rank", "alias": "r", "descending": 1}]}),
+        plan({"type": "with_columns", "expressions": [{"column": "a", "expr": "rank", "alias": "r"}]}),
+        plan({"type": "sort", "columns": [{"name": "a", "descending": "Off"}, {"name": "b c", "descending": True}]}),
+        "no plan", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    parsed = df.withColumn("p", batch.parse_plan(F.col("text")))
+    repaired = parsed.withColumn("p", batch.repair_plan(F.col("p"), F.array(F.lit("b_c"))))
+    rows = repaired.orderBy("i").selectExpr(
+        "p.operations[0].n AS n", "p.operations[0].expressions[0].descending AS d", "to_json(p.operations[0].columns) AS c"
+    ).collect()
+    assert [r.n for r in rows] == [3, 3, 4, *[None] * 6]
+    assert [r.d for r in rows] == [None, None, None, False, True, None, None, None, None]
+    assert json.loads(rows[6].c) == [{"name": "a", "descending": False}, {"name": "b_c", "descending": True}]
+
+
+def test_first_and_last_after_a_sort_in_mixed_directions(spark):
+    rows = [("g", 1, None, "a"), ("g", 2, 5, "b"), ("g", 2, 4, "c"), (None, None, 1, "d"), (None, 3, 1, "e")]
+    df = spark.createDataFrame(rows, "k string, x int, y int, v string")
+    made = {
+        "source_table": "t",
+        "operations": [
+            {"type": "sort", "columns": [{"name": "x", "descending": True}, {"name": "y", "descending": "no"}]},
+            {"type": "group_by", "columns": ["k"], "aggregations": [
+                {"agg": "last", "column": "v", "alias": "z"}, {"agg": "first", "column": "v", "alias": "a"}]},
+        ],
+    }
+    found = run_plan(made, {"t": df})
+    assert found.columns == ["k", "z", "a"]
+    # Nulls first in both directions.
+    assert {tuple(r) for r in found.collect()} == {("g", "a", "c"), (None, "e", "d")}
+    made["operations"][1]["columns"] = []
+    assert [tuple(r) for r in run_plan(made, {"t": df}).collect()] == [("a", "d")]
+    del made["operations"][0]
+    with pytest.raises(ValueError, match="preceding sort"):
+        run_plan(made, {"t": df})
