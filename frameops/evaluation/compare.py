@@ -183,6 +183,23 @@ def compare(
     )
 
 
+def judge(actual: DataFrame, expected: DataFrame, previews: int = 5, float_digits: int = FLOAT_DIGITS) -> dict:
+    """The row of :func:`compare` with previews and, where only the content differs, a ``detail``
+    that names the differing columns. Runs at once; the detail costs one more job."""
+    verdict = compare(actual, expected, float_digits, previews).first().asDict()
+    detail = None
+    if verdict["reason"] == "content" and all(
+        comparable(actual.schema[c].dataType, expected.schema[c].dataType) for c in expected.columns
+    ):
+        detail = detail_text(differing_columns(actual, expected, float_digits=float_digits)).first()["detail"]
+    elif verdict["reason"] == "content":
+        names = [
+            c for c in expected.columns if not comparable(actual.schema[c].dataType, expected.schema[c].dataType)
+        ]
+        detail = f"columns of other types: {_list_text(names)}"
+    return {**verdict, "detail": detail}
+
+
 def compare_by(
     actual: DataFrame, expected: DataFrame, by: Sequence[str], float_digits: int = FLOAT_DIGITS
 ) -> DataFrame:

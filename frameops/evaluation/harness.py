@@ -13,22 +13,25 @@ from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from frameops.evaluation.compare import compare
+from frameops.evaluation.compare import judge
 from frameops.evaluation.report import tier_flags
 from frameops.jobs import QUERY_ERRORS, error_text, rows_of_jobs
 from frameops.plans.batch import extract_block, plan_valid
 from frameops.plans.run import run_plan
-from frameops.sources.sqltext import private_session
+from frameops.sources.sqltext import private_session, query_frame
 
 ANSWER_SCHEMA = (
     "id string, tags array<string>, difficulty int, tables array<string>, answer string,"
     " generation_error string, latency_sec double"
 )
+# Rows of each frame that are shown beside a verdict.
+PREVIEW_ROWS = 5
+
 _OUTCOME_SCHEMA = (
     "id string, syntax_error string, run_error string, comparison struct<match: boolean, reason: string,"
     " actual_n_rows: bigint, expected_n_rows: bigint, actual_columns: array<string>,"
     " expected_columns: array<string>, missing_columns: array<string>, extra_columns: array<string>,"
-    " summary: string>"
+    " summary: string, actual_preview: string, expected_preview: string, detail: string>"
 )
 
 
@@ -37,21 +40,26 @@ def evaluate_sql(
     load: Callable[[SparkSession, str], DataFrame],
     expected: Mapping[str, DataFrame],
     at_once: int = 4,
+    outputs: str | None = None,
 ) -> DataFrame:
     """Results of SQL answers, ready for the reports.
 
     ``answers`` has the columns of ``ANSWER_SCHEMA``; ``load(session, table)`` reads a
-    table. An answer sees only the tables its record names.
+    table. An answer must be a query and sees the tables its record names, no files by
+    path. With ``outputs``, the rows of each answer that runs are kept as
+    ``<outputs>/<id>.parquet``.
     """
     spark = answers.sparkSession
 
     def frame(row: Row) -> DataFrame:
         session = private_session(spark)
+        session.conf.set("spark.sql.runSQLOnFiles", "false")
         for name in row["tables"]:
             load(session, name).createOrReplaceTempView(name)
-        return session.sql(row["answer"])
+        return query_frame(session, row["answer"])
 
-    outcomes = _run(answers.select("id", "tables", "answer", "generation_error"), frame, expected, at_once)
+    chosen = answers.select("id", "tables", "answer", "generation_error")
+    outcomes = _run(chosen, frame, expected, at_once, outputs)
     return tier_flags(_joined(answers.withColumnRenamed("answer", "generated_code"), outcomes))
 
 
@@ -60,11 +68,12 @@ def evaluate_plans(
     load: Callable[[SparkSession, str], DataFrame],
     expected: Mapping[str, DataFrame],
     at_once: int = 4,
+    outputs: str | None = None,
 ) -> DataFrame:
     """Results of plan answers, ready for the reports on plans.
 
     The plan is the first ``{...}`` block of the answer. Validation runs over the whole
-    table of answers; only valid plans are run.
+    table of answers; only valid plans are run. ``outputs`` as in :func:`evaluate_sql`.
     """
     spark = answers.sparkSession
     found = answers.withColumn("block", extract_block(F.col("answer")))
@@ -75,31 +84,42 @@ def evaluate_plans(
 
     runnable = checked.where(F.col("json_plan").isNotNull())
     outcomes = _run(
-        runnable.select("id", "tables", F.col("json_plan").alias("answer"), "generation_error"), frame, expected, at_once
+        runnable.select("id", "tables", F.col("json_plan").alias("answer"), "generation_error"), frame, expected,
+        at_once, outputs,
     )
     coded = checked.withColumn("generated_code", F.coalesce("json_plan", F.lit(""))).drop("answer")
     return tier_flags(_joined(coded, outcomes), from_plans=True)
 
 
 def _run(
-    answers: DataFrame, frame: Callable[[Row], DataFrame], expected: Mapping[str, DataFrame], at_once: int
+    answers: DataFrame,
+    frame: Callable[[Row], DataFrame],
+    expected: Mapping[str, DataFrame],
+    at_once: int,
+    outputs: str | None,
 ) -> DataFrame:
     def work(row: Row) -> tuple:
         if row["generation_error"] is not None or not (row["answer"] or "").strip():
             return row["id"], None, None, None
         try:
             actual = frame(row)
+            if outputs is not None:
+                path = f"{outputs.rstrip('/')}/{row['id']}.parquet"
+                actual.write.parquet(path)
+                actual = spark.read.schema(actual.schema).parquet(path)
             if row["id"] not in expected:
-                actual.write.format("noop").mode("overwrite").save()
+                if outputs is None:
+                    actual.write.format("noop").mode("overwrite").save()
                 return row["id"], None, None, None
-            return row["id"], None, None, compare(actual, expected[row["id"]]).first().asDict()
+            return row["id"], None, None, judge(actual, expected[row["id"]], PREVIEW_ROWS)
         except ParseException as error:
             return row["id"], error_text(error).partition(": ")[2], None, None
         except QUERY_ERRORS as error:
             return row["id"], None, error_text(error), None
 
+    spark = answers.sparkSession
     rows = answers.orderBy("id").toLocalIterator()
-    return rows_of_jobs(answers.sparkSession, rows, work, _OUTCOME_SCHEMA, at_once)
+    return rows_of_jobs(spark, rows, work, _OUTCOME_SCHEMA, at_once)
 
 
 def _joined(answers: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -50,9 +50,10 @@ def join(
     inner / left keep the left key columns, right keeps the right ones, full
     keeps both. A right column whose name is taken gets ``suffix``.
 
-    An outer join can be split at a hot key of the side it keeps whole. Where the
-    other side may hold a hot key, say so with ``hot`` ("left", "right" or "both"):
-    the join is then made of parts that can be split at either side.
+    An outer join can be split at a hot key of the side it keeps whole. Where the other
+    side is large enough for a partition to count as skewed, by the planner's estimate,
+    the join is made of parts that can be split at either side; ``hot`` ("left", "right"
+    or "both") asks for that at any size. The rows are the same either way.
     """
     if hot not in (None, "left", "right", "both"):
         raise ValueError(f"unknown side {hot!r}")
@@ -88,8 +89,8 @@ def join(
 
     if kind == "cross":
         joined = left.crossJoin(renamed)
-    elif kind == "full" or (kind == "left" and hot in ("right", "both")) or (kind == "right" and hot in ("left", "both")):
-        joined = _in_parts(left, renamed, left_keys, [private[k] for k in right_keys], kind, hot in ("right", "both"))
+    elif kind in ("left", "right", "full") and _in_danger(left, renamed, kind, hot):
+        joined = _in_parts(left, renamed, left_keys, [private[k] for k in right_keys], kind)
     else:
         joined = left.join(renamed, _equal(left_keys, [private[k] for k in right_keys]), kind)
     return joined.select(
@@ -109,21 +110,30 @@ def _alone(df: DataFrame, keys: list[str], other: DataFrame, other_keys: list[st
     return df.join(known, _equal(keys, probe), "left_anti")
 
 
-def _in_parts(
-    left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], kind: str, hot_right: bool
-) -> DataFrame:
+def _in_danger(left: DataFrame, right: DataFrame, kind: str, hot: str | None) -> bool:
+    """Whether a side that an outer join cannot split may fill a skewed partition."""
+    unsplit = {"left": [("right", right)], "right": [("left", left)], "full": [("left", left), ("right", right)]}[kind]
+    return any(hot in (side, "both") or _may_be_skewed(df) for side, df in unsplit)
+
+
+def _may_be_skewed(df: DataFrame) -> bool:
+    """Whether the planner's size of a frame reaches the size from which a partition is split."""
+    state = df.sparkSession._jsparkSession.sessionState()
+    threshold = state.conf().getConfString("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "256MB")
+    bound = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= bound
+
+
+def _in_parts(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], kind: str) -> DataFrame:
     """An outer join as the union of its matches and the rows without a partner.
 
     Adaptive execution splits hot partitions on both sides of an inner join, on the
     left of a left or anti join, and not at all in a full outer join. In parts, a hot
     key on any side can be split, and a small side can still be broadcast.
     """
-    if kind == "full" and not hot_right:
-        parts = [left.join(right, _equal(left_keys, right_keys), "left")]
-    else:
-        parts = [left.join(right, _equal(left_keys, right_keys), "inner")]
-        if kind in ("left", "full"):
-            parts.append(_alone(left, left_keys, right, right_keys))
+    parts = [left.join(right, _equal(left_keys, right_keys), "inner")]
+    if kind in ("left", "full"):
+        parts.append(_alone(left, left_keys, right, right_keys))
     if kind in ("right", "full"):
         parts.append(_alone(right, right_keys, left, left_keys))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -28,6 +28,12 @@ def private_session(spark: SparkSession) -> SparkSession:
     return session
 
 
+def query_frame(session: SparkSession, sql: str) -> DataFrame:
+    """The frame of a SQL text that must be a query; commands are a parse error and do not run."""
+    session._jsparkSession.sessionState().sqlParser().parseQuery(sql)
+    return session.sql(sql)
+
+
 def execute_sql(
     spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] | None = None, run: bool = False
 ) -> SqlOutcome:

@@ -60,3 +60,42 @@ def test_plan_answers(spark):
     assert found["text"].error == "empty conversion" and not found["bad"].plan_valid
     counts = {r.stage: r.n for r in report.by_stage(results, from_plans=True).collect()}
     assert counts == {"invalid-plan": 2, "crash": 1, "content": 1}
+
+
+def test_answers_are_queries_over_their_own_tables(spark, tmp_path):
+    t, expected = expected_of(spark)
+    t.write.parquet(str(tmp_path / "hidden"))
+    texts = {
+        "path": f"SELECT * FROM parquet.`{tmp_path}/hidden`",
+        "write": f"INSERT OVERWRITE DIRECTORY '{tmp_path}/made' USING parquet SELECT * FROM t",
+        "multi": f"FROM t INSERT OVERWRITE DIRECTORY '{tmp_path}/made' USING parquet SELECT *",
+        "with": f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{tmp_path}/made' USING parquet SELECT * FROM a",
+        "set": "SET spark.sql.runSQLOnFiles=true",
+        "view": "CREATE TEMPORARY VIEW w AS SELECT 1 AS one",
+        "fine": "WITH a AS (SELECT * FROM t) SELECT k FROM a UNION ALL VALUES ('x')",
+    }
+    answers = spark.createDataFrame([(i, [], 1, ["t"], a, None, None) for i, a in texts.items()], ANSWER_SCHEMA)
+    results = evaluate_sql(answers, lambda s, name: s.createDataFrame(t.collect(), t.schema), expected)
+    found = {r.id: r.stage for r in results.withColumn("stage", report.stage()).collect()}
+    assert found.pop("fine") == "wrong-output" and found.pop("path") == "crash"
+    assert set(found.values()) == {"syntax"} and len(found) == 5
+    assert not (tmp_path / "made").exists()
+
+
+def test_outputs_are_kept_with_detail_and_previews(spark, tmp_path):
+    t, expected = expected_of(spark)
+    texts = {
+        "sum": "SELECT k, sum(v) + 1 AS total FROM t GROUP BY k", "top": "SELECT * FROM t WHERE v = 3",
+        "free": "SELECT max(v) AS m FROM t", "gone": "SELECT nope FROM t",
+    }
+    answers = spark.createDataFrame([(i, [], 1, ["t"], a, None, None) for i, a in texts.items()], ANSWER_SCHEMA)
+    out = str(tmp_path / "outputs")
+    results = evaluate_sql(
+        answers, lambda s, name: s.createDataFrame(t.collect(), t.schema), expected, outputs=out
+    )
+    found = {r.id: r.comparison for r in results.collect()}
+    assert found["sum"].reason == "content" and found["sum"].detail == "columns with differing values: ['total']"
+    assert sorted(found["sum"].expected_preview.split()) == ['{"k":"a","total":1}', '{"k":"b","total":5}']
+    assert found["top"].match and found["top"].detail is None and found["top"].actual_preview == '{"k":"b","v":3}'
+    kept = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "outputs").iterdir()}
+    assert kept == {"sum.parquet": 2, "top.parquet": 1, "free.parquet": 1}

@@ -3,7 +3,7 @@
 from contextlib import contextmanager
 
 import pytest
-from helpers import rows_of
+from helpers import physical_plan, rows_of
 from pyspark.sql import functions as F
 
 from frameops.functions import aggregates as agg
@@ -57,9 +57,11 @@ JOBS = {
     "inner": lambda hot, dim: join(hot, dim, on="k").select("v", "w"),
     "inner, hot right": lambda hot, dim: join(dim, hot, on="k").select("v", "w"),
     "left": lambda hot, dim: join(hot, dim, on="k", how="left").select("v", "w"),
-    "left, hot right": lambda hot, dim: join(dim, hot, on="k", how="left", hot="right").select("v", "w"),
-    "right, hot left": lambda hot, dim: join(hot, dim, on="k", how="right", hot="left").select("v", "w"),
+    "left, hot right": lambda hot, dim: join(dim, hot, on="k", how="left").select("v", "w"),
+    "right, hot left": lambda hot, dim: join(hot, dim, on="k", how="right").select("v", "w"),
+    "right": lambda hot, dim: join(dim, hot, on="k", how="right").select("v", "w"),
     "full": lambda hot, dim: join(hot, dim, on="k", how="full").select("v", "w"),
+    "full, hot right": lambda hot, dim: join(dim, hot, on="k", how="full").select("v", "w"),
     "semi": lambda hot, dim: join(hot, dim, on="k", how="semi").select("v"),
     "anti": lambda hot, dim: join(hot, dim.where("k >= 0"), on="k", how="anti").select("v"),
     "grouped by the join key": lambda hot, dim: group_agg(join(hot, dim, on="k"), "k", n=agg.agg_len(), w=agg.agg_sum("w")),
@@ -91,3 +93,8 @@ def test_sort_splits_rows_that_are_equal(spark):
     sizes = sort(rows, "k").where("k = 5").groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 30_001 and max(r["count"] for r in sizes) < 25_000
     assert [r.k for r in sort(rows, "k").limit(3).collect()] == [1, 2, 4]
+
+
+def test_small_sides_are_read_once(tables):
+    joined = join(tables.nation, tables.region, left_on="n_regionkey", right_on="r_regionkey", how="full")
+    assert physical_plan(joined).count("FileScan") == 2
