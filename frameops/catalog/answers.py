@@ -10,29 +10,34 @@ from frameops.catalog import plans, relational  # noqa: F401  (registers the que
 from frameops.catalog.registry import QUERIES, query
 from frameops.evaluation import report
 from frameops.evaluation.harness import ANSWER_SCHEMA, evaluate_plans, evaluate_sql
+from frameops.session import scratch_path
+from frameops.sources.tables import load_expected, row_counts
 
 # SQL answers: question, tables, answer, and the stage it reaches.
 _SQL_ANSWERS = (
-    ("count_by_status", ["orders"], "SELECT count(1) AS n_orders, o_orderstatus FROM orders GROUP BY 2", "match"),
-    ("filter_select", ["customer"], "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", "column_set"),
-    ("group_multi", ["orders"], "SELECT o_orderstatus, o_orderpriority, count(*) + 1 AS n FROM orders GROUP BY ALL", "content"),
-    ("revenue_by_nation", ["lineitem", "orders", "customer", "nation"], QUERIES["revenue_by_nation"].sql, "match"),
+    ("turns_by_role", ["conversations"], "SELECT count(1) AS n_turns, role FROM conversations GROUP BY 2", "match"),
+    ("german_documents", ["documents"], "SELECT doc_id, n_chars FROM documents WHERE lang = 'de'", "column_set"),
+    ("documents_by_lang_and_source", ["documents"],
+     "SELECT lang, source, count(*) AS n_documents, sum(n_chars) + 1 AS chars FROM documents GROUP BY ALL", "content"),
+    ("small_parts_by_supplier_region", ["part", "lineitem", "supplier", "nation", "region"],
+     QUERIES["small_parts_by_supplier_region"].sql, "match"),
     ("chained_filter", ["orders"], "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000", "row_count"),
-    ("n_unique", ["orders"], "SELECT count(DISTINCT o_custkey) AS distinct_customers FROM orders WHERE o_price > 0", "crash"),
-    ("per_year", ["orders"], "SELECT year(o_orderdate) AS year, count(*) n_orders orders", "syntax"),
-    ("multi_agg", ["lineitem"], "SELECT l_returnflag, 1 AS sum_qty, 1 AS avg_price, 1 AS max_disc, 1 AS min_tax"
-     " FROM lineitem WHERE l_quantity < 0", "empty_actual"),
+    ("users_and_kinds", ["events"], "SELECT count(DISTINCT user) AS users, 5 AS kinds FROM events WHERE no_such > 10", "crash"),
+    ("events_per_day", ["events"], "SELECT day(ts) AS day, event_type, count(*) n_events events", "syntax"),
+    ("values_by_event_type", ["events"], "SELECT event_type, 1 AS total, 1 AS mean, 1 AS least, max(ts) AS latest,"
+     " 1 AS n_values FROM events WHERE value < -1 GROUP BY event_type", "empty_actual"),
 )
 
 # Plan answers: question, text around the plan, the plan's name, and the stage it reaches.
 _PLAN_ANSWERS = (
-    ("filter_select", "{}", "filter_select", "match"),
-    ("topk_orders", "The plan is {} as asked.", "topk_orders", "match"),
+    ("german_documents", "{}", "german_documents", "match"),
+    ("largest_events", "The plan is {} as asked.", "largest_events", "match"),
     ("rank_dense", "{}", "rank_dense", "match"),
-    ("count_by_status", "{}", "group_multi", "column_set"),
+    ("turns_by_role", "{}", "documents_by_lang_and_source", "column_set"),
     ("chained_filter", "no plan", "filter_any", "invalid-plan"),
-    ("group_multi", "{}", "count_by_status", "column_set"),
+    ("documents_by_lang_and_source", "{}", "turns_by_role", "column_set"),
 )
+_PLAN_TABLES = ["orders", "documents", "events", "conversations"]
 
 
 def _counts_sql(answers):
@@ -47,15 +52,19 @@ def _counts_sql(answers):
 def _shown(results, from_plans=False):
     return results.select(
         "id", report.stage(from_plans).alias("stage"), F.col("comparison.actual_n_rows").alias("n_actual"),
-        F.col("comparison.expected_n_rows").alias("n_expected"),
+        F.col("comparison.expected_n_rows").alias("n_expected"), "comparison.detail",
     )
 
 
+_DETAIL = "CASE WHEN stage = 'content' THEN 'columns with differing values: [''chars'']' END AS detail"
+
+
 _FAILED = ("crash", "syntax", "invalid-plan")
 
 
 @query(
-    "SELECT id, stage, n_actual, CASE WHEN n_actual IS NOT NULL THEN n_expected END AS n_expected FROM ("
+    "SELECT id, stage, n_actual, CASE WHEN n_actual IS NOT NULL THEN n_expected END AS n_expected,"
+    f" {_DETAIL} FROM ("
     + _counts_sql([(n, s, None if s in _FAILED else a) for n, _, a, s in _SQL_ANSWERS]) + ")"
 )
 def judged_sql_answers(t):
@@ -67,14 +76,34 @@ def judged_sql_answers(t):
 
 
 @query(
-    "SELECT id, stage, n_actual, CASE WHEN n_actual IS NOT NULL THEN n_expected END AS n_expected FROM ("
+    "SELECT id, stage, n_actual, CASE WHEN n_actual IS NOT NULL THEN n_expected END AS n_expected,"
+    f" {_DETAIL} FROM ("
     + _counts_sql([(n, s, None if s in _FAILED else QUERIES[p].sql) for n, _, p, s in _PLAN_ANSWERS]) + ")"
 )
 def judged_plan_answers(t):
     rows = [
-        (n, ["plan"], 1, ["orders", "customer"], text.replace("{}", json.dumps(plans.PLANS[p])), None, 0.0)
+        (n, ["plan"], 1, _PLAN_TABLES, text.replace("{}", json.dumps(plans.PLANS[p])), None, 0.0)
         for n, text, p, _ in _PLAN_ANSWERS
     ]
     expected = {n: QUERIES[n].run(t) for n, *_ in _PLAN_ANSWERS}
     answers = t.spark.createDataFrame(rows, ANSWER_SCHEMA)
     return _shown(evaluate_plans(answers, lambda _, name: t[name], expected), from_plans=True)
+
+
+@query(
+    "SELECT id, count(*) AS n_rows FROM (SELECT 'german_documents' AS id FROM documents WHERE lang = 'de'"
+    f" UNION ALL SELECT 'turns_by_role' FROM ({QUERIES['turns_by_role'].sql}) UNION ALL SELECT 'chained_filter' FROM orders"
+    " WHERE o_totalprice > 1000) GROUP BY id"
+)
+def outputs_of_answers(t):
+    """The rows that three judged answers gave, read back from where they are kept."""
+    chosen = [a for a in _SQL_ANSWERS if a[0] in ("german_documents", "turns_by_role", "chained_filter")]
+    rows = [(n, ["sql"], 1, tables, answer, None, 0.0) for n, tables, answer, _ in chosen]
+    folder = scratch_path(t.spark, "outputs")
+    evaluate_sql(
+        t.spark.createDataFrame(rows, ANSWER_SCHEMA),
+        lambda session, name: session.read.parquet(f"{t.folder}/{name}.parquet"),
+        {n: QUERIES[n].run(t) for n, *_ in chosen},
+        outputs=folder,
+    )
+    return row_counts(load_expected(t.spark, folder)).withColumnRenamed("table", "id")

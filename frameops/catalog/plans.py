@@ -26,11 +26,11 @@ def _by(*names, **flags):
 
 # Plans by the name of the query that runs them or that they repeat.
 PLANS = {
-    "filter_select": {
-        "source_table": "customer",
+    "german_documents": {
+        "source_table": "documents",
         "operations": [
-            _op("filter", conditions=[{"column": "c_mktsegment", "op": "==", "value": "BUILDING"}], combine="and"),
-            _op("select", columns=["c_custkey", "c_name"]),
+            _op("filter", conditions=[{"column": "lang", "op": "==", "value": "de"}], combine="and"),
+            _op("select", columns=["doc_id", "source", "n chars"]),
         ],
     },
     "filter_any": {
@@ -48,25 +48,27 @@ PLANS = {
             _op("select", columns=["o_orderkey", "o totalprice"]),
         ],
     },
-    "topk_orders": {
-        "source_table": "orders",
+    "largest_events": {
+        "source_table": "events",
         "operations": [
-            _op("sort", columns=_by("o_totalprice", "o_orderkey", o_totalprice=True)),
-            _op("head", n=10),
-            _op("select", columns=["o_orderkey", "o_totalprice", "o_orderdate"]),
+            _op("filter", conditions=[{"column": "event_type", "op": "!=", "value": "error"}]),
+            _op("sort", columns=_by("value", "event_id", value=True, event_id=True)),
+            _op("head", n=15),
+            _op("select", columns=["event_id", "user_id", "value"]),
         ],
     },
-    "count_by_status": {
-        "source_table": "orders",
+    "turns_by_role": {
+        "source_table": "conversations",
         "operations": [
-            _op("group_by", columns=["o_orderstatus"], aggregations=[_agg("len", "*", "n_orders")]),
-            _op("sort", columns=_by("o_orderstatus")),
+            _op("group_by", columns=["role"], aggregations=[_agg("len", "*", "n_turns")]),
+            _op("sort", columns=_by("role")),
         ],
     },
-    "group_multi": {
-        "source_table": "orders",
+    "documents_by_lang_and_source": {
+        "source_table": "documents",
         "operations": [
-            _op("group_by", columns=["o_orderstatus", "o_orderpriority"], aggregations=[_agg("len", "o_custkey", "n")]),
+            _op("group_by", columns=["lang", "source"], aggregations=[
+                _agg("len", "doc_id", "n_documents"), _agg("sum", "n_chars", "chars")]),
         ],
     },
     "n_unique": {
@@ -89,7 +91,7 @@ PLANS = {
             _op("select", columns=["n_name", "n_regionkey", "r_regionkey", "r_name"]),
         ],
     },
-    "q3_like": {
+    "dearest_orders": {
         "source_table": "customer",
         "operations": [
             _op("filter", conditions=[{"column": "c_mktsegment", "op": "==", "value": "BUILDING"}]),
@@ -127,9 +129,9 @@ def _run(t, name):
     return run_plan(json.dumps(plan), {n: t[n] for n in used})
 
 
-@query(QUERIES["filter_select"].sql)
+@query(QUERIES["german_documents"].sql)
 def plan_filter_select(t):
-    return _run(t, "filter_select")
+    return _run(t, "german_documents")
 
 
 @query(QUERIES["filter_any"].sql)
@@ -137,19 +139,19 @@ def plan_filter_any(t):
     return _run(t, "filter_any")
 
 
-@query(QUERIES["topk_orders"].sql)
-def plan_topk_orders(t):
-    return _run(t, "topk_orders")
+@query(QUERIES["largest_events"].sql)
+def plan_top_k(t):
+    return _run(t, "largest_events")
 
 
-@query(QUERIES["count_by_status"].sql)
-def plan_count_by_status(t):
-    return _run(t, "count_by_status")
+@query(QUERIES["turns_by_role"].sql)
+def plan_count_by_group(t):
+    return _run(t, "turns_by_role")
 
 
-@query(QUERIES["group_multi"].sql)
-def plan_group_multi(t):
-    return _run(t, "group_multi")
+@query(QUERIES["documents_by_lang_and_source"].sql)
+def plan_group_two_columns(t):
+    return _run(t, "documents_by_lang_and_source")
 
 
 @query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus")
@@ -173,7 +175,7 @@ def plan_outer_join(t):
     " GROUP BY c_custkey ORDER BY best DESC, c_custkey LIMIT 10"
 )
 def plan_join_group_top(t):
-    return _run(t, "q3_like")
+    return _run(t, "dearest_orders")
 
 
 @query(QUERIES["rank_dense"].sql)

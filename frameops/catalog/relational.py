@@ -18,16 +18,12 @@ def _days(first: str, last: str) -> tuple[dt.date, dt.date]:
     return dt.date.fromisoformat(first), dt.date.fromisoformat(last)
 
 
-def _revenue():
-    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
-
-
 # --- projection and filters -------------------------------------------------
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'", "customer")
-def filter_select(t):
-    return t.customer.filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name")
+@query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de'", "documents")
+def german_documents(t):
+    return t.documents.filter(F.col("lang") == "de").select("doc_id", "source", "n_chars")
 
 
 @query(
@@ -60,46 +56,46 @@ def chained_filter(t):
 
 
 @query(
-    "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'O'"
-    " GROUP BY o_orderstatus",
-    "orders",
+    "SELECT role, max(turn) AS last_turn, count(*) AS n_rows FROM conversations WHERE role = 'system' OR turn > 3"
+    " GROUP BY role",
+    "conversations",
 )
-def or_filter(t):
-    kept = t.orders.filter((F.col("o_orderstatus") == "F") | (F.col("o_orderstatus") == "O"))
-    return op.group_agg(kept, "o_orderstatus", n=agg.agg_len()).transform(op.sort, "o_orderstatus")
+def late_or_system_turns(t):
+    kept = t.conversations.filter((F.col("role") == "system") | (F.col("turn") > 3))
+    return op.group_agg(kept, "role", last_turn=agg.agg_max("turn"), n_rows=agg.agg_len())
 
 
-@query(
-    "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 5",
-    "customer",
-)
-def not_filter(t):
-    kept = t.customer.filter(~(F.col("c_mktsegment") == "BUILDING")).select("c_custkey", "c_mktsegment")
-    return op.top_k(kept, "c_custkey", 5, descending=False)
+@query("SELECT event_id, event_type, value FROM events WHERE NOT (event_type = 'view' OR value < 120)")
+def no_views_nor_small_values(t):
+    return t.events.filter(~((F.col("event_type") == "view") | (F.col("value") < 120))).select(
+        "event_id", "event_type", "value"
+    )
 
 
 @query(
-    "SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01'"
-    " AND l_quantity > 30 AND l_discount < 0.05",
-    "lineitem",
+    "SELECT count(DISTINCT user_id) AS n_users, max(value) AS largest FROM events WHERE event_type = 'purchase'"
+    " AND value >= 20 AND ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'",
+    "events",
 )
-def and_date(t):
-    kept = t.lineitem.filter(
-        fn.is_between("l_shipdate", *_days("1997-01-01", "1997-12-31"))
-        & (F.col("l_quantity") > 30)
-        & (F.col("l_discount") < 0.05)
+def buyers_in_mid_january(t):
+    kept = t.events.filter(
+        (F.col("event_type") == "purchase")
+        & (F.col("value") >= 20)
+        & fn.is_between("ts", *_days("2024-01-08", "2024-01-19"))
     )
-    return op.aggregate(kept, n=agg.agg_len())
+    return op.aggregate(kept, n_users=agg.agg_n_unique("user_id"), largest=agg.agg_max("value"))
 
 
 @query(
-    "SELECT count(*) AS n_orders FROM orders WHERE CAST(o_orderdate AS DATE)"
-    " BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'",
-    "orders",
+    "SELECT min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n_lines FROM lineitem"
+    " WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-05-10' AND DATE '1995-06-20'",
+    "lineitem",
 )
-def count_quarter(t):
-    kept = t.orders.filter(fn.is_between("o_orderdate", *_days("1996-01-01", "1996-03-31")))
-    return op.aggregate(kept, n_orders=agg.agg_len())
+def quantities_shipped_in_six_weeks(t):
+    kept = t.lineitem.filter(fn.is_between("l_shipdate", *_days("1995-05-10", "1995-06-20")))
+    return op.aggregate(
+        kept, least=agg.agg_min("l_quantity"), most=agg.agg_max("l_quantity"), n_lines=agg.agg_len()
+    )
 
 
 @query("SELECT event_id, ts FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-10'")
@@ -114,25 +110,21 @@ def between_numbers(t):
     )
 
 
-@query(
-    "SELECT c_custkey, upper(c_name) AS c_name_upper, c_acctbal * 2 AS double_bal FROM customer"
-    " ORDER BY c_custkey LIMIT 5",
-    "customer",
-)
-def upper_double(t):
+@query("SELECT page_id, lower(url) AS address, length(html) - length(url) AS surplus, url FROM pages", "pages")
+def page_addresses(t):
     wider = op.with_columns(
-        t.customer, {"c_name_upper": fn.str_to_uppercase("c_name"), "double_bal": F.col("c_acctbal") * 2}
+        t.pages,
+        {
+            "address": fn.str_to_lowercase("url"),
+            "surplus": (fn.str_len_chars("html") - fn.str_len_chars("url")).cast("long"),
+        },
     )
-    return op.top_k(wider.select("c_custkey", "c_name_upper", "double_bal"), "c_custkey", 5, descending=False)
+    return wider.select("page_id", "address", "surplus", "url")
 
 
-@query(
-    "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_custkey LIMIT 5",
-    "customer",
-)
-def rename_columns(t):
-    renamed = op.rename(t.customer.select("c_custkey", "c_name"), {"c_custkey": "id", "c_name": "name"})
-    return op.top_k(renamed, "id", 5, descending=False)
+@query("SELECT conv_id AS thread, turn AS step, role AS speaker, text FROM conversations", "conversations")
+def threads(t):
+    return op.rename(t.conversations, {"conv_id": "thread", "turn": "step", "role": "speaker"})
 
 
 @query(
@@ -164,12 +156,19 @@ def divide_by_zero(t):
 
 
 @query(
-    "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size_f FROM part ORDER BY p_partkey LIMIT 5",
-    "part",
+    "SELECT l.doc_id, CAST(l.doc_id AS VARCHAR) AS doc_text, CAST(quality AS DOUBLE) AS quality,"
+    " toxic <> 0 AS is_toxic FROM labels l"
 )
-def cast_float(t):
-    wider = op.with_columns(t.part, {"p_size_f": fn.cast("p_size", "Float64")})
-    return op.top_k(wider.select("p_partkey", "p_size_f"), "p_partkey", 5, descending=False)
+def labels_in_other_types(t):
+    wider = op.with_columns(
+        t.labels,
+        {
+            "doc_text": fn.cast("doc_id", "Utf8"),
+            "quality": fn.cast("quality", "Float64"),
+            "is_toxic": fn.cast("toxic", "Boolean"),
+        },
+    )
+    return wider.select("doc_id", "doc_text", "quality", "is_toxic")
 
 
 @query(
@@ -196,69 +195,63 @@ def cast_targets(t):
 
 
 @query(
-    "SELECT c_name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey"
-    " ORDER BY c_name LIMIT 20",
-    "customer nation",
+    "SELECT d.doc_id, lang AS language, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1",
+    "documents labels",
 )
-def join_nation(t):
-    joined = join(t.customer, t.nation, left_on="c_nationkey", right_on="n_nationkey")
-    return op.top_k(joined.select("c_name", F.col("n_name").alias("nation")), "c_name", 20, descending=False)
+def languages_of_toxic_documents(t):
+    joined = join(t.documents, t.labels.filter(F.col("toxic") == 1), left_on="doc_id", right_on="doc_id")
+    return joined.select("doc_id", F.col("lang").alias("language"), "quality")
 
 
 @query(
-    "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem"
-    " JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
-    " JOIN nation ON c_nationkey = n_nationkey"
-    " WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name",
-    "lineitem orders customer nation",
+    "SELECT r_name, p_brand, sum(l_quantity) AS quantity, count(*) AS n_lines FROM part"
+    " JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey"
+    " JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+    " WHERE p_size <= 12 AND l_returnflag = 'N' GROUP BY r_name, p_brand",
+    "part lineitem supplier nation region",
 )
-def revenue_by_nation(t):
+def small_parts_by_supplier_region(t):
     joined = (
-        t.lineitem.transform(join, t.orders, left_on="l_orderkey", right_on="o_orderkey")
-        .transform(join, t.customer, left_on="o_custkey", right_on="c_custkey")
-        .transform(join, t.nation, left_on="c_nationkey", right_on="n_nationkey")
-        .filter(fn.is_between("o_orderdate", *_days("1996-01-01", "1996-12-31")))
+        t.part.filter(F.col("p_size") <= 12)
+        .transform(join, t.lineitem.filter(F.col("l_returnflag") == "N"), left_on="p_partkey", right_on="l_partkey")
+        .transform(join, t.supplier, left_on="l_suppkey", right_on="s_suppkey")
+        .transform(join, t.nation, left_on="s_nationkey", right_on="n_nationkey")
+        .transform(join, t.region, left_on="n_regionkey", right_on="r_regionkey")
     )
-    summed = op.group_agg(joined, "n_name", revenue=F.round(agg.agg_sum(_revenue()), 2))
-    return op.sort(summed, "revenue", descending=True)
-
-
-@query(
-    "SELECT o_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer"
-    " JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey"
-    " WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15'"
-    " GROUP BY o_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, o_orderkey LIMIT 10",
-    "customer orders lineitem",
-)
-def q3_like(t):
-    cut = fn.date(1998, 3, 15)
-    revenue = (
-        t.customer.filter(F.col("c_mktsegment") == "BUILDING")
-        .transform(join, t.orders, left_on="c_custkey", right_on="o_custkey")
-        .filter(F.col("o_orderdate") < cut)
-        .transform(join, t.lineitem, left_on="o_orderkey", right_on="l_orderkey")
-        .filter(F.col("l_shipdate") > cut)
-        .transform(op.with_columns, {"revenue": _revenue()})
-        .transform(op.group_agg, ["o_orderkey", "o_orderdate"], revenue=F.round(agg.agg_sum("revenue"), 2))
+    return op.group_agg(joined, ["r_name", "p_brand"], quantity=agg.agg_sum("l_quantity"), n_lines=agg.agg_len())
+
+
+@query(
+    "SELECT p_partkey, p_brand, CAST(max(date_diff('day', o_orderdate, l_shipdate)) AS INTEGER) AS longest_wait,"
+    " count(*) AS n_lines FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey"
+    " WHERE p_size BETWEEN 5 AND 15 AND l_linestatus = 'O' GROUP BY p_partkey, p_brand"
+    " ORDER BY longest_wait DESC, n_lines DESC, p_partkey LIMIT 10"
+)
+def longest_waits_for_parts(t):
+    waited = (
+        t.part.filter(fn.is_between("p_size", 5, 15))
+        .transform(join, t.lineitem.filter(F.col("l_linestatus") == "O"), left_on="p_partkey", right_on="l_partkey")
+        .transform(join, t.orders, left_on="l_orderkey", right_on="o_orderkey")
+        .transform(op.with_columns, {"wait": F.datediff("l_shipdate", "o_orderdate")})
+        .transform(
+            op.group_agg, ["p_partkey", "p_brand"], longest_wait=agg.agg_max("wait"), n_lines=agg.agg_len()
+        )
     )
-    return op.top_k(revenue, ["revenue", "o_orderdate", "o_orderkey"], 10, [True, False, False])
+    return op.top_k(waited, ["longest_wait", "n_lines", "p_partkey"], 10, [True, True, False])
 
 
 @query(
-    "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem"
-    " JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_15')"
-    " ORDER BY p_partkey LIMIT 20",
-    "part lineitem supplier nation",
+    "SELECT s_suppkey, s_acctbal FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey"
+    " WHERE l_suppkey = s_suppkey AND p_size = 1 AND l_discount >= 0.08)",
+    "supplier lineitem part",
 )
-def semi_parts(t):
-    supplied = (
-        t.lineitem.transform(join, t.supplier, left_on="l_suppkey", right_on="s_suppkey")
-        .transform(join, t.nation, left_on="s_nationkey", right_on="n_nationkey")
-        .filter(F.col("n_name") == "NATION_15")
-        .select("l_partkey")
+def suppliers_of_cheap_small_parts(t):
+    sold = join(
+        t.lineitem.filter(F.col("l_discount") >= 0.08), t.part.filter(F.col("p_size") == 1),
+        left_on="l_partkey", right_on="p_partkey",
     )
-    parts = join(t.part, supplied, left_on="p_partkey", right_on="l_partkey", how="semi")
-    return op.top_k(parts.select("p_partkey", "p_name"), "p_partkey", 20, descending=False)
+    found = join(t.supplier, sold, left_on="s_suppkey", right_on="l_suppkey", how="semi")
+    return found.select("s_suppkey", "s_acctbal")
 
 
 @query(
@@ -273,13 +266,16 @@ def anti_customers(t):
 
 
 @query(
-    "SELECT n_name, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"
-    " ORDER BY n_name LIMIT 5",
-    "nation region",
+    "SELECT q.conv_id, q.turn, a.role AS reply_role, length(a.text) AS reply_length FROM conversations q"
+    " LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user'"
 )
-def left_join(t):
-    joined = join(t.nation, t.region, left_on="n_regionkey", right_on="r_regionkey", how="left")
-    return op.top_k(joined.select("n_name", F.col("r_name").alias("region")), "n_name", 5, descending=False)
+def replies_to_users(t):
+    asked = t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", (F.col("turn") + 1).alias("next"))
+    joined = join(asked, t.conversations, left_on=["conv_id", "next"], right_on=["conv_id", "turn"], how="left")
+    return joined.select(
+        "conv_id", "turn", F.col("role").alias("reply_role"),
+        fn.str_len_chars("text").cast("long").alias("reply_length"),
+    )
 
 
 @query(
@@ -339,60 +335,62 @@ def self_join_many_keys(t):
 
 
 @query(
-    "SELECT c_name, l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS gross"
-    " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
-    " WHERE c_mktsegment = 'AUTOMOBILE' ORDER BY gross DESC, l_orderkey, l_linenumber LIMIT 10",
-    "lineitem orders customer",
+    "SELECT s_name, p_name, l_orderkey, l_linenumber, round(l_extendedprice / l_quantity - p_retailprice, 4) AS markup"
+    " FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
+    " WHERE l_quantity >= 2 ORDER BY markup DESC, l_orderkey, l_linenumber, s_name, p_name LIMIT 12"
 )
-def gross_top10(t):
-    gross = _revenue() * (1 + F.col("l_tax"))
+def largest_markups(t):
+    markup = fn.true_divide("l_extendedprice", "l_quantity") - F.col("p_retailprice")
     joined = (
-        t.lineitem.transform(join, t.orders, left_on="l_orderkey", right_on="o_orderkey")
-        .transform(join, t.customer, left_on="o_custkey", right_on="c_custkey")
-        .filter(F.col("c_mktsegment") == "AUTOMOBILE")
-        .transform(op.with_columns, {"gross": F.round(gross, 4)})
-        .select("c_name", "l_orderkey", "l_linenumber", "gross")
+        t.lineitem.filter(F.col("l_quantity") >= 2)
+        .transform(join, t.part, left_on="l_partkey", right_on="p_partkey")
+        .transform(join, t.supplier, left_on="l_suppkey", right_on="s_suppkey")
+        .select("s_name", "p_name", "l_orderkey", "l_linenumber", F.round(markup, 4).alias("markup"))
     )
-    return op.top_k(joined, ["gross", "l_orderkey", "l_linenumber"], 10, [True, False, False])
+    names = ["markup", "l_orderkey", "l_linenumber", "s_name", "p_name"]
+    return op.top_k(joined, names, 12, [True, False, False, False, False])
 
 
 # --- aggregates ---------------------------------------------------------------
 
 
-@query("SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY o_orderstatus", "orders")
-def count_by_status(t):
-    return op.group_agg(t.orders, "o_orderstatus", n_orders=agg.agg_len()).transform(op.sort, "o_orderstatus")
+@query("SELECT role, count(*) AS n_turns FROM conversations GROUP BY role", "conversations")
+def turns_by_role(t):
+    return op.group_agg(t.conversations, "role", n_turns=agg.agg_len())
 
 
 @query(
-    "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL",
-    "orders",
+    "SELECT lang, source, count(*) AS n_documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source",
+    "documents",
 )
-def group_multi(t):
-    keys = ["o_orderstatus", "o_orderpriority"]
-    return op.group_agg(t.orders, keys, n=agg.agg_len()).transform(op.sort, keys)
+def documents_by_lang_and_source(t):
+    return op.group_agg(t.documents, ["lang", "source"], n_documents=agg.agg_len(), chars=agg.agg_sum("n_chars"))
 
 
 @query(
-    "SELECT l_returnflag, sum(l_quantity) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price,"
-    " max(l_discount) AS max_disc, min(l_tax) AS min_tax FROM lineitem GROUP BY l_returnflag",
-    "lineitem",
+    "SELECT event_type, round(sum(value), 2) AS total, round(avg(value), 4) AS mean, min(value) AS least,"
+    " max(ts) AS latest, count(value) AS n_values FROM events GROUP BY event_type",
+    "events",
 )
-def multi_agg(t):
+def values_by_event_type(t):
     return op.group_agg(
-        t.lineitem,
-        "l_returnflag",
-        sum_qty=agg.agg_sum("l_quantity"),
-        avg_price=F.round(agg.agg_mean("l_extendedprice"), 4),
-        max_disc=agg.agg_max("l_discount"),
-        min_tax=agg.agg_min("l_tax"),
-    ).transform(op.sort, "l_returnflag")
+        t.events,
+        "event_type",
+        total=F.round(agg.agg_sum("value"), 2),
+        mean=F.round(agg.agg_mean("value"), 4),
+        least=agg.agg_min("value"),
+        latest=agg.agg_max("ts"),
+        n_values=agg.agg_count("value"),
+    )
 
 
-@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_orders FROM orders GROUP BY ALL", "orders")
-def per_year(t):
-    dated = op.with_columns(t.orders, {"year": fn.dt_year("o_orderdate")})
-    return op.group_agg(dated, "year", n_orders=agg.agg_len()).transform(op.sort, "year")
+@query(
+    "SELECT CAST(day(ts) AS INTEGER) AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL",
+    "events",
+)
+def events_per_day(t):
+    dated = op.with_columns(t.events, {"day": fn.dt_day("ts")})
+    return op.group_agg(dated, ["day", "event_type"], n_events=agg.agg_len())
 
 
 @query(
@@ -404,9 +402,13 @@ def group_by_expression(t):
     return op.group_agg(t.lineitem, keys, n=agg.agg_len())
 
 
-@query("SELECT count(DISTINCT o_custkey) AS distinct_customers FROM orders", "orders")
-def n_unique(t):
-    return op.aggregate(t.orders, distinct_customers=agg.agg_n_unique("o_custkey"))
+@query(
+    "SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds FROM events WHERE value > 10",
+    "events",
+)
+def users_and_kinds(t):
+    kept = t.events.filter(F.col("value") > 10)
+    return op.aggregate(kept, users=agg.agg_n_unique("user_id"), kinds=agg.agg_n_unique("event_type"))
 
 
 @query(
@@ -478,14 +480,13 @@ def aggregates_on_every_row(t):
 
 
 @query(
-    "SELECT * FROM (SELECT c_custkey, c_name, c_nationkey, c_acctbal, dense_rank() OVER"
-    " (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rank_in_nation FROM customer) WHERE rank_in_nation <= 3",
-    "customer",
+    "SELECT * FROM (SELECT doc_id, lang, n_chars, dense_rank() OVER (PARTITION BY lang ORDER BY n_chars) AS size_place"
+    " FROM documents) WHERE size_place <= 4",
+    "documents",
 )
-def dense_rank_top3(t):
-    slim = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    best = top_per_group(slim, "c_acctbal", 3, over="c_nationkey", name="rank_in_nation")
-    return op.sort(best, ["c_nationkey", "rank_in_nation", "c_custkey"])
+def shortest_documents_per_lang(t):
+    slim = t.documents.select("doc_id", "lang", "n_chars")
+    return top_per_group(slim, "n_chars", 4, over="lang", descending=False, name="size_place")
 
 
 @query(
@@ -610,12 +611,12 @@ def aggregate_over_group(t):
 
 
 @query(
-    "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
-    "orders",
+    "SELECT event_id, user_id, value FROM events WHERE event_type <> 'error' ORDER BY value DESC, event_id DESC LIMIT 15",
+    "events",
 )
-def topk_orders(t):
-    best = op.top_k(t.orders, ["o_totalprice", "o_orderkey"], 10, [True, False])
-    return best.select("o_orderkey", "o_totalprice", "o_orderdate")
+def largest_events(t):
+    kept = t.events.filter(F.col("event_type") != "error")
+    return op.top_k(kept, ["value", "event_id"], 15).select("event_id", "user_id", "value")
 
 
 @query("SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders")
@@ -624,10 +625,9 @@ def sort_all(t):
     return op.sort(slim, ["o_orderstatus", "o_totalprice"], [False, True])
 
 
-@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "orders")
-def distinct_pairs(t):
-    keys = ["o_orderstatus", "o_orderpriority"]
-    return op.unique(t.orders.select(*keys)).transform(op.sort, keys)
+@query("SELECT DISTINCT turn, role FROM conversations", "conversations")
+def roles_at_turns(t):
+    return op.unique(t.conversations.select("turn", "role"))
 
 
 @query(
@@ -647,10 +647,9 @@ def unique_any_row(t):
 # --- functions --------------------------------------------------------------------
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(c_name, 'Customer#0000000')", "customer")
-def name_contains(t):
-    kept = t.customer.filter(fn.str_contains("c_name", "Customer#0000000"))
-    return op.sort(kept.select("c_custkey", "c_name"), "c_custkey")
+@query("SELECT page_id, url FROM pages WHERE contains(url, '.org/')", "pages")
+def pages_of_org_hosts(t):
+    return t.pages.filter(fn.str_contains("url", "\\.org/")).select("page_id", "url")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(red|blue) [a-w]+')")
@@ -684,10 +683,14 @@ def len_chars(t):
     return t.documents.select("doc_id", fn.str_len_chars("text").cast("long").alias("n"))
 
 
-@query("SELECT CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n_march FROM orders WHERE month(o_orderdate) = 3 GROUP BY ALL", "orders")
-def month_filter(t):
-    dated = op.with_columns(t.orders, {"month": fn.dt_month("o_orderdate")}).filter(F.col("month") == 3)
-    return op.group_agg(dated, "month", n_march=agg.agg_len())
+@query(
+    "SELECT CAST(month(l_shipdate) AS INTEGER) AS month, l_linestatus, count(*) AS n_lines FROM lineitem"
+    " WHERE month(l_shipdate) IN (11, 12) AND day(l_shipdate) <= 7 GROUP BY ALL"
+)
+def first_weeks_of_winter(t):
+    dated = op.with_columns(t.lineitem, {"month": fn.dt_month("l_shipdate"), "day": fn.dt_day("l_shipdate")})
+    kept = dated.filter(F.col("month").isin(11, 12) & (F.col("day") <= 7))
+    return op.group_agg(kept, ["month", "l_linestatus"], n_lines=agg.agg_len())
 
 
 @query(

@@ -14,7 +14,7 @@ from frameops.plans.run import join_keys, repair_names, run_plan
 
 
 @pytest.mark.parametrize(
-    "name", ["filter_select", "filter_any", "topk_orders", "count_by_status", "group_multi", "rank_dense", "first_last"]
+    "name", ["german_documents", "filter_any", "largest_events", "turns_by_role", "documents_by_lang_and_source", "rank_dense", "first_last"]
 )
 def test_plan_equals_the_dataframe_form(tables, name):
     plan = PLANS[name]
