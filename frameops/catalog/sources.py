@@ -62,8 +62,7 @@ def database_schema(t):
 )
 def question_ids(t):
     questions = t.documents.select(F.col("source").alias("db_id"), F.col("doc_id").alias("seq"), "n_chars")
-    available = [r["db_id"] for r in questions.select("db_id").distinct().collect()]
-    return records.load_questions(questions, available)
+    return records.load_questions(questions, questions.select("db_id"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameops.functions.scalar import named
+from frameops.operators.joins import join
 from frameops.operators.ranking import MAX_ROWS_PER_TASK, number_rows
 
 _TABLES = "map<string, struct<columns: map<string, string>, n_rows: bigint>>"
@@ -29,15 +31,22 @@ def read_records(
 ) -> DataFrame:
     """Records of JSON-lines files; blank lines are skipped.
 
-    ``limit`` keeps the first records in file order (0 or None keeps all): each task
-    finds its own first records, and only those are compared.
+    ``limit`` keeps the first records in file order (0 or None keeps all). Only as many
+    files as hold that many records are read, in the order of their names; each task finds
+    its own first records, and only those are compared.
     """
     records = spark.read.schema(schema).json(path)
     if not limit:
         return records
-    placed = records.select(
+    file = F.col("_metadata.file_path")
+    # The metadata column writes a path without a host as scheme:/path.
+    files = sorted(re.sub(r"^(\w+):///", r"\1:/", name) for name in records.inputFiles())
+    taken = 1
+    while taken < len(files) and records.where(file.isin(*files[:taken])).limit(limit).count() < limit:
+        taken *= 2
+    placed = records.where(file.isin(*files[:taken])).select(
         "*",
-        F.col("_metadata.file_path").alias("__file"),
+        file.alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"),
     )
@@ -51,7 +60,7 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 def load_questions(
     questions: DataFrame,
-    available: Sequence[str],
+    available: Sequence[str] | DataFrame,
     whitelist: Sequence[str] | None = None,
     limit: int | None = None,
     order: str = "seq",
@@ -60,14 +69,19 @@ def load_questions(
 ) -> DataFrame:
     """Questions of the available databases, with an id that counts per database.
 
-    ``questions`` has ``db_id`` and ``order``, a unique position in the corpus. Ids
+    ``questions`` has ``db_id`` and ``order``, a unique position in the corpus; ``available``
+    is a list of databases or a frame with their ``db_id``. Ids
     read ``<prefix>_<db_id>_<0000>``. Cutting to the first ``limit`` questions before
     counting gives the same ids, because a count only looks at earlier questions.
     """
-    databases = sorted(set(available) & set(whitelist) if whitelist is not None else set(available))
-    if not databases:
+    if not isinstance(available, DataFrame):
+        available = questions.sparkSession.createDataFrame([(name,) for name in sorted(set(available))], "db_id string")
+    databases = available.select("db_id")
+    if whitelist is not None:
+        databases = databases.where(F.col("db_id").isin(*whitelist))
+    if databases.isEmpty():
         raise ValueError("none of the chosen databases is available")
-    kept = questions.where(F.col("db_id").isin(*databases))
+    kept = join(questions, databases, on="db_id", how="semi")
     if limit:
         kept = kept.orderBy(order).limit(limit)
     # Only the two key columns are numbered; the texts join them on the unique position.

@@ -1,7 +1,6 @@
-"""Tables, records, exports, SQLite files and SQL texts."""
+"""Tables, records, exports and SQL texts."""
 
 import json
-import sqlite3
 
 import pytest
 from conftest import DATA
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from frameops.sources import records
 from frameops.sources.export import export_databases, export_tables
-from frameops.sources.sqlite import SqliteSource, sqlite_source, user_tables
 from frameops.sources.sqltext import execute_sql
 from frameops.sources.tables import load_database, load_expected, load_tables, row_counts, table_names, write_frame
 
@@ -66,35 +64,31 @@ def test_question_ids_count_per_database(spark, bound):
         records.load_questions(df, ["a"], whitelist=["z"])
 
 
-@pytest.fixture
-def sqlite_file(tmp_path):
-    path = str(tmp_path / "shop.sqlite")
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE item (id INTEGER PRIMARY KEY AUTOINCREMENT, name VARCHAR(9), price REAL, data BLOB)")
-        db.executemany("INSERT INTO item (name, price, data) VALUES (?, ?, ?)",
-                       [(f"n{i}" if i % 5 else None, i / 4, bytes([i])) for i in range(100)])
-        db.execute('CREATE TABLE "odd name" (a INT, b)')
-        db.execute('INSERT INTO "odd name" VALUES (1, 2)')
-        db.execute("CREATE TABLE bare (x DOUBLE)")
-        db.execute("DELETE FROM item WHERE id BETWEEN 20 AND 60")
-    db.close()
-    return path
-
-
-def test_sqlite_table_is_read_in_ranges(spark, sqlite_file):
-    assert user_tables(sqlite_file) == ["bare", "item", "odd name"]
-    spark.dataSource.register(SqliteSource)
-    df = (spark.read.format("sqlite").option("path", sqlite_file).option("table", "item").option("rowsPerPartition", "7").load())
-    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "double", "binary"]
-    assert df.rdd.getNumPartitions() == 15
-    assert df.count() == 59
-    assert df.agg(F.sum("price")).first()[0] == sum(i / 4 for i in range(100) if not 20 <= i + 1 <= 60)
-    assert df.where("name is null").count() == sum(i % 5 == 0 and not 20 <= i + 1 <= 60 for i in range(100))
-
-
-def test_export_of_databases(spark, sqlite_file, tmp_path):
+def test_first_records_read_the_first_files_only(spark, tmp_path):
+    for i in range(10):
+        (tmp_path / f"part {i:02d}.jsonl").write_text("".join(f'{{"id": "r{i}_{j}"}}\n' for j in range(4)))
+    found = records.read_records(spark, str(tmp_path), "id string", limit=6)
+    assert [r.id for r in found.collect()] == [f"r0_{j}" for j in range(4)] + ["r1_0", "r1_1"]
+    assert records.read_records(spark, str(tmp_path), "id string", limit=100).count() == 40
+    # A file that cannot be read fails a read only if it is opened.
+    (tmp_path / "part 10.jsonl.gz").write_bytes(b"no archive")
+    assert records.read_records(spark, str(tmp_path), "id string", limit=6).count() == 6
+    with pytest.raises(Exception, match="(?i)gzip|zip|read"):
+        records.read_records(spark, str(tmp_path), "id string", limit=100).count()
+
+
+def test_available_databases_as_a_frame(spark):
+    df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, None)], "seq int, db_id string")
+    found = records.load_questions(df, df.where("db_id = 'a' OR db_id IS NULL").select("db_id"))
+    assert sorted((r.seq, r.id) for r in found.collect()) == [(0, "spider_a_0000"), (2, "spider_a_0001")]
+    with pytest.raises(ValueError):
+        records.load_questions(df, df.where("seq > 5"))
+
+
+def test_export_of_databases(spark, tmp_path):
     out = str(tmp_path / "out")
-    sources = {"shop": sqlite_source(spark, sqlite_file), "gone": sqlite_source(spark, str(tmp_path / "no.sqlite"))}
+    made = {"item": spark.range(59), "bare": spark.range(0), "odd name": spark.range(1)}
+    sources = {"shop": (list(made), made.__getitem__), "gone": None}
     manifest = export_databases(spark, sources, out)
     assert rows_of(manifest) == sorted([("'shop'", "'item'", "59"), ("'shop'", "'bare'", "0"), ("'shop'", "'odd name'", "1")])
     assert rows_of(spark.read.schema(manifest.schema).json(out + "/manifest.json")) == rows_of(manifest)
