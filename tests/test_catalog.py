@@ -42,4 +42,5 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    # The text operators, where they are installed, add queries of their own, some without SQL.
+    assert set(QUERIES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
