@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameops.corpus.screen import strip
+
 # Tiers from weakest to strongest.
 TIERS = ("parses", "runs", "matches")
 PLAN_TIERS = ("plan_valid", "converted", *TIERS)
@@ -24,7 +26,7 @@ STAGE_ORDER = (
 
 
 def _blank(code: Column) -> Column:
-    return F.coalesce(code.rlike(r"^\s*$"), F.lit(True))
+    return F.coalesce(strip(code) == "", F.lit(True))
 
 
 def tier_flags(outcomes: DataFrame, from_plans: bool = False) -> DataFrame:

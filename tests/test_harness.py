@@ -19,7 +19,7 @@ def test_sql_answers(spark):
         ("free", ["filter"], 2, ["t"], "SELECT 1 AS one", None, None),
         ("typo", ["agg"], 3, ["t"], "SELEC k FROM t", None, 3.0),
         ("gone", ["agg"], 3, ["t"], "SELECT nope FROM t", None, 3.0),
-        ("blank", ["agg"], 3, ["t"], " ", None, 3.0),
+        ("blank", ["agg"], 3, ["t"], " \u3000\u00a0\n", None, 3.0),
         ("slow", ["agg"], 3, ["t"], None, "timeout", 3.0),
         ("other", ["join"], 3, [], "SELECT * FROM t", None, 3.0),
     ]
