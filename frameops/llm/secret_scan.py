@@ -4,8 +4,9 @@ The known shapes are regular expressions. Everything else is found by entropy: a
 is a maximal run of token characters; a window slides over it and counts of its characters
 are updated by one character in and one out, with the sum of ``n log2 n`` kept beside them,
 so each step costs the same however wide the window is. The window's Shannon entropy is held
-against the threshold of the candidate's character class. Runs on the allow list, and runs
-that overlap a known shape, are not reported again.
+against the threshold of the candidate's character class. A run may hold several things joined
+by signs: known shapes and what the allow list matches are cut out of it, and what is left is
+scanned as a whole and, each by its own class, in its parts between the signs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}", re.ASCII)
 # A text that has none of these, in lower case, has no assignment.
 KEYWORDS = ("passw", "secret", "token", "api")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
+PART = re.compile(rf"[A-Za-z0-9]{{{LEAST},}}", re.ASCII)
 
 KINDS = ("assign", "access", "hex", "entropy")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -45,10 +48,11 @@ class Classes:
 
 @dataclass(frozen=True)
 class AllowList:
-    """Runs that look random but are no secrets; a run is suppressed if any pattern is found in it."""
+    """What looks random but is no secret. Matches are cut out of a run; ``^`` and ``$`` are the ends of what is scanned."""
 
     patterns: tuple[str, ...] = (
         r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUID
+        r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",  # of a provider's manual
         r"(?i)example|sample|dummy|placeholder|changeme|redacted",
         r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$",  # words joined by signs, paths
         r"^[-_=+/]+$",  # rules
@@ -101,18 +105,55 @@ class Scanner:
         runs = list(CANDIDATE.finditer(text))
         for run in runs:  # hexadecimal digits are token characters, so a long row of them is inside a run
             found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text, run.start(), run.end())]
-        known = sorted(found)
+        known = sorted((a, b) for a, _, b in found)
+        at = 0
         for run in runs:
-            if not any(a < run.end() and run.start() < b for a, _, b in known):
-                found += self.random(run[0], run.start())
+            while at < len(known) and known[at][1] <= run.start():
+                at += 1
+            cuts, i = [], at
+            while i < len(known) and known[i][0] < run.end():
+                cuts.append(known[i])
+                i += 1
+            found += [(a, 3, b) for piece in left_of(run.start(), run.end(), cuts) for a, b in self.random(text, *piece)]
         return sorted(found)
 
-    def random(self, run: str, start: int) -> list[tuple[int, int, int]]:
+    def random(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """The random spans of ``text[start:end]``, sorted and without overlap."""
+        pieces = [(start, end)]
+        for pattern in self.allow:
+            pieces = [p for a, b in pieces for p in left_of(a, b, matches(pattern, text, a, b))]
+        spans = []
+        for a, b in pieces:
+            parts = {(a, b), *(m.span() for m in PART.finditer(text, a, b))}
+            spans += [s for p in parts if (s := self.random_span(text, *p))]
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if joined and a < joined[-1][1]:
+                joined[-1] = joined[-1][0], max(b, joined[-1][1])
+            else:
+                joined.append((a, b))
+        return joined
+
+    def random_span(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        run = text[start:end]
         width, least = next((w, e) for p, w, e in self.classes if p.fullmatch(run))
         span = max_entropy_span(run, width, least)
-        if span is None or any(p.search(run) for p in self.allow):
-            return []
-        return [(start + span[0], 3, start + span[1])]
+        return span and (start + span[0], start + span[1])
+
+
+def matches(pattern: re.Pattern, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where the pattern matches in ``text[start:end]``, taken alone."""
+    return [(start + m.start(), start + m.end()) for m in pattern.finditer(text[start:end]) if m[0]]
+
+
+def left_of(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted cuts leave of a run of the text: pieces that are long enough."""
+    pieces = []
+    for a, b in [*cuts, (end, end)]:
+        if a - start >= LEAST:
+            pieces.append((start, a))
+        start = max(start, b)
+    return pieces
 
 
 def find_secrets(
