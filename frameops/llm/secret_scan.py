@@ -4,7 +4,9 @@ The known shapes are regular expressions. Everything else is found by entropy: a
 is a maximal run of token characters; a window slides over it and counts of its characters
 are updated by one character in and one out, with the sum of ``n log2 n`` kept beside them,
 so each step costs the same however wide the window is. The window's Shannon entropy is held
-against the threshold of the candidate's character class. A run may hold several things joined
+against two thresholds of the candidate's character class: above the higher it needs no other
+evidence; above the lower, which nearly all random windows of that alphabet and length pass, it
+needs digits and changes between digits and letters, and between letter cases, as random ones have. A run may hold several things joined
 by signs: known shapes and what the allow list matches are cut out of it, and what is left is
 scanned as a whole and, each by its own class, in its parts between the signs.
 """
@@ -29,20 +31,38 @@ KEYWORDS = ("passw", "secret", "token", "api")
 LEAST = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
 PART = re.compile(rf"[A-Za-z0-9]{{{LEAST},}}", re.ASCII)
+WORD_START, WORD_END = re.compile(r"[A-Za-z0-9]*"), re.compile(r"[A-Za-z0-9]*$")
 
 KINDS = ("assign", "access", "hex", "entropy")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
-class Classes:
-    """Character classes from narrow to wide: window width and least entropy in bits per character."""
+class Class:
+    """A character class: what its windows must have. Entropies are in bits per character."""
+
+    name: str
+    pattern: str
+    width: int
+    most: float  # entropy that is enough alone
+    least: tuple[float, ...]  # entropy that is enough with the changes, for windows of LEAST, LEAST + 1 ... characters
+    changes: int  # changes of kind (digit, small, capital; signs aside), with a digit; none are asked for if 0
+
+    def least_of(self, size: int) -> float:
+        return self.least[min(max(size - LEAST, 0), len(self.least) - 1)]
+
 
-    windows: tuple[tuple[str, str, int, float], ...] = (
-        ("decimal", r"[0-9]+", 24, 3.1),
-        ("hexadecimal", r"[0-9a-fA-F]+", 24, 3.2),
-        ("alphanumeric", r"[A-Za-z0-9]+", 20, 3.9),
-        ("base64", r"[A-Za-z0-9+/_=-]+", 20, 4.0),
+@dataclass(frozen=True)
+class Classes:
+    """Character classes from narrow to wide. The lower entropies are 1 % quantiles of uniformly random windows."""
+
+    windows: tuple[Class, ...] = (
+        Class("decimal", r"[0-9]+", 24, 3.1, (2.50, 2.52, 2.56, 2.59, 2.62), 0),
+        Class("hexadecimal", r"[0-9a-fA-F]+", 24, 3.2, (2.88, 2.92, 2.97, 3.00, 3.04), 4),
+        Class("small alphanumeric", r"[a-z0-9]+", 20, 3.9, (3.40,), 3),
+        Class("capital alphanumeric", r"[A-Z0-9]+", 20, 3.9, (3.40,), 3),
+        Class("alphanumeric", r"[A-Za-z0-9]+", 20, 3.9, (3.64,), 6),
+        Class("base64", r"[A-Za-z0-9+/_=-]+", 20, 4.0, (3.64,), 6),
     )
 
 
@@ -51,7 +71,7 @@ class AllowList:
     """What looks random but is no secret. Matches are cut out of a run; ``^`` and ``$`` are the ends of what is scanned."""
 
     patterns: tuple[str, ...] = (
-        r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUID
+        r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![0-9a-zA-Z])",  # UUID
         r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",  # of a provider's manual
         r"(?i)example|sample|dummy|placeholder|changeme|redacted",
         r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$",  # words joined by signs, paths
@@ -60,18 +80,24 @@ class AllowList:
     )
 
 
-def max_entropy_span(run: str, width: int, least: float) -> tuple[int, int] | None:
-    """The union of the windows of ``run`` with at least that entropy, from the first to the last.
+def max_entropy_span(
+    run: str, width: int, most: float, least: float | None = None, changes: int = 0
+) -> tuple[int, int] | None:
+    """The union of the windows of ``run`` that are random, from the first to the last.
 
+    Those have an entropy of ``most``, or of ``least`` with that many changes of kind and a digit.
     A run shorter than the window is one window.
     """
     size = min(width, len(run))
-    cost = [0.0] + [n * math.log2(n) for n in range(1, size + 1)]
+    # A character comes in before one goes out, so there may be one more than the window holds.
+    cost = [0.0] + [n * math.log2(n) for n in range(1, size + 2)]
     counts: dict[str, int] = {}
     total = 0.0  # sum of n log2 n over the characters in the window
     first = last = -1
-    # Entropy is log2(size) - total / size, so the test is on the total alone.
-    most = size * (math.log2(size) - least) + 1e-9
+    # Entropy is log2(size) - total / size, so the tests are on the total alone.
+    alone = size * (math.log2(size) - most) + 1e-9
+    helped = alone if least is None else size * (math.log2(size) - least) + 1e-9
+    changed, digits = kinds_of(run) if least is not None and changes else ([], [])
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -81,17 +107,32 @@ def max_entropy_span(run: str, width: int, least: float) -> tuple[int, int] | No
             n = counts[out]
             counts[out] = n - 1
             total += cost[n - 1] - cost[n]
-        if i >= size - 1 and total <= most:
-            first = i - size + 1 if first < 0 else first
+        if i < size - 1 or total > max(alone, helped):
+            continue
+        a = i - size + 1
+        # Up to a character, so that a difference is what the window has after its first one.
+        if total <= alone or not changes or (changed[i] - changed[a] >= changes and digits[i + 1] > digits[a]):
+            first = a if first < 0 else first
             last = i + 1
     return None if first < 0 else (first, last)
 
 
+def kinds_of(run: str) -> tuple[list[int], list[int]]:
+    """Changes of kind up to each character, itself included, and digits before each and in all."""
+    changed, digits, before = [], [0], ""
+    for c in run:
+        kind = "0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else before
+        changed.append((changed[-1] if changed else 0) + (kind != before and before != ""))
+        digits.append(digits[-1] + ("0" <= c <= "9"))
+        before = kind
+    return changed, digits
+
+
 class Scanner:
     """Finds all spans of one text; made once per task."""
 
     def __init__(self, classes: Classes, allow: AllowList) -> None:
-        self.classes = [(re.compile(p, re.ASCII), w, e) for _, p, w, e in classes.windows]
+        self.classes = [(re.compile(c.pattern, re.ASCII), c) for c in classes.windows]
         self.allow = [re.compile(p) for p in allow.patterns]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -135,10 +176,17 @@ class Scanner:
         return joined
 
     def random_span(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        """The random span of one piece, out to the ends of a word it begins or ends in, if less than a window away."""
         run = text[start:end]
-        width, least = next((w, e) for p, w, e in self.classes if p.fullmatch(run))
-        span = max_entropy_span(run, width, least)
-        return span and (start + span[0], start + span[1])
+        kind = next(c for p, c in self.classes if p.fullmatch(run))
+        span = max_entropy_span(run, kind.width, kind.most, kind.least_of(min(kind.width, len(run))), kind.changes)
+        if span is None:
+            return None
+        a, b = span
+        before, after = WORD_END.search(run[max(a - kind.width, 0) : a]), WORD_START.match(run, b, b + kind.width)
+        a -= len(before[0]) if run[a].isalnum() and len(before[0]) < kind.width else 0
+        b += len(after[0]) if run[b - 1].isalnum() and len(after[0]) < kind.width else 0
+        return start + a, start + b
 
 
 def matches(pattern: re.Pattern, text: str, start: int, end: int) -> list[tuple[int, int]]:
