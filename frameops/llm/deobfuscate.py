@@ -3,7 +3,8 @@
 What stands in a text is taken as a hidden text that went through a channel. Each sign of a noisy
 stretch is a column of a lattice: the letters it may stand for, nothing (a repeated letter, or a sign
 between spaced letters), or a word boundary. A trigram model of letters weighs the paths and Viterbi
-decoding takes the best one. A word without noise has a single path, itself, and is not decoded.
+decoding takes the best one. What stands there, signs aside, is always one of the paths, so the model decides.
+Only numbers and long hexadecimal, by their shape, and words without a sign or a doubled letter are not decoded.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 
@@ -26,12 +28,23 @@ LEET = {
 }
 
 WORD = re.compile(f"[{LETTERS}]+")
-# Signs and single letters in turns, three letters at least: "i d i o t", "i.d.i.o.t".
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]{1,2}[^\s.\-_*]){2,}(?=[\s.,;:?!]|$)")
-BETWEEN = " .-_*"
+# Signs and single letters in turns, three letters at least, any gap between: "i d i o t", "i.d.i.o.t", one a line.
+BETWEEN = ".-_*/~,;:=#&^\\·•"
+_GAP = r"\s" + re.escape(BETWEEN)
+SPACED = re.compile(
+    r"(?<![^\s\"'(\[{<“”„«»‘’¡*_~])(?<!\w['’*_~])(?:[^\W_]|[@$!|+(€£¡])"
+    rf"(?:[{_GAP}]++[^{_GAP}]){{2,}}(?=[{_GAP}?!\")\]}}>“”»…]|['’](?!\w)|$)"
+)
+DOUBLE = re.compile(r"([^\W\d_])\1")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SIGNS = re.compile(r"[0-9@$!|+(€£¡]")
+NOISE = re.compile(rf"{SIGNS.pattern}|{DOUBLE.pattern}")
+NUMBER = re.compile(r"[+$€£(|]*\d+(?:[.,:/+\-*=()|]+\d+)*[$€£+!|)]?")
+HEX = re.compile(r"(?=.*\d)[0-9a-f-]{16,}")
+NO_LETTERS = re.compile(r"[0-9@$!|+(€£¡]{3,}")
 OUTER = ".,;:?\"'()[]{}<>“”„«»…"
+# Signs of OUTER that may also be a letter, by where they stand as punctuation.
+OPENING, CLOSING = "(¡", "!"
 
 
 @dataclass(frozen=True)
@@ -41,6 +54,8 @@ class Channel:
     leet: float = 2.0
     keep_sign: float = 6.0
     repeat: float = 0.7
+    double: float = 3.0  # repeat, where the letter stands twice only
+    punctuation: float = 1.0  # a bracket or mark at its usual end of a word
     spacing: float = 0.3
     boundary: float = 2.5
 
@@ -70,6 +85,15 @@ class LetterModel:
         self.cost = (-np.log((three + 5 * pair) / (three.sum(2, keepdims=True) + 5))).tolist()
 
 
+def is_gap(sign: str) -> bool:
+    return sign in BETWEEN or sign.isspace()
+
+
+def parts_of(core: str) -> list[str]:
+    """The stretches of letters and signs that stand for letters."""
+    return [p for p in re.split(r"[^\w@$!|+(€£¡]+|_+", core) if p]
+
+
 @dataclass
 class Restorer:
     """Restores texts; remembers words it has seen, within a bound."""
@@ -81,7 +105,17 @@ class Restorer:
 
     def decode(self, noisy: str, spaced: bool) -> list[str]:
         """The words of the best path through the lattice of a noisy stretch (lower case)."""
+        return self.best(noisy, spaced)[1]
+
+    def best(self, noisy: str, spaced: bool) -> tuple[float, list[str]]:
+        """Cost and words of the best path."""
         cost, ch = self.model.cost, self.channel
+        read = [x for x in noisy if not (spaced and is_gap(x))]
+        repeats = (
+            ch.repeat if n > 2 else ch.double
+            for n in (len(list(same)) for _, same in groupby(read, lambda x: LEET.get(x, x)[0]))
+            for _ in range(n)
+        )
         # Per pair of last letters: cost, path as a chain of (letter, path before it).
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         for x in noisy:
@@ -92,7 +126,8 @@ class Restorer:
                     nxt[key] = (value, path)
 
             code = CODE.get(x, OTHER)
-            spacing = spaced and x in BETWEEN
+            spacing = spaced and is_gap(x)
+            repeat = 0.0 if spacing else next(repeats)
             for (a, b), (so_far, path) in best.items():
                 if spacing:
                     offer((a, b), so_far + ch.spacing, path)
@@ -102,13 +137,13 @@ class Restorer:
                 if x.isalpha():
                     offer((b, code), so_far + cost[a][b][code], (x, path))
                     if path is not None and path[0] == x:
-                        offer((a, b), so_far + ch.repeat, path)
+                        offer((a, b), so_far + repeat, path)
                     continue
                 for letter in LEET.get(x, ""):
                     to = CODE[letter]
                     offer((b, to), so_far + ch.leet + cost[a][b][to], (letter, path))
                     if path is not None and path[0] == letter:
-                        offer((a, b), so_far + ch.leet + ch.repeat, path)
+                        offer((a, b), so_far + ch.leet + repeat, path)
                 # The sign stands for itself and ends the word.
                 edge = cost[a][b][EDGE] if b != EDGE else 0.0
                 offer((EDGE, EDGE), so_far + ch.keep_sign + edge, (" ", path))
@@ -118,34 +153,73 @@ class Restorer:
         while path is not None:
             letters.append(path[0])
             path = path[1]
-        return "".join(reversed(letters)).split()
+        return end[0], "".join(reversed(letters)).split()
 
     def token(self, token: str) -> tuple[str, ...]:
         """The restored words of one run without white space (lower case)."""
         found = self.known.get(token)
         if found is None:
-            core = token.strip(OUTER)
-            letters = sum(c.isalpha() for c in core)
-            noisy = (letters and SIGNS.search(core.rstrip("!"))) or TRIPLE.search(core)
-            if noisy and 2 * letters + 2 >= len(core):
-                parts = re.split(r"[^\w@$!|+(€£¡]+|_+", core.rstrip("!"))
-                found = tuple(w for p in parts if p for w in self.decode(p, False))
-            else:
-                found = tuple(WORD.findall(core))
+            found = self.decoded(token)
             if len(token) <= 64:
                 if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[token] = found
         return found
 
+    def decoded(self, token: str) -> tuple[str, ...]:
+        if not NOISE.search(token):
+            return tuple(WORD.findall(token))
+        core = token.strip(OUTER)
+        if not core or NUMBER.fullmatch(core) or HEX.fullmatch(core):
+            return tuple(WORD.findall(core))
+        at = token.index(core)
+        core = self.with_ends(token[:at][-1:], core, token[at + len(core) :][:1])
+        if not any(c.isalpha() for c in core):
+            noisy = NO_LETTERS.fullmatch(core) and len(set(core)) > 1
+        else:
+            noisy = SIGNS.search(core) or TRIPLE.search(core)
+        if noisy:
+            return tuple(w for p in parts_of(core) for w in self.decode(p, False))
+        return tuple(DOUBLE.sub(self.once_or_twice, w) for w in WORD.findall(core))
+
+    def once_or_twice(self, m: re.Match) -> str:
+        """A doubled letter, once if that is likelier. The best path through the lattice of a word whose only noise
+        are doubled letters: what stays of one pair does not change the letters next to another."""
+        cost, word, (i, j) = self.model.cost, m.string, m.span()
+        a, b, c = (EDGE if k < 0 or k == len(word) else CODE[word[k]] for k in (i - 1, i, j))
+        return m[1] if cost[a][b][b] + cost[b][b][c] > cost[a][b][c] + self.channel.double else m[0]
+
+    def with_ends(self, before: str, core: str, after: str) -> str:
+        """The core, with the sign before and after it if that is likelier a letter than punctuation."""
+        parts, ch = parts_of(core), self.channel
+        if not parts:
+            return core
+
+        def letter(part: str, whole: str, usual: bool) -> bool:
+            plain = self.best(part, False)[0] + (ch.punctuation if usual else ch.keep_sign)
+            return self.best(whole, False)[0] < plain
+
+        first, last = parts[0], parts[-1]
+        begins = before != "" and before in OPENING + CLOSING and core.startswith(first)
+        ends = after != "" and after in CLOSING and core.endswith(last)
+        if begins and letter(first, before + first, before in OPENING):
+            core = before + core
+        if ends and letter(last, last + after, True):
+            core += after
+        return core
+
     def words(self, text: str) -> list[tuple[str, ...]]:
         """The restored words of a text, a group per run of signs."""
         text = text.lower()
         groups = []
-        for m in SPACED.finditer(text):
+
+        def take(m: re.Match) -> str:
+            if not any(c.isalpha() or c in LEET and not c.isdigit() for c in m[0]):
+                return m[0]  # a row of numbers
             groups.append(tuple(self.decode(m[0], True)))
-        if groups:
-            text = SPACED.sub(" ", text)
+            return " "
+
+        text = SPACED.sub(take, text)
         return groups + list(map(self.token, text.split()))
 
     def restore(self, text: str) -> str:

@@ -301,6 +301,69 @@ def test_obfuscated_words_are_restored(restorer, text, word):
     assert word in restorer.restore(text).split()
 
 
+@pytest.fixture(scope="module")
+def wide_restorer():
+    """Of many words, so that the model is not made of a few."""
+    words = "you are an idiot and a stupid loser the clown is trash worthless asshole nazi all of it was so good"
+    words += " will see too full still off letter been need call small week feel keep told cost cold did dot"
+    return Restorer(LetterModel(trigram_counts(Counter(words.split() * 50))))
+
+
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [
+        ("1d107", "idiot"),
+        ("!d!07", "idiot"),
+        ('"!d!07"', "idiot"),
+        ("w0r7h1355", "worthless"),
+        ("455h0l3", "asshole"),
+        ("@$$h0l3", "asshole"),
+        ("naz!", "nazi"),
+        ("(1d107)", "idiot"),
+        ("ssttuuppiidd", "stupid"),
+        ("iiddiioott", "idiot"),
+        ("trrashh", "trash"),
+        ("i\nd\ni\no\nt", "idiot"),
+        ("i/d/i/o/t", "idiot"),
+        ("i~d~i~o~t", "idiot"),
+        ("i,d,i,o,t", "idiot"),
+        ("i   d   i   o   t", "idiot"),
+        ("i . . . d . . . i . . . o . . . t", "idiot"),
+        ('"i.d.i.o.t"', "idiot"),
+        ("('i d i o t')", "idiot"),
+        ("**i.d.i.o.t**", "idiot"),
+        ("1 d 1 0 7", "idiot"),
+        ("! d ! 0 7", "idiot"),
+    ],
+)
+def test_heavily_obfuscated_words_are_restored(wide_restorer, text, word):
+    assert word in wide_restorer.restore(f"you are {text} all").split()
+    assert word in wide_restorer.restore(text).split()
+
+
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("you will see all of it (too) still!", "you will see all of it too still"),
+        ("good small letter, full week: feel off.", "good small letter full week feel off"),
+        ("455 1,234.50 $100 12:30 2+2=4 (1) +49", ""),
+        ("1 2 3 4 5 1/2/3 1\n2\n3", ""),
+        ("8f14e45fceea167a5a36dedd4bea2543", "f e fceea a a dedd bea"),
+        ("!!! --- +++ $$$", ""),
+    ],
+)
+def test_plain_words_and_numbers_are_left(wide_restorer, text, plain):
+    assert wide_restorer.restore(text) == plain
+
+
+def test_doubled_letters_alone_are_read_as_by_the_lattice(wide_restorer):
+    rng = random.Random(3)
+    for _ in range(500):
+        letters = "".join(rng.choice(["s", "t", "u", "o", "l", "ss", "tt", "oo", "ll", "ee"]) for _ in range(rng.randint(1, 7)))
+        word = re.sub(r"(.)\1\1+", r"\1\1", letters)
+        assert wide_restorer.token(word) == tuple(wide_restorer.decode(word, False))
+
+
 def test_restoring_leaves_plain_text_and_handles_long_runs(restorer):
     assert restorer.restore("You are good, the clown.") == "you are good the clown"
     assert restorer.restore("") == ""
