@@ -14,6 +14,7 @@ from frameops.llm import (
     common,
     decontaminate,
     packing,
+    periodic_runs,
     repeats,
     secret_scan,
     simhash,
@@ -154,6 +155,23 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(common.table(spark, folder, "documents"), plant=True)
+    longest = periodic_runs.longest_run(F.col("runs"))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        periodic_runs.run_digest(F.col("runs")).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 SQL["op2_chat_format"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
