@@ -15,6 +15,7 @@ from frameops.llm import (
     decontaminate,
     packing,
     periodic_runs,
+    prefix_trie,
     repeats,
     secret_scan,
     simhash,
@@ -172,6 +173,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    said, convs = prefix_trie.graft(common.table(spark, folder, "conversations"))
+    return prefix_trie.prefix_tree(said, convs).drop("hash")
+
+
 SQL["op2_chat_format"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -229,3 +236,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN words_hit USING (row_id) LEFT JOIN items_hit USING (row_id)
 """
+
+# CRC-32 of an id as text, bit by bit: a byte is mixed in where there is one, -1 stands for a shift.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+      for x in string_split(CAST(conv_id AS VARCHAR), '')])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+SQL["op13_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS giver, {CRC32} % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1)
+), rebuilt AS (
+  SELECT c.conv_id, t.pos, role, text FROM convs c JOIN t ON t.conv_id = c.giver AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(g.n, 0)), role, text
+  FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h LEFT JOIN convs g ON g.conv_id = c.giver
+), paths AS (
+  SELECT conv_id, pos + 1 AS depth, octet_length(encode(text)) AS size,
+    string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS path
+  FROM rebuilt UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT path, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM paths GROUP BY path
+), children AS (
+  SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT p.path, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.size) AS saved
+  FROM nodes u JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth LEFT JOIN children c ON c.path = u.path
+  GROUP BY p.path
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+  FROM paths WHERE (conv_id, depth) IN (SELECT (conv_id, max(depth)) FROM paths GROUP BY conv_id) GROUP BY path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(c.n, 0) AS n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+  coalesce(e.ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN children c USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes up ON n.depth > 0 AND up.path = left(n.path, 64 * (n.depth - 1))
+"""
