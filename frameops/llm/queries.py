@@ -13,6 +13,7 @@ from frameops.llm import (
     chat_format,
     common,
     decontaminate,
+    minhash,
     packing,
     periodic_runs,
     prefix_trie,
@@ -156,6 +157,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, folder, "documents"))
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs.periodic_runs(common.table(spark, folder, "documents"), plant=True)
@@ -237,6 +243,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN words_hit USING (row_id) LEFT JOIN items_hit USING (row_id)
 """
 
+SQL["op11_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, greatest(len(w) - 2, 1) + 1)]) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM shingles a JOIN shingles b USING (s) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))
+), reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+component AS (SELECT u AS doc_id, min(v) AS least FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id,
+  coalesce(least, doc_id) = doc_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
+
 # CRC-32 of an id as text, bit by bit: a byte is mixed in where there is one, -1 stands for a shift.
 CRC32 = """xor(4294967295, list_reduce(
     list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
