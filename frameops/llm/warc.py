@@ -283,26 +283,25 @@ def read_records(captures: DataFrame, archives: str) -> DataFrame:
 def payload_sizes(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): a revisit has its response's size and digest.
 
-    The digest of a response is taken from the payload that was read, not from its header.
+    The digest of a response is taken from the payload that was read, not from its header. A page id may have several
+    records with different payloads: a revisit belongs to that response of the id it refers to whose payload has the
+    digest in the revisit's header. One without such a response has null size and digest.
     """
+    read = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
     own = records.select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("bytes"),
-        F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("own_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        read.alias("payload_digest"),
         "record_type",
         "refers_to",
     )
     own = stage(own, "records")
-    of = own.filter("record_type = 'response'").groupBy(F.col("page_id").alias("response"))
-    of = of.agg(F.first("bytes").alias("response_bytes"), F.first("own_digest").alias("response_digest"))
-    revisits = own.filter("record_type = 'revisit'").join(of, F.col("refers_to") == F.col("response"), "left")
-    size, digest = F.col("bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest")
-    return (
-        own.filter("record_type = 'response'")
-        .select("page_id", size, digest, "record_type", "refers_to")
-        .unionAll(
-            revisits.select("page_id", "response_bytes", "response_digest", "record_type", "refers_to").toDF(
-                "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-            )
-        )
+    responses, revisits = (own.filter(F.col("record_type") == kind) for kind in ("response", "revisit"))
+    # Equal digests are equal payloads, so any response of the id and digest has the size.
+    of = responses.groupBy(F.col("page_id").alias("response"), F.col("payload_digest").alias("digest"))
+    of = of.agg(F.max("payload_bytes").alias("bytes"))
+    same = (F.col("refers_to") == F.col("response")) & (F.col("payload_digest") == F.col("digest"))
+    found = revisits.join(of, same, "left").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
     )
+    return responses.unionAll(found)

@@ -237,6 +237,20 @@ def test_archives_of_odd_rows(spark, tmp_path):
     assert warc.read_records(warc.look_up(pages, index), index.archives).count() == 0
 
 
+def test_archives_with_repeated_ids_against_sql(spark, tmp_path):
+    a, b = "A" * 203, "B" * 303
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (0, "B" * 99), (4, "B" * 99), (5, None), (5, a), (1, "C" * 150), (7, "C" * 150)]
+    pages = spark.createDataFrame([(i, f"http://h{n % 3}.org/", h) for n, (i, h) in enumerate(rows)], "page_id bigint, url string, html string")
+    captures = warc.write_archives(pages.repartition(3), f"{tmp_path}/warc")
+    index = warc.build_index(captures, f"{tmp_path}/warc", f"{tmp_path}/index", lines_per_block=2)
+    found = warc.payload_sizes(warc.read_records(warc.look_up(pages, index), index.archives))
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas())
+    want = db.execute(SQL["op4_warc"])
+    columns = [c[0] for c in want.description]
+    assert bag(found.collect(), found.columns) == bag(want.fetchall(), columns)
+
+
 def brute_nearest(vectors, k):
     keys, x = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors], dtype=float)
     for i in np.flatnonzero(keys % 20 == 0):
