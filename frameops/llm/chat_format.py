@@ -2,7 +2,8 @@
 
 A template says how turns are marked, which roles are learned, and which role may follow which. A finite
 state machine runs over the roles of a conversation; every turn emits three text segments, the learned texts
-flagged for the loss. Control strings inside roles and texts are escaped, and ``read_turns`` undoes that.
+flagged for the loss. What a mark of the template could begin with is escaped inside roles and texts, and
+``read_turns`` undoes that; templates whose marks cannot be told apart are refused.
 
 A conversation is put together in two steps, blocks of turns and then the blocks in order. A block's run of
 the machine is a table, from every state it could start in to the state it ends in, so blocks are worked on
@@ -36,6 +37,37 @@ class Template:
     )
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        """Refuses marks that no escaping of roles and texts can tell apart."""
+        if not self.after_role or not self.closing:
+            raise ValueError("a role and a turn must end in a mark")
+        if any("\\" in mark for mark in (self.opening, self.after_role, self.closing)):
+            raise ValueError("marks cannot contain the escape sign, a backslash")
+        for mark in (self.opening, self.after_role):
+            ends = [mark[i:] for i in range(len(mark))]
+            if self.closing in mark or any(self.closing.startswith(end) for end in ends):
+                raise ValueError(f"{mark!r} may end in the closing mark or in its beginning")
+
+    def _guard(self, mark: str) -> str:
+        """What is kept out of escaped texts, so that the mark cannot begin in one: two signs of the mark, or its first
+        where a mark that follows could supply the second."""
+        alone = len(mark) == 1 or mark[1] in {m[0] for m in (self.opening, self.after_role, self.closing) if m}
+        return mark[0] if alone else mark[:2]
+
+    def escapes(self, role: bool) -> list[tuple[str, str]]:
+        """What is replaced in texts, or in roles, and by what, in this order; undone in the reverse order.
+
+        Every backslash of an escaped text begins an escape of two signs, the second of which is no backslash, and
+        signs that stand for others are in no mark.
+        """
+        marks = [m for m in (self.opening, self.closing, self.after_role) if m]
+        free = (c for c in "bnopqrstuvwxyzacdefghijklmBNOPQRSTUVWXYZACDEFGHIJKLM0123456789" if c not in "".join(marks))
+        guards = {g: None for g in sorted({self._guard(m) for m in marks}, key=len)}
+        found = [("\\", "\\" + next(free))]
+        found += [(g, "\\" + next(free)) if len(g) == 1 else (g, f"{g[0]}\\{g[1]}") for g in guards]
+        used = {self._guard(m) for m in marks if role or m != self.after_role}
+        return [(a, b) for a, b in found if a == "\\" or a in used]
+
     @property
     def states(self) -> list[str]:
         return list(dict.fromkeys([self.start, *(x for a, _, b in self.follows for x in (a, b))]))
@@ -45,18 +77,19 @@ class Template:
         return list(dict.fromkeys(role for _, role, _ in self.follows))
 
 
-def escape(text: Column) -> Column:
-    """Backslashes doubled, and one put between ``<`` and ``|``: no control string is left."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
-
-
-def escape_role(role: Column) -> Column:
-    """As ``escape``; line feeds, which end a role, get a backslash too."""
-    return F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
+def escape(text: Column, template: Template, role: bool = False) -> Column:
+    """The text without anything that an opening or closing mark could begin with; in a role, nor the mark after it."""
+    for plain, escaped in template.escapes(role):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, template: Template, role: bool = False) -> Column:
+    for plain, escaped in reversed(template.escapes(role)):
+        if len(plain) == 2:
+            plain, escaped = plain[1], escaped[1:]
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return text
 
 
 def _run(roles: Column, template: Template) -> Column:
@@ -106,11 +139,12 @@ def format_chats(
     learned = list(template.learned)
 
     def parts(said: Column) -> Column:
-        opening = F.concat(F.lit(template.opening), escape_role(said["role"]), F.lit(template.after_role))
+        role = escape(said["role"], template, role=True)
+        opening = F.concat(F.lit(template.opening), role, F.lit(template.after_role))
         segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
         return F.array(
             segment(opening, F.lit(False)),
-            segment(escape(said["text"]), said["role"].isin(learned)),
+            segment(escape(said["text"], template), said["role"].isin(learned)),
             segment(F.lit(template.closing), F.lit(False)),
         )
 
@@ -150,15 +184,19 @@ def format_chats(
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    quoted = lambda s: r"\Q" + s + r"\E"
     # Every turn ends with the closing mark, so the last piece is empty.
-    pieces = F.split(formatted, quoted(template.closing))
+    pieces = F.split(formatted, r"\Q" + template.closing + r"\E")
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    head = r"(?s)^" + quoted(template.opening) + r"((?:[^\\\n]++|\\.)*+)" + quoted(template.after_role) + r"(.*)$"
-    part = lambda piece, n: unescape(F.regexp_extract(piece, head, n))
-    return F.transform(pieces, lambda p: F.struct(part(p, 1).alias("role"), part(p, 2).alias("text")))
+
+    def turn(piece: Column) -> Column:
+        rest = F.substr(piece, F.lit(len(template.opening) + 1))
+        role = F.substring_index(rest, template.after_role, 1)
+        text = F.substr(rest, F.length(role) + len(template.after_role) + 1)
+        return F.struct(unescape(role, template, role=True).alias("role"), unescape(text, template).alias("text"))
+
+    return F.transform(pieces, turn)
 
 
-def learned_text(segments: Column) -> Column:
+def learned_text(segments: Column, template: Template = Template()) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.concat_ws("", F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])))
+    return F.concat_ws("", F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)))
