@@ -2,10 +2,12 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
-from conftest import DATA
+from conftest import DATA, ROOT
 from helpers import bag
 
 import __spark_entry__ as entry_module
@@ -44,3 +46,12 @@ def test_entry_runs(spark):
 def test_every_query_has_sql():
     # The text operators, where they are installed, add queries of their own, some without SQL.
     assert set(QUERIES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "frameops.llm", "corpus_pipeline"])
+def test_catalog_without_the_text_operators(missing):
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; from frameops.catalog import QUERIES;"
+        " assert set(e.queries()) == set(QUERIES) == set(e.oracle_sql())"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
