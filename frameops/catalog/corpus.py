@@ -179,7 +179,7 @@ _CLASS = (
 @query(
     f"SELECT event_id, {_CLASS} AS error_class, CASE WHEN event_id % 7 = 0 THEN event_type END AS missing_column,"
     " CASE WHEN event_id % 7 = 0 THEN '\"event_id\", \"' || user_id || '\"' END AS valid_columns,"
-    f" CASE event_id % 7 WHEN 1 THEN left({_ERROR}, 200) WHEN 2 THEN left({_ERROR}, 200) WHEN 3 THEN left({_ERROR}, 250)"
+    f" {_ERROR} AS message, CASE event_id % 7 WHEN 1 THEN left({_ERROR}, 200) WHEN 2 THEN left({_ERROR}, 200) WHEN 3 THEN left({_ERROR}, 250)"
     f" WHEN 4 THEN left({_ERROR}, 250) WHEN 6 THEN left({_ERROR}, 400) END AS excerpt FROM events"
 )
 def error_triage(t):

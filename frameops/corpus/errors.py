@@ -37,10 +37,10 @@ EXCERPTS = {**dict(ERROR_CLASSES), "other": OTHER_LENGTH}
 
 
 def triage(message: Column, lengths: Mapping[str, int] = MappingProxyType({})) -> Column:
-    """Struct of ``error_class``, ``missing_column``, ``valid_columns`` and ``excerpt``.
+    """Struct of ``error_class``, ``missing_column``, ``valid_columns``, ``message`` and ``excerpt``.
 
-    The excerpt is the whole message, or as many characters as ``lengths`` has for its class
-    (``EXCERPTS``: the usual ones).
+    The message is whole. The excerpt, for display, is as many characters of it as ``lengths`` has for its class
+    (``EXCERPTS``: the usual ones), or all; null for the classes that are told by what was extracted.
     """
 
     def parts(kind: Column) -> Column:
@@ -52,6 +52,7 @@ def triage(message: Column, lengths: Mapping[str, int] = MappingProxyType({})) -
             kind.alias("error_class"),
             F.when(named, F.regexp_extract(message, MISSING_COLUMN, 1)).alias("missing_column"),
             F.when(named, F.regexp_extract(message, VALID_COLUMNS, 1)).alias("valid_columns"),
+            message.alias("message"),
             F.substring(message, F.lit(1), length).alias("excerpt"),
         )
 
