@@ -6,14 +6,15 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameops.functions.aggregates import AGGREGATES, agg_len
+from frameops.functions.ordering import order_key
 from frameops.functions.scalar import named
 from frameops.operators.frame import filter_all, group_agg, head, sort, top_k
 from frameops.operators.joins import join
-from frameops.operators.ranking import group_key, rank
+from frameops.operators.ranking import rank
 
 # Where each operation keeps the column names that may be repaired,
 # as (list field, name field); None means the list holds the names themselves.
@@ -107,46 +108,26 @@ class _State:
     order: list[tuple[str, bool]] = field(default_factory=list)
 
 
-def _aggregation(spec: Mapping, order: list[tuple[str, bool]]) -> Column:
+def _aggregation(spec: Mapping, state: _State) -> Column:
     kind, column = spec["agg"], spec["column"]
     if kind == "len" or column == "*":
         return agg_len()
     if kind in ("first", "last"):
-        return _at_end(column, kind == "first", order)
+        return _at_end(column, kind == "first", state)
     return AGGREGATES[kind](named(column))
 
 
-def _at_end(column: str, first: bool, order: list[tuple[str, bool]]) -> Column:
-    """First or last value by the order of a preceding sort in one direction (nulls first)."""
+def _at_end(column: str, first: bool, state: _State) -> Column:
+    """First or last value by the order of the preceding sort (nulls first): one aggregate, with partials per task."""
     value = named(column)
-    names = [named(n) for n, _ in order]
-    if not order[0][1]:
-        key = F.struct(*names)
-        return F.min_by(value, key) if first else F.max_by(value, key)
-    flagged = [part for n in names for part in (n.isNull().alias("none"), n)]
-    key = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(flagged)])
-    return F.max_by(value, key) if first else F.min_by(value, key)
-
-
-def _with_end_rows(
-    grouped: DataFrame, df: DataFrame, keys: Sequence[str], order: list[tuple[str, bool]], ends: Sequence[Mapping]
-) -> DataFrame:
-    """First and last values by a sort in mixed directions, which no struct key expresses: the
-    row that is numbered 1 in each group. Each task forwards one row per group."""
-    for kind in sorted({a["agg"] for a in ends}):
-        if kind == "first":
-            by = [named(n).desc_nulls_first() if d else named(n).asc_nulls_first() for n, d in order]
-        else:
-            by = [named(n).asc_nulls_last() if d else named(n).desc_nulls_last() for n, d in order]
-        place = F.row_number().over(Window.partitionBy(*map(named, keys)).orderBy(*by))
-        rows = df.withColumn("__end", place).where(F.col("__end") == 1)
-        values = [named(a["column"]).alias(a["alias"]) for a in ends if a["agg"] == kind]
-        grouped = (
-            grouped.withColumn("__key", group_key(keys))
-            .join(rows.select(group_key(keys).alias("__key"), *values), "__key", "left")
-            .drop("__key")
-        )
-    return grouped
+    types = {f.name: f.dataType for f in state.df.schema}
+    if lost := [n for n, _ in state.order if n not in types]:
+        raise ValueError(f"first and last need the columns that the rows are sorted by: {', '.join(lost)}")
+    if not any(descending for _, descending in state.order):
+        key = F.struct(*[named(n) for n, _ in state.order])
+    else:
+        key = order_key([(named(n), types[n], descending) for n, descending in state.order])
+    return F.min_by(value, key) if first else F.max_by(value, key)
 
 
 def _filter(state: _State, op: Mapping) -> DataFrame:
@@ -156,18 +137,9 @@ def _filter(state: _State, op: Mapping) -> DataFrame:
 
 def _group_by(state: _State, op: Mapping) -> DataFrame:
     keys, wanted = op["columns"], op["aggregations"]
-    ends = [a for a in wanted if a["agg"] in ("first", "last") and a["column"] != "*"]
-    if ends and not state.order:
+    if not state.order and any(a["agg"] in ("first", "last") and a["column"] != "*" for a in wanted):
         raise ValueError("first and last need a preceding sort")
-    mixed = len({descending for _, descending in state.order}) > 1
-    apart = ends if mixed else []
-    aggregates = {a["alias"]: _aggregation(a, state.order) for a in wanted if a not in apart}
-    if not apart:
-        return group_agg(state.df, keys, **aggregates)
-    # A count keeps the frame of groups where all aggregates are first or last.
-    grouped = group_agg(state.df, keys, **aggregates, __rows=agg_len())
-    found = _with_end_rows(grouped, state.df, keys, state.order, apart)
-    return found.select(*map(named, keys), *[named(a["alias"]) for a in wanted])
+    return group_agg(state.df, keys, **{a["alias"]: _aggregation(a, state) for a in wanted})
 
 
 def _join(state: _State, op: Mapping) -> DataFrame:
