@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameops.functions.scalar import named
 from frameops.operators.frame import hashable
-from frameops.operators.ranking import number_rows
+from frameops.session import stage
 
 FLOAT_DIGITS = 6
 
@@ -249,15 +251,94 @@ def differing_columns(
     if key is not None:
         keys = [key] if isinstance(key, str) else list(key)
         return _differing_by_key(actual, expected, keys, columns, float_digits)
-    frames = []
-    for frame, prefix in ((actual, "a"), (expected, "e")):
-        rows = normalise(frame.select(*[named(c) for c in columns]), float_digits)
-        numbered = number_rows(rows, columns, name="__position")
-        frames.append(
-            numbered.select("__position", F.struct(*[named(c) for c in columns]).alias(f"__{prefix}"))
+    return _differing_by_position(actual, expected, columns, float_digits)
+
+
+# Positions of one task where rows of the two frames do not stand side by side.
+POSITIONS_PER_BLOCK = 16_384
+
+
+def _differing_by_position(actual, expected, columns, digits, block: int = POSITIONS_PER_BLOCK) -> DataFrame:
+    """Both frames are sorted as one: equal rows of either side are merged with their number of copies and cut into
+    sorted slices by one range shuffle.
+
+    A distinct row then has an interval of positions on each side, its start being the copies before it. Rows whose
+    two intervals are the same face themselves. The intervals of the others are cut at blocks of positions, and a
+    sweep over the starts in a block meets every pair of rows that face each other. Values stand for themselves by a
+    64-bit hash from the slices on.
+    """
+    counted = _counted(actual, expected, columns, digits)
+    places = [c for c in counted.columns if c not in ("__a", "__e", "__side")]
+    # Rows of types that cannot be equal are told apart by their side.
+    hashes = F.array(*[F.xxhash64(named(c), *(["__side"] if "__side" in counted.columns else [])) for c in places])
+    order = [F.asc_nulls_first(named(c)) for c in places]
+    sliced = counted.repartitionByRange(*order).sortWithinPartitions(*order)
+    sliced = sliced.select(F.spark_partition_id().alias("slice"), "__a", "__e", hashes.alias("row"))
+    sliced = stage(sliced.mapInArrow(_starts, "slice int, a bigint, n_a bigint, e bigint, n_e bigint, row array<bigint>"), "slices")
+    # One row per slice: what lies before it.
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("slice").agg(F.sum("n_a").alias("n_a"), F.sum("n_e").alias("n_e"))
+    totals = totals.select("slice", *[F.coalesce(F.sum(f"n_{s}").over(before), F.lit(0)).alias(f"more_{s}") for s in "ae"])
+    placed = sliced.join(totals, "slice").select(
+        (F.col("a") + F.col("more_a")).alias("a"), (F.col("e") + F.col("more_e")).alias("e"), "n_a", "n_e", "row"
+    )
+    moved = placed.where((F.col("a") != F.col("e")) | (F.col("n_a") != F.col("n_e")))
+    sides = []
+    for side in "ae":
+        start, end = F.col(side), F.col(side) + F.col(f"n_{side}")
+        rows = moved.where(F.col(f"n_{side}") > 0).select(
+            F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block))).alias("block"),
+            start.alias("start"), end.alias("end"), "row",
         )
-    paired = frames[0].join(frames[1], "__position", "full")
-    return _count_differences(paired, columns)
+        first, last = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+        interval = F.struct(last.alias("end"), "row")
+        nothing = F.lit(None)
+        sides.append(
+            rows.select("block", first.alias("at"), *[(interval if s == side else nothing).alias(s) for s in "ae"])
+        )
+    # Two starts at one position are two events, the first of which lasts for no position.
+    events = sides[0].unionByName(sides[1])
+    in_block = Window.partitionBy("block").orderBy("at")
+    held = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.select(
+        "at",
+        F.coalesce(F.lead("at").over(in_block), (F.col("block") + 1) * block).alias("next"),
+        F.last("a", True).over(held).alias("a"),
+        F.last("e", True).over(held).alias("e"),
+    )
+    until = {s: F.when(F.col(s).isNotNull(), F.least("next", F.col(s)["end"])).otherwise(0) for s in "ae"}
+    covered = {s: F.greatest(end - F.col("at"), F.lit(0)) for s, end in until.items()}
+    swept = swept.select(
+        "a", "e", F.least(*covered.values()).alias("both"), F.greatest(*covered.values()).alias("either")
+    )
+    one_sided = F.sum(F.col("either") - F.col("both"))
+    unlike = [
+        F.sum(F.when(~F.get(F.col("a.row"), i).eqNullSafe(F.get(F.col("e.row"), i)), F.col("both")).otherwise(0))
+        for i in range(len(places))
+    ]
+    counts = F.array(
+        *[
+            F.struct(
+                F.lit(i).cast("long").alias("position"), F.lit(c).alias("column"),
+                F.coalesce(one_sided + n, F.lit(0)).alias("n_different"),
+            )
+            for i, (c, n) in enumerate(zip(places, unlike), 1)
+        ]
+    )
+    return swept.agg(counts.alias("counts")).select(F.inline("counts"))
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a sorted slice with the copies before them on either side."""
+    so_far = {"__a": 0, "__e": 0}
+    for batch in batches:
+        made = {"slice": batch.column("slice")}
+        for side, name in (("__a", "a"), ("__e", "e")):
+            copies = batch.column(side).to_numpy(zero_copy_only=False)
+            made[name] = pa.array(so_far[side] + np.cumsum(copies) - copies)
+            made[f"n_{name}"] = batch.column(side)
+            so_far[side] += int(copies.sum())
+        yield pa.RecordBatch.from_pydict({**made, "row": batch.column("row")})
 
 
 def _differing_by_key(actual, expected, keys, columns, digits) -> DataFrame:

@@ -1,13 +1,23 @@
 """Comparison and fingerprints: reasons, edge values and invariance."""
 
 import math
+import random
+from itertools import zip_longest
 
 import pytest
 from helpers import physical_plan, rows_of
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from frameops.evaluation.compare import compare, compare_by, detail_text, difference, differing_columns
+from frameops.evaluation.compare import (
+    POSITIONS_PER_BLOCK,
+    _differing_by_position,
+    compare,
+    compare_by,
+    detail_text,
+    difference,
+    differing_columns,
+)
 from frameops.evaluation.fingerprint import content_hash, content_hash_by
 
 
@@ -183,3 +193,28 @@ def test_fingerprint_by_group(spark):
 def test_unequal_structs_differ_in_content(spark, other):
     left, right = spark.sql("SELECT named_struct('x', 1) AS s"), spark.sql(f"SELECT {other} AS s")
     assert compare(left, right).first().reason == "content"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_positions_against_sorted_lists(spark, seed):
+    rnd = random.Random(seed)
+    row = lambda: (rnd.choice([None, 1, 2, 3]), rnd.choice(["a", "b", None]), rnd.choice([0.5, -0.0, 0.0]))
+    rows = [row() for _ in range(rnd.randint(0, 60))] + [(1, "a", 0.5)] * 30 * (seed % 2)
+    other = [r for r in rows if rnd.random() < 0.9] + [row() for _ in range(rnd.randint(0, 5))]
+    schema = "x int, y string, z double"
+    frames = [spark.createDataFrame(side, schema).repartition(3) for side in (rows, other)]
+    as_sorted = [sorted(side, key=lambda r: [(v is not None, 0 if v is None else v) for v in r]) for side in (rows, other)]
+    pairs = list(zip_longest(*as_sorted, fillvalue=None))
+    want = [sum(a is None or e is None or a[i] != e[i] for a, e in pairs) for i in range(3)]
+    for block in (POSITIONS_PER_BLOCK, 4):
+        found = _differing_by_position(*frames, ["x", "y", "z"], 6, block)
+        assert [r.n_different for r in found.orderBy("position").collect()] == want
+
+
+def test_positions_in_one_range_pass(spark):
+    df = spark.range(50).selectExpr("id", "cast(id as string) as s")
+    other = df.where("id <> 7").unionAll(df.where("id = 7").withColumn("s", F.lit("x")))
+    found = differing_columns(df, other)
+    assert [tuple(r) for r in found.orderBy("position").collect()] == [(1, "id", 0), (2, "s", 1)]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "rangepartitioning" not in text  # the slices have been written
