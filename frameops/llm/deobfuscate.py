@@ -208,9 +208,8 @@ class Restorer:
             core += after
         return core
 
-    def words(self, text: str) -> list[tuple[str, ...]]:
-        """The restored words of a text, a group per run of signs."""
-        text = text.lower()
+    def split(self, text: str) -> tuple[list[tuple[str, ...]], list[str]]:
+        """The restored words of a text's spaced stretches, and its other runs of signs (lower case)."""
         groups = []
 
         def take(m: re.Match) -> str:
@@ -219,8 +218,13 @@ class Restorer:
             groups.append(tuple(self.decode(m[0], True)))
             return " "
 
-        text = SPACED.sub(take, text)
-        return groups + list(map(self.token, text.split()))
+        text = SPACED.sub(take, text.lower())
+        return groups, text.split()
+
+    def words(self, text: str) -> list[tuple[str, ...]]:
+        """The restored words of a text, a group per run of signs."""
+        groups, tokens = self.split(text)
+        return groups + list(map(self.token, tokens))
 
     def restore(self, text: str) -> str:
         """The restored text, words joined by spaces."""
