@@ -21,14 +21,16 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     while True:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.filter("u <> v").distinct(), label)
+        large = both.filter("v > u").join(least, "u")
+        large = stage(large.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved")), label)
 
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        before, links = links, stage(small, label)
-        if not before.exceptAll(links).take(1) and not links.exceptAll(before).take(1):
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        small = small.unionAll(least.select("u", F.col("m").alias("v"), F.lit(False).alias("moved")))
+        small = stage(small.groupBy("u", "v").agg(F.bool_or("moved").alias("moved")), label)
+        links = small.select("u", "v")
+        # Links that no step moved to another end are stars.
+        if not large.filter("moved").take(1) and not small.filter("moved").take(1):
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )

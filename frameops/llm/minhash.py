@@ -6,11 +6,10 @@ Two signatures that differ in ``most`` values or fewer have, by the pigeonhole p
 such signatures share a key. ``most`` is chosen so that sets as similar as asked differ in more values with a chance
 below one in a million.
 
-Equal sets are one from the start. Then links that join whole groups are looked for first: in every bucket a random
-member is the pivot, and every other set is compared with the nearest pivot it has met. What one round joins is one
-group in the next. In the end every pair of sets of different groups that share a bucket is compared, so no link is
-lost; pairs inside a group need no comparison. Signatures decide which pairs are worth it, shingle sets whether they
-are links.
+Equal sets are one from the start. Then links that join whole groups are looked for first: in every bucket the first
+set in some random order is the pivot, and every other set is compared with the nearest pivot it has met. After that
+every pair of sets of different groups that share a bucket is compared, so no link is lost; pairs inside a group need
+no comparison. Signatures decide which pairs are worth it, shingle sets whether they are links.
 """
 
 from __future__ import annotations
@@ -43,7 +42,6 @@ class Settings:
     symbols: int = 65
     chunk: int = 5  # symbols per chunk
     most: int = 25  # differing symbols of a candidate pair
-    rounds: int = 3  # of pivots, at most
 
     @property
     def errors(self) -> int:
@@ -230,12 +228,11 @@ def buckets(sets: DataFrame, s: Settings, at_once: int = SETS_AT_ONCE) -> DataFr
     return sent.mapInArrow(shared, "key bigint, sid bigint").unionAll(others)
 
 
-def pivot_pairs(members: DataFrame, sets: DataFrame, salt: int, s: Settings) -> DataFrame:
-    """(u, v): every set with the nearest pivot of another group that it met in a bucket, where near enough."""
-    order = F.struct(F.xxhash64("label", F.lit(salt)), F.xxhash64("sid", F.lit(salt)), "sid", "label")
-    pivots = stage(members.groupBy("key").agg(F.min(order).alias("pivot")).select("key", "pivot.sid", "pivot.label"), "pivots")
-    pivots = pivots.select("key", F.col("sid").alias("v"), F.col("label").alias("of"))
-    pairs = members.join(pivots, "key").filter("label <> of").select(F.col("sid").alias("u"), "v").distinct()
+def pivot_pairs(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): every set with the nearest of the pivots it met in its buckets, where one is near enough."""
+    order = F.struct(F.xxhash64("sid"), "sid")
+    pivots = stage(members.groupBy("key").agg(F.min(order).alias("pivot")).select("key", F.col("pivot.sid").alias("v")), "pivots")
+    pairs = members.join(pivots, "key").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
     facts = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     pairs = pairs.join(facts("u"), "u").join(facts("v"), "v").filter(_sizes_fit("n_u", "n_v", s))
 
@@ -377,39 +374,35 @@ class Confirm:
         return stage(joined.select("u", "v", "text_u", "text_v").mapInArrow(batches, "u bigint, v bigint"), "links")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(sid, label): the end of each set's chain of parents (u, v), by pointer jumping. Parents form no circle."""
+    labels = stage(parents.toDF("sid", "label"), "parents")
+    while True:
+        up = labels.select(F.col("sid").alias("label"), F.col("label").alias("up"))
+        further = labels.join(up, "label", "left")
+        labels = stage(further.select("sid", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), "labels")
+        moved, labels = labels.filter("moved").take(1), labels.select("sid", "label")
+        if not moved:
+            return labels
+
+
 def set_groups(docs: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK) -> DataFrame:
-    """(sid, label): for every set that is linked with another the smallest set it can reach."""
+    """(sid, label): for every set that is linked with another the group it is in."""
     members = stage(buckets(sets, s), "buckets")
-    confirm, labels = Confirm(docs, sets, s), None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return members.withColumn("label", F.col("sid"))
-        known = members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        return stage(known, "labelled")
-
-    def joined(links: DataFrame) -> DataFrame:
-        """The labels after some more links."""
-        if labels is None:
-            return stage(connected_components(links).toDF("sid", "label"), "labels")
-        for c in ("u", "v"):
-            known = labels.toDF(c, f"of_{c}")
-            links = links.join(known, c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
-        to = stage(connected_components(links.filter("u <> v")).toDF("label", "to"), "relabelled")
-        moved = labels.join(to, "label", "left").select("sid", F.coalesce("to", "label").alias("label"))
-        # Sets that had no link before have themselves as label.
-        new = to.join(labels, to["label"] == labels["sid"], "left_anti").select(F.col("label").alias("sid"), F.col("to").alias("label"))
-        return stage(moved.unionAll(new), "labels")
-
-    for salt in range(s.rounds):
-        links = confirm.links(pivot_pairs(labelled(), sets, salt, s))
-        if not links.take(1):
-            break
-        labels = joined(links)
-    links = confirm.links(remaining_pairs(labelled(), sets, s, block).distinct())
-    if links.take(1):
-        labels = joined(links)
-    return links.sparkSession.createDataFrame([], "sid bigint, label bigint") if labels is None else labels
+    confirm = Confirm(docs, sets, s)
+    # A pivot is before its bucket in one order of all sets, so that links to pivots make trees.
+    labels = roots(confirm.links(pivot_pairs(members, sets, s)))
+    known = members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    links = confirm.links(remaining_pairs(stage(known, "labelled"), sets, s, block).distinct())
+    if not links.take(1):
+        return labels
+    for c in ("u", "v"):
+        links = links.join(labels.toDF(c, f"of_{c}"), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
+    to = stage(connected_components(links.select("u", "v"), "groups").toDF("label", "to"), "groups")
+    moved = labels.join(to, "label", "left").select("sid", F.coalesce("to", "label").alias("label"))
+    # Sets that had no link to a pivot are labels of their own.
+    alone = to.select(F.col("label").alias("sid"), F.col("to").alias("label")).join(labels.select("sid"), "sid", "left_anti")
+    return stage(moved.unionAll(alone), "groups")
 
 
 def near_duplicates(

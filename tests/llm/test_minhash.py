@@ -83,14 +83,14 @@ def family(rnd, n, words=90):
     return texts
 
 
-@pytest.mark.parametrize("block,at_once,rounds", [(4096, 16_384, 3), (5, 7, 1)])
-def test_components_against_brute_force(spark, block, at_once, rounds, monkeypatch):
+@pytest.mark.parametrize("block,at_once", [(4096, 16_384), (5, 7)])
+def test_components_against_brute_force(spark, block, at_once, monkeypatch):
     rnd = random.Random(block)
     texts = [t for n in (40, 12, 3, 2) for t in family(rnd, n)] + [f"only {i}" for i in range(20)]
     rows = [(i, t) for i, t in enumerate(rnd.sample(texts, len(texts)))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     monkeypatch.setattr(minhash.buckets, "__defaults__", (at_once,))
-    assert found(minhash.near_duplicates(docs, settings=Settings(rounds=rounds), block=block)) == brute(rows)
+    assert found(minhash.near_duplicates(docs, block=block)) == brute(rows)
 
 
 LONG = "lorem ipsum dolor sit amet " * 40_000
