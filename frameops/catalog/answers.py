@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from frameops.catalog import plans, relational  # noqa: F401  (registers the queries judged here)
 from frameops.catalog.registry import QUERIES, query
 from frameops.evaluation import report
-from frameops.evaluation.harness import ANSWER_SCHEMA, evaluate_plans, evaluate_sql
+from frameops.evaluation.harness import ANSWER_SCHEMA, Resume, evaluate_plans, evaluate_sql
 from frameops.session import scratch_path
 from frameops.sources.tables import load_expected, row_counts
 
@@ -107,3 +107,27 @@ def outputs_of_answers(t):
         outputs=folder,
     )
     return row_counts(load_expected(t.spark, folder)).withColumnRenamed("table", "id")
+
+
+@query(
+    "SELECT 'part_' || i AS id, CASE WHEN i % 10 = 3 THEN 'crash' WHEN n = 0 THEN 'empty_actual' ELSE 'match' END AS stage,"
+    " CASE WHEN i % 10 <> 3 THEN n END AS n_actual, CASE WHEN i < 40 THEN 'first' ELSE 'second' END AS judged_by"
+    " FROM (SELECT i, (SELECT count(*) FROM part WHERE p_partkey % 100 = i) AS n FROM range(100) t(i))"
+)
+def judged_resumed(t):
+    """A hundred answers in a second call, forty of which an earlier call has judged."""
+    broken = lambda i: "no_such" if i % 10 == 3 else "p_name"
+    rows = [
+        (f"part_{i}", ["sql"], 1, ["part"], f"SELECT p_partkey, {broken(i)} FROM part WHERE p_partkey % 100 = {i}", None, 0.0)
+        for i in range(100)
+    ]
+    expected = {f"part_{i}": t.part.where(f"p_partkey % 100 = {i}").select("p_partkey", "p_name") for i in range(100)}
+    load = lambda session, name: session.read.parquet(f"{t.folder}/{name}.parquet")
+    resume = Resume(scratch_path(t.spark, "outcomes"))
+    first = evaluate_sql(t.spark.createDataFrame(rows[:40], ANSWER_SCHEMA), load, expected, 8, resume=resume)
+    call = F.lit(first.select("judged_by_call").first()[0])
+    both = evaluate_sql(t.spark.createDataFrame(rows, ANSWER_SCHEMA), load, expected, 8, resume=resume)
+    return both.select(
+        "id", report.stage().alias("stage"), F.col("comparison.actual_n_rows").alias("n_actual"),
+        F.when(F.col("judged_by_call") == call, "first").otherwise("second").alias("judged_by"),
+    )

@@ -2,7 +2,8 @@
 
 Each query is a Spark job that writes its own output; the driver handles one
 outcome row per query and never any data. Queries run a few at a time, so that
-small ones do not leave the cluster idle.
+small ones do not leave the cluster idle. With a log, queries that have an outcome
+there, for their tables as they are, do not run again.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from frameops.evaluation.fingerprint import content_hash
+from frameops.evaluation.outcomes import OutcomeLog, file_state, table_states, with_keys
 from frameops.jobs import QUERY_ERRORS, error_text, rows_of_jobs
 from frameops.session import stage
 from frameops.sources.sqltext import private_session
@@ -58,21 +60,34 @@ def record_outputs(
     return rows_of_jobs(spark, jobs, lambda job: _run(job, out, keep_empty), OUTCOME_SCHEMA, at_once)
 
 
+def _resumed(
+    queries: DataFrame, job: Callable[[Row], Job], out: str, log: str, keep_empty: bool = False, at_once: int = 4
+) -> DataFrame:
+    """:func:`record_outputs` of the rows of ``queries`` (key, ...) that have no outcome in the log yet."""
+    kept = OutcomeLog(queries.sparkSession, log, OUTCOME_SCHEMA)
+    return kept.run(queries, lambda row: _run(job(row), out, keep_empty), at_once).drop("key", "call")
+
+
 def build_question_corpus(
     questions: DataFrame,
     load: Callable[[SparkSession, str], Mapping[str, DataFrame]],
     out: str,
     at_once: int = 4,
+    log: str | None = None,
+    state: Callable[[DataFrame], str] = file_state,
 ) -> tuple[DataFrame, DataFrame]:
     """Run the SQL of every question; returns (records to keep, outcomes of all).
 
     ``questions`` has ``id, db_id, question, sql``; ``load(session, db_id)`` reads the
     tables of a database once, in a session of its own so that equal table names of
     two databases do not clash. Only questions with a non-empty result are kept; a
-    record carries the declared schema and row count of its tables.
+    record carries the declared schema and row count of its tables. ``log`` goes with
+    ``out``, where the outputs of resumed questions are; a question runs again when the
+    ``state`` of a table of its database has changed.
     """
     spark = questions.sparkSession
     sessions: dict[str, SparkSession] = {}
+    states: dict[str, str] = {}
     schemas: list[tuple] = []
 
     def session_for(db_id: str) -> SparkSession:
@@ -82,6 +97,8 @@ def build_question_corpus(
             for name, df in tables.items():
                 df.createOrReplaceTempView(name)
             counts = {r["table"]: r["n_rows"] for r in row_counts(tables).collect()}
+            if log is not None:
+                states[db_id] = repr(sorted(table_states(tables, tables.get, state, at_once).items()))
             schemas.append((db_id, {n: (declared_schema(df), counts[n]) for n, df in tables.items()}))
         return sessions[db_id]
 
@@ -90,7 +107,15 @@ def build_question_corpus(
             session = session_for(row["db_id"])
             yield Job(row["id"], lambda session=session, sql=row["sql"]: session.sql(sql))
 
-    outcomes = record_outputs(spark, jobs(), out, at_once=at_once)
+    if log is None:
+        outcomes = record_outputs(spark, jobs(), out, at_once=at_once)
+    else:
+        for row in questions.select("db_id").distinct().collect():
+            session_for(row["db_id"])
+        asked = questions.select("id", "db_id", "sql", F.array("db_id").alias("tables"))
+        keyed = with_keys(asked, ["id", "sql"], states, version=out)
+        job = lambda row: Job(row["id"], lambda: sessions[row["db_id"]].sql(row["sql"]))
+        outcomes = _resumed(keyed, job, out, log, at_once=at_once)
     schema_type = "db_id string, tables map<string, struct<columns: map<string, string>, n_rows: bigint>>"
     # Staged, so that the planner knows how small it is.
     tables = stage(spark.createDataFrame(schemas, schema_type), "schemas")
@@ -122,13 +147,25 @@ def build_references(
     used: Mapping[str, Iterable[str]],
     out: str,
     at_once: int = 4,
+    log: str | None = None,
+    version: str = "",
+    state: Callable[[DataFrame], str] = file_state,
 ) -> tuple[DataFrame, DataFrame]:
     """Run every query of a catalog; returns (records with the tables used, outcomes).
 
-    An empty result is a valid reference, so only failures are left out.
+    An empty result is a valid reference, so only failures are left out. ``log`` goes with
+    ``out``; a query runs again when a table it uses, or the ``version`` of the catalog, has
+    changed.
     """
-    jobs = (Job(name, lambda q=query: q(tables)) for name, query in catalog.items())
-    outcomes = record_outputs(spark, jobs, out, keep_empty=True, at_once=at_once)
+    if log is None:
+        jobs = (Job(name, lambda q=query: q(tables)) for name, query in catalog.items())
+        outcomes = record_outputs(spark, jobs, out, keep_empty=True, at_once=at_once)
+    else:
+        names = spark.createDataFrame([(name, sorted(used[name])) for name in catalog], "id string, tables array<string>")
+        states = table_states({t for name in catalog for t in used[name]}, tables.get, state, at_once)
+        keyed = with_keys(names, ["id"], states, version=f"{version}:{out}")
+        job = lambda row: Job(row["id"], lambda: catalog[row["id"]](tables))
+        outcomes = _resumed(keyed, job, out, log, keep_empty=True, at_once=at_once)
     counts = {r["table"]: r["n_rows"] for r in row_counts(tables).collect()}
     described = [
         (name, {t: (declared_schema(tables[t]), counts[t]) for t in used[name]}) for name in catalog

@@ -1,25 +1,40 @@
 """Judge a table of answers: run each one, compare it with its expected output.
 
 An answer is a SQL text or a declarative plan. Each is planned by Spark over the
-record's tables and compared in one job; only its verdict comes back.
+record's tables and compared in one job; only its verdict comes back. A log of
+outcomes lets a later call go on where an earlier one ended.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from frameops.evaluation.compare import judge
+from frameops.evaluation.outcomes import OutcomeLog, file_state, table_states, with_keys
 from frameops.evaluation.report import tier_flags
 from frameops.jobs import QUERY_ERRORS, error_text, rows_of_jobs
 from frameops.plans.batch import extract_block, plan_valid
 from frameops.plans.run import run_plan
 from frameops.sources.sqltext import private_session, query_frame
 
+
+@dataclass(frozen=True)
+class Resume:
+    """Where outcomes are kept. ``state`` tells whether a table has changed; ``version`` is to change with the expected
+    outputs; answers whose run failed are run again if asked for."""
+
+    folder: str
+    version: str = ""
+    state: Callable[[DataFrame], str] = file_state
+    run_failed_again: bool = False
+
+
 ANSWER_SCHEMA = (
     "id string, tags array<string>, difficulty int, tables array<string>, answer string,"
     " generation_error string, latency_sec double"
@@ -41,13 +56,15 @@ def evaluate_sql(
     expected: Mapping[str, DataFrame],
     at_once: int = 4,
     outputs: str | None = None,
+    resume: Resume | None = None,
 ) -> DataFrame:
     """Results of SQL answers, ready for the reports.
 
     ``answers`` has the columns of ``ANSWER_SCHEMA``; ``load(session, table)`` reads a
     table. An answer must be a query and sees the tables its record names, no files by
     path. With ``outputs``, the rows of each answer that runs are kept as
-    ``<outputs>/<id>.parquet``.
+    ``<outputs>/<id>.parquet``. With ``resume``, outcomes are kept in a log, and answers
+    that have one there, for the tables as they are, do not run again.
     """
     spark = answers.sparkSession
 
@@ -59,7 +76,7 @@ def evaluate_sql(
         return query_frame(session, row["answer"])
 
     chosen = answers.select("id", "tables", "answer", "generation_error")
-    outcomes = _run(chosen, frame, expected, at_once, outputs)
+    outcomes = _run(chosen, frame, expected, at_once, outputs, resume, "sql", load)
     return tier_flags(_joined(answers.withColumnRenamed("answer", "generated_code"), outcomes))
 
 
@@ -69,11 +86,12 @@ def evaluate_plans(
     expected: Mapping[str, DataFrame],
     at_once: int = 4,
     outputs: str | None = None,
+    resume: Resume | None = None,
 ) -> DataFrame:
     """Results of plan answers, ready for the reports on plans.
 
     The plan is the first ``{...}`` block of the answer. Validation runs over the whole
-    table of answers; only valid plans are run. ``outputs`` as in :func:`evaluate_sql`.
+    table of answers; only valid plans are run. ``outputs`` and ``resume`` as in :func:`evaluate_sql`.
     """
     spark = answers.sparkSession
     found = answers.withColumn("block", extract_block(F.col("answer")))
@@ -85,7 +103,7 @@ def evaluate_plans(
     runnable = checked.where(F.col("json_plan").isNotNull())
     outcomes = _run(
         runnable.select("id", "tables", F.col("json_plan").alias("answer"), "generation_error"), frame, expected,
-        at_once, outputs,
+        at_once, outputs, resume, "plan", load,
     )
     coded = checked.withColumn("generated_code", F.coalesce("json_plan", F.lit(""))).drop("answer")
     return tier_flags(_joined(coded, outcomes), from_plans=True)
@@ -97,6 +115,9 @@ def _run(
     expected: Mapping[str, DataFrame],
     at_once: int,
     outputs: str | None,
+    resume: Resume | None,
+    kind: str,
+    load: Callable[[SparkSession, str], DataFrame],
 ) -> DataFrame:
     def work(row: Row) -> tuple:
         if row["generation_error"] is not None or not (row["answer"] or "").strip():
@@ -105,7 +126,7 @@ def _run(
             actual = frame(row)
             if outputs is not None:
                 path = f"{outputs.rstrip('/')}/{row['id']}.parquet"
-                actual.write.parquet(path)
+                actual.write.mode("overwrite").parquet(path)
                 actual = spark.read.schema(actual.schema).parquet(path)
             if row["id"] not in expected:
                 if outputs is None:
@@ -118,8 +139,16 @@ def _run(
             return row["id"], None, error_text(error), None
 
     spark = answers.sparkSession
-    rows = answers.orderBy("id").toLocalIterator()
-    return rows_of_jobs(spark, rows, work, _OUTCOME_SCHEMA, at_once)
+    if resume is None:
+        return rows_of_jobs(spark, answers.orderBy("id").toLocalIterator(), work, _OUTCOME_SCHEMA, at_once)
+    names = [r["t"] for r in answers.select(F.explode("tables").alias("t")).distinct().collect()]
+    states = table_states(names, lambda name: load(spark, name), resume.state, at_once)
+    # Answers are judged against the output of their id, so the id is part of what an outcome depends on.
+    version = f"{kind}:{resume.version}:{outputs or ''}"
+    keyed = with_keys(answers, ["id", "answer", "generation_error"], states, version)
+    log = OutcomeLog(spark, resume.folder, _OUTCOME_SCHEMA)
+    again = F.col("run_error").isNotNull() if resume.run_failed_again else None
+    return log.run(keyed, work, at_once, again).drop("key").withColumnRenamed("call", "judged_by_call")
 
 
 def _joined(answers: DataFrame, outcomes: DataFrame) -> DataFrame:

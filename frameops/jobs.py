@@ -26,17 +26,24 @@ def error_text(error: Exception) -> str:
 
 
 def rows_of_jobs(
-    spark: SparkSession, items: Iterable[Item], work: Callable[[Item], tuple], schema: str, at_once: int
+    spark: SparkSession,
+    items: Iterable[Item],
+    work: Callable[[Item], tuple],
+    schema: str,
+    at_once: int,
+    into: str | None = None,
+    rows_per_write: int = ROWS_PER_WRITE,
 ) -> DataFrame:
     """``work(item)`` for every item, a few at a time, as a table.
 
     The rows go to the shared folder in batches: the driver holds one batch of them,
-    however many items there are.
+    however many items there are. With ``into``, they are appended to that folder, and
+    the table holds what was there before too.
     """
-    path = scratch_path(spark, "rows")
-    spark.createDataFrame([], schema).write.parquet(path)
+    path = into or scratch_path(spark, "rows")
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        for some in batched(items, ROWS_PER_WRITE):
+        for some in batched(items, rows_per_write):
             rows = list(pool.map(work, some))
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
