@@ -7,8 +7,9 @@ most ``Fit.rows``, those with the smallest hash of the id; everything else cover
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameops.llm.common import id_and_text
-from frameops.llm.deobfuscate import SIZE, WORD, Channel, LetterModel, Restorer, trigram_counts
+from frameops.llm.deobfuscate import (
+    NOISE,
+    SIGNS,
+    SIZE,
+    WORD,
+    Channel,
+    LetterModel,
+    Restorer,
+    parts_of,
+    trigram_counts,
+)
 from frameops.session import stage
 
 THRESHOLD = 0.7
 LONGEST_KEPT = 64  # characters of a run of signs that is remembered
 PREFIXES = (3, 4, 5, 6)
+EQUAL = re.compile(r"(.)\1+")
 
 
 @dataclass(frozen=True)
@@ -78,16 +90,27 @@ class Model:
     def scorer(self):
         """A function from a text to its score, for one task."""
         restorer, weights = Restorer(self.letters, self.channel), self.weights
-        plain: set[str] = set()  # runs of signs without a feature, as nearly all are
+        # How words with a feature begin, and how they do with every letter once.
+        starts = {f[:3] for f in weights}
+        bare = {EQUAL.sub(r"\1", f.rstrip("*")[:3]) for f in weights}
+        plain: set[str] = set()  # noisy runs of signs without a feature, as nearly all are
 
-        def useful(words: tuple[str, ...]) -> list[str]:
-            return [f for word in words for f in features_of(word) if f in weights]
+        def useful(words: Iterable[str]) -> list[str]:
+            return [f for word in words if word[:3] in starts for f in features_of(word) if f in weights]
+
+        def may_be(token: str) -> bool:
+            """Whether a run whose only noise are repeated letters, which restoring takes out, can have a feature."""
+            words = (EQUAL.sub(r"\1", part) for part in parts_of(token))
+            return any(word[:n] in bare for word in words for n in (1, 2, 3))
 
         def score(text: str) -> float:
             groups, tokens = restorer.split(text)
             found = {f for group in groups for f in useful(group)}
-            for token in set(tokens) - plain:
-                some = useful(restorer.token(token))
+            new = set(tokens)
+            noisy = {token for token in new if NOISE.search(token)}
+            found.update(useful(set(WORD.findall(" ".join(new - noisy)))))
+            for token in noisy - plain:
+                some = useful(restorer.decoded(token)) if SIGNS.search(token) or may_be(token) else []
                 if some:
                     found.update(some)
                 elif len(token) <= LONGEST_KEPT:
