@@ -1,9 +1,13 @@
 """Nearest neighbours by largest inner product, over shifted Hilbert orderings of projected vectors.
 
 Several curves each order all vectors by a few random directions of their own; on every curve a query meets
-the vectors in a window around its place. The windows' best are merged and ranked on the original vectors.
-How wide the windows are, as a share of all vectors, is settled on a bounded sample against brute force, and
-is the same at every size. Equal vectors travel as one, with the ids that a result can have.
+the vectors in a window around its place, and of those the ones it has not met in the window of an earlier curve.
+The windows' best are merged and ranked on the original vectors. How wide the windows are, as a share of all
+vectors, is settled on a bounded sample against brute force, and is the same at every size. Equal vectors travel
+as one, with the ids that a result can have.
+
+Curves are put in order with ids alone. Vectors then go to the blocks of the curves, with their places on all
+curves, which decide what is compared.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +29,14 @@ BITS = 7
 
 @dataclass(frozen=True)
 class Settings:
-    curves: int = 8
-    dimensions: int = 8  # directions per curve
-    recall: float = 0.97  # on the sample
+    curves: int = 16
+    dimensions: int = 6  # directions per curve
+    recall: float = 0.935  # on the sample
     sample: int = 4_096  # distinct vectors used for the fit, at most
-    block: int = 4_096  # vectors of a curve that a task compares at a time
+    block: int = 4_096  # vectors of a curve that a task holds at a time, at most
     seed: int = 7
-    shares: tuple[float, ...] = (0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.14, 0.18, 0.23, 0.3, 0.4, 0.5)
+    # Widths that are tried; after them, all vectors.
+    shares: tuple[float, ...] = tuple(round(0.002 * 1.05**i, 5) for i in range(128))
 
 
 class Curves:
@@ -66,10 +72,14 @@ class Curves:
         return np.stack([hilbert_index(x, BITS) for x in np.split(grid, self.count, axis=1)], axis=1)
 
 
-def fit_share(sample: np.ndarray, curves: Curves, k: int, settings: Settings) -> float:
-    """The smallest window share that finds the asked part of the true neighbours within the sample."""
+def fit_share(sample: np.ndarray, total: int, curves: Curves, k: int, settings: Settings) -> float:
+    """The smallest window share that finds the asked part of the true neighbours within the sample.
+
+    The ``k`` nearest of all vectors are, of a sample, as many fewer as the sample is smaller.
+    """
     n = len(sample)
-    some = np.linspace(0, n - 1, min(n, 256)).astype(int)
+    k = max(1, int(np.ceil(k * n / total)))
+    some = np.linspace(0, n - 1, min(n, 512)).astype(int)
     scores = sample[some] @ sample.T
     scores[np.arange(len(some)), some] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, n - 1)]
@@ -101,21 +111,23 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     settings: Settings = Settings(),
+    compared: Accumulator | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest other rows found, nearest first, ties to the smaller id.
 
     The score is the inner product in double precision on the original vectors. Null, zero and non-finite vectors
-    and null ids take no part, nor do vectors of another length than most have; rows that repeat count once. With
-    ``k`` or fewer other rows all are returned, with none no row.
+    and null ids take no part; of the others, two lengths are an error. Rows that repeat count once. With ``k`` or
+    fewer other rows all are returned, with none no row. ``compared`` adds up the pairs whose score was computed.
     """
     rows = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "v"])
     rows = stage(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    sizes = rows.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     out = "query_id bigint, rank int, vec_id bigint, score double"
     spark = vectors.sparkSession
-    if sizes is None:
+    if sizes["least"] is None:
         return spark.createDataFrame([], out)
-    rows = rows.filter(F.size("v") == sizes["n"])
+    if sizes["least"] != sizes["most"]:
+        raise ValueError(f"vectors have {sizes['least']} to {sizes['most']} components")
 
     # Of equal vectors, k + 1 ids are enough for every result; the first stands for the group.
     first = Window.partitionBy("v").orderBy("vec_id")
@@ -131,10 +143,16 @@ def nearest(
     seen = groups.orderBy(F.xxhash64("gid"), "gid").limit(settings.sample).select("v").collect()
     sample = np.array([r["v"] for r in seen])
     curves = Curves(sample, facts["longest"], settings)
-    share = fit_share(sample, curves, k, settings)
-    width = int(np.ceil(share * facts["n"]))
-
-    found = _windows(groups.select("gid", "v"), queries, curves, width, k, settings)
+    share = fit_share(sample, facts["n"], curves, k, settings)
+    # Vectors of single precision are moved as such; scores are computed in double precision all the same.
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    if kind == "float":
+        groups = groups.withColumn("v", F.col("v").cast("array<float>"))
+        queries = queries.withColumn("v", F.col("v").cast("array<float>"))
+
+    # As wide as all vectors if few: a query meets at least k others that way.
+    width = max(int(np.ceil(share * facts["n"])), k)
+    found = _windows(groups.select("gid", "v"), queries, curves, width, k, settings, compared)
     found = found.groupBy("gid", "near").agg(F.max("score").alias("score"))
     top = Window.partitionBy("gid").orderBy(F.desc("score"), "near")
     found = found.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= k + 1)
@@ -150,133 +168,124 @@ def nearest(
     return each.select("query_id", (F.col("nth") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
-def _windows(all_: DataFrame, queries: DataFrame, curves: Curves, width: int, k: int, s: Settings) -> DataFrame:
-    """(gid, near, score): the best of every block of every curve that a query's windows touch."""
+def _vectors(part: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch, none of them null and all of one length, a row each."""
+    flat = part.column(part.schema.names.index("v")).flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(float).reshape(part.num_rows, -1)
+
+
+def _places(all_: DataFrame, queries: DataFrame, curves: Curves) -> DataFrame:
+    """(gid, query, places): for each vector, and each query, how many vectors are before it on every curve."""
     spark = all_.sparkSession
     shared = spark.sparkContext.broadcast(curves)
 
     def place(query: bool):
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                vectors = np.array(part.column("v").to_pylist(), dtype=float).reshape(part.num_rows, -1)
-                if not len(vectors):
-                    continue
-                at = shared.value.positions(vectors, query)
-                for c in range(at.shape[1]):
+                if part.num_rows:
+                    at = shared.value.positions(_vectors(part), query)
+                    curve = np.repeat(np.arange(at.shape[1], dtype=np.int32), len(at))
+                    gid = np.tile(part.column("gid").to_numpy(zero_copy_only=False), at.shape[1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), c, np.int32)), pa.array(at[:, c]), part.column("gid"), part.column("v")],
-                        ["curve", "at", "gid", "v"],
+                        [pa.array(curve), pa.array(at.T.ravel()), pa.array(np.full(len(gid), int(query), np.int32)), pa.array(gid)],
+                        ["curve", "at", "query", "gid"],
                     )
 
         return batches
 
     def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many vectors of its curve are before each row in this slice."""
         from pyspark import TaskContext
 
         task, so_far = TaskContext.get().partitionId(), {}
         for part in parts:
-            curve = part.column("curve").to_numpy(zero_copy_only=False)
+            curve, query = (part.column(c).to_numpy(zero_copy_only=False) for c in ("curve", "query"))
             nth = np.zeros(len(curve), dtype=np.int64)
             for c in np.unique(curve):
                 rows = np.flatnonzero(curve == c)
-                nth[rows] = so_far.get(c, 0) + np.arange(len(rows))
-                so_far[c] = so_far.get(c, 0) + len(rows)
+                vectors = 1 - query[rows]
+                nth[rows] = so_far.get(c, 0) + np.cumsum(vectors) - vectors
+                so_far[c] = so_far.get(c, 0) + int(vectors.sum())
             made = [pa.array(np.full(len(curve), task, dtype=np.int64)), pa.array(nth)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "task", "nth"])
-
-    schema, n = "curve int, at bigint, gid bigint, v array<double>", shuffle_partitions(spark)
-    # Candidates and queries are ordered together, so a query's place is its rank among the candidates.
-    both = (
-        all_.select("gid", "v").mapInArrow(place(False), schema).withColumn("query", F.lit(0))
-        .unionAll(queries.mapInArrow(place(True), schema).withColumn("query", F.lit(1)))
-    )
+            columns = [part.column(c) for c in ("curve", "query", "gid")]
+            yield pa.RecordBatch.from_arrays([*columns, *made], ["curve", "query", "gid", "task", "nth"])
+
+    schema = "curve int, at bigint, query int, gid bigint"
+    # Vectors and queries are put in order together, so a query's place is its rank among the vectors.
+    both = all_.mapInArrow(place(False), schema).unionAll(queries.mapInArrow(place(True), schema))
     order = ["curve", "at", "query", "gid"]
-    both = both.select("curve", "at", "query", "gid", "v").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    fields = "curve int, at bigint, query int, gid bigint, v array<double>, task bigint, nth bigint"
-    both = stage(both.mapInArrow(number, fields), "curves")
-    counts = both.groupBy("curve", "task").count()
+    both = both.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    both = stage(both.mapInArrow(number, "curve int, query int, gid bigint, task bigint, nth bigint"), "curves")
+    counts = both.groupBy("curve", "task").agg(F.sum(1 - F.col("query")).alias("n"))
     before = Window.partitionBy("curve").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("curve", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    both = both.join(counts, ["curve", "task"]).withColumn("place", F.col("ahead") + F.col("nth"))
-
-    # Places count candidates and queries; windows are widened by the queries' share. Blocks are as long as a
-    # window, so that a query meets three of a curve at the most, however many rows there are.
-    wide = int(np.ceil(width * 1.1)) + 1
-    length = max(wide, s.block)
-    block = F.floor(F.col("place") / length)
-    first, last = F.floor(F.greatest(F.col("place") - wide, F.lit(0)) / length), F.floor((F.col("place") + wide) / length)
-    # A block's queries go to several tasks if there are more than one should hold; each streams the block's rows.
-    total = both.filter("curve = 0").count()
-    teams = max(1, int(np.ceil(queries.count() * min(1.0, 3 * length / total) / s.block)))
-    rows = both.filter("query = 0").select("curve", block.alias("block"), "query", "gid", "v")
-    blocks = rows.select("curve", "block").distinct()
-    asked = both.filter("query = 1").select("curve", F.explode(F.sequence(first, last)).alias("block"), "query", "gid", "v")
-    asked = asked.join(blocks, ["curve", "block"], "left_semi")
-    asked = asked.withColumn("team", F.pmod(F.xxhash64("gid"), F.lit(teams)))
-    rows = rows.withColumn("team", F.explode(F.expr(f"sequence(0L, {teams - 1}L)")))
-    keys = ["curve", "block", "team"]
-    columns = [*keys, "query", "gid", "v"]
-    met = rows.select(*columns).unionAll(asked.select(*columns))
-    met = met.repartition(n, *keys).sortWithinPartitions(*keys, F.desc("query"), "gid")
+    counts = counts.select("curve", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    placed = both.join(counts, ["curve", "task"])
+    each = F.array_sort(F.collect_list(F.struct("curve", (F.col("ahead") + F.col("nth")).alias("place"))))
+    return placed.groupBy("gid", "query").agg(F.transform(each, lambda x: x["place"]).alias("places"))
+
+
+def _windows(
+    all_: DataFrame, queries: DataFrame, curves: Curves, width: int, k: int, s: Settings, compared: Accumulator | None
+) -> DataFrame:
+    """(gid, near, score): the best of every block of every curve among the vectors in a query's window there that are
+    in none of its windows on earlier curves."""
+    n = shuffle_partitions(all_.sparkSession)
+    placed = _places(all_, queries, curves)
+    rows = placed.filter("query = 0").join(all_, "gid").select("gid", "v", "places")
+    asked = placed.filter("query = 1").join(queries, "gid").select("gid", "v", "places")
+    length = min(s.block, max(width, 256))
+    one = [F.floor(F.col("place") / length)]
+    first, last = F.floor(F.greatest(F.col("place") - width, F.lit(0)) / length), F.floor((F.col("place") + width) / length)
+    of = lambda df, blocks: df.select(F.posexplode("places").alias("curve", "place"), "gid", "v", "places").select(
+        "curve", F.explode(blocks).alias("block"), "gid", "v", "places"
+    )
+    met = of(rows, F.array(*one)).withColumn("query", F.lit(0)).unionAll(
+        of(asked, F.sequence(first, last)).withColumn("query", F.lit(1))
+    )
+    met = met.repartition(n, "curve", "block").sortWithinPartitions("curve", "block", "query", "gid")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, group = None, None
+        of, held = None, []
         for part in parts:
-            curve, blk, team, query, gid = (part.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            vectors = np.array(part.column("v").to_pylist(), dtype=float).reshape(part.num_rows, -1)
-            new = (curve[1:] != curve[:-1]) | (blk[1:] != blk[:-1]) | (team[1:] != team[:-1]) | (query[1:] != query[:-1])
+            curve, block, query, gid = (part.column(c).to_numpy(zero_copy_only=False) for c in ("curve", "block", "query", "gid"))
+            vectors = _vectors(part)
+            places = part.column("places").flatten().to_numpy(zero_copy_only=False).reshape(len(gid), -1)
+            new = (curve[1:] != curve[:-1]) | (block[1:] != block[:-1]) | (query[1:] != query[:-1])
             cuts = np.flatnonzero(new) + 1
             for a, b in zip([0, *cuts], [*cuts, len(curve)], strict=True):
                 if a == b:
                     continue
-                if (key := (curve[a], blk[a], team[a])) != of:
-                    if group is not None:
-                        yield from group.best()
-                    of, group = key, _Best(k + 1, s.block)
-                (group.ask if query[a] else group.offer)(gid[a:b], vectors[a:b])
-        if group is not None:
-            yield from group.best()
+                if (curve[a], block[a]) != of:
+                    of, held = (curve[a], block[a]), []
+                some = (gid[a:b], vectors[a:b], places[a:b])
+                if query[a] == 0:
+                    held.append(some)
+                elif held:
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                    yield best(int(curve[a]), held[0], some)
+
+    def best(curve: int, rows: tuple, asked: tuple) -> pa.RecordBatch:
+        gid, vectors, places = rows
+        found = []
+        for query, q, at in zip(*asked, strict=True):
+            some = np.flatnonzero(np.abs(places[:, curve] - at[curve]) <= width)
+            for c in range(curve):  # met on an earlier curve
+                some = some[np.abs(places[some, c] - at[c]) > width]
+            if not len(some):
+                continue
+            if compared is not None:
+                compared.add(len(some))
+            near = vectors[some]
+            if len(some) > k + 1:
+                top = np.argpartition(-(near @ q), k)[: k + 1]
+                some, near = some[top], near[top]
+            # Sums in a fixed order: equal pairs of vectors have equal scores wherever they meet.
+            found.append((np.full(len(some), query), gid[some], (near * q).sum(1)))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0)] * 3
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(columns, types, strict=True)], ["gid", "near", "score"]
+        )
 
     return met.mapInArrow(compare, "gid bigint, near bigint, score double")
-
-
-class _Best:
-    """The best rows so far for the queries of one block; rows are compared some thousand at a time."""
-
-    def __init__(self, keep: int, at_once: int) -> None:
-        self.keep, self.at_once, self.waiting, self.n = keep, at_once, [], 0
-        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
-        self.near = self.scores = None
-
-    def ask(self, gid: np.ndarray, vectors: np.ndarray) -> None:
-        self.asked.append((gid, vectors))
-
-    def offer(self, gid: np.ndarray, vectors: np.ndarray) -> None:
-        if self.asked:
-            self.waiting.append((gid, vectors))
-            self.n += len(gid)
-            if self.n >= self.at_once:
-                self.compare()
-
-    def compare(self) -> None:
-        ids, rows = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
-        if self.near is None:
-            self.gid, self.vectors = (np.concatenate(x) for x in zip(*self.asked, strict=True))
-            self.near = np.empty((len(self.gid), 0), dtype=np.int64)
-            self.scores = np.empty((len(self.gid), 0))
-        rough = self.vectors @ rows.T
-        some = min(self.keep, len(ids))
-        best = np.argpartition(-rough, some - 1, axis=1)[:, :some]
-        # Sums in a fixed order: equal pairs of vectors have equal scores wherever they meet.
-        exact = np.stack([(v * rows[at]).sum(-1) for v, at in zip(self.vectors, best, strict=True)])
-        near, scores = np.hstack([self.near, ids[best]]), np.hstack([self.scores, exact])
-        order = np.lexsort((near, -scores), axis=1)[:, : self.keep]
-        self.near, self.scores = (np.take_along_axis(x, order, axis=1) for x in (near, scores))
-        self.waiting, self.n = [], 0
-
-    def best(self) -> Iterator[pa.RecordBatch]:
-        if self.waiting:
-            self.compare()
-        if self.near is not None:
-            columns = [np.repeat(self.gid, self.near.shape[1]), self.near.ravel(), self.scores.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gid", "near", "score"])

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from helpers import bag
@@ -251,6 +252,9 @@ def test_archives_with_repeated_ids_against_sql(spark, tmp_path):
     assert bag(found.collect(), found.columns) == bag(want.fetchall(), columns)
 
 
+WHOLE = ann.Settings(shares=())  # windows of all vectors
+
+
 def brute_nearest(vectors, k):
     keys, x = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors], dtype=float)
     for i in np.flatnonzero(keys % 20 == 0):
@@ -263,14 +267,51 @@ def test_nearest_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     good = [(i, [float(x) for x in rng.normal(size=6).round(3)]) for i in range(300)]
     good += [(1000 + i, good[40][1]) for i in range(60)]  # copies of a query's vector, queries among them
-    bad = [(9000, None), (9020, [0.0] * 6), (9040, [float("nan")] * 6), (9060, [None] * 6), (9080, [1.0]), (None, good[0][1])]
+    bad = [(9000, None), (9020, [0.0] * 6), (9040, [float("nan")] * 6), (9060, [None] * 6), (None, good[0][1])]
     rows = [(i, v, 1.0) for i, v in good + bad + good[:3]]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score double")
-    found = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, k=20).collect()}
+    found = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, k=20, settings=WHOLE).collect()}
     assert found == set(brute_nearest(good, 20))
     few = spark.createDataFrame(rows[:3], df.schema)
     assert sorted((r.query_id, r["rank"]) for r in ann.nearest(few).collect()) == [(0, 1), (0, 2)]
     assert ann.nearest(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="1 to 6 components"):
+        ann.nearest(df.unionAll(spark.createDataFrame([(9080, [1.0], 1.0)], df.schema)))
+
+
+def test_each_pair_in_a_window_is_compared_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    compared = spark.sparkContext.accumulator(0)
+    found = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, settings=WHOLE, compared=compared).collect()}
+    assert found == set(brute_nearest(rows, 20)) and compared.value == 45 * 900
+
+
+def recall_and_pairs(spark, df, settings=ann.Settings()):
+    compared = spark.sparkContext.accumulator(0)
+    found = {(r.query_id, r.vec_id) for r in ann.nearest(df, settings=settings, compared=compared).collect()}
+    rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
+    want = {(q, v) for q, _, v in brute_nearest(rows, 20)}
+    return len(found & want) / len(want), compared.value / (len({q for q, _ in want}) * len(rows))
+
+
+def test_recall_and_pairs_at_the_defaults(spark):
+    recall, pairs = recall_and_pairs(spark, common.table(spark, "/root/testdata/sf0.1", "embeddings"))
+    print(f"given vectors: recall {recall:.3f}, pairs {pairs:.3f}")
+    assert recall >= 0.9 and pairs <= 0.8
+
+
+def test_recall_and_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(200, 32))
+    x = middles[rng.integers(0, 200, 50_000)] + 0.25 * rng.normal(size=(50_000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    pdf = pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist()})
+    df = spark.createDataFrame(pdf).selectExpr("vec_id", "cast(embedding as array<float>) as embedding")
+    recall, pairs = recall_and_pairs(spark, df)
+    print(f"clustered vectors: recall {recall:.3f}, pairs {pairs:.3f}")
+    assert recall >= 0.9 and pairs <= 0.2
 
 
 def test_recall_in_narrow_windows(spark):
