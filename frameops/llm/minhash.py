@@ -7,8 +7,8 @@ such signatures share a key. ``most`` is chosen so that sets as similar as asked
 below one in a million.
 
 Equal sets are one from the start. Then links that join whole groups are looked for first: in every bucket the first
-set in some random order is the pivot, and every other set is compared with the nearest pivot it has met. After that
-every pair of sets of different groups that share a bucket is compared, so no link is lost; pairs inside a group need
+set in some random order is the pivot, and every other set is compared with the pivots it has met. After that every
+pair of sets of different groups that share a bucket is compared, so no link is lost; pairs inside a group need
 no comparison. Signatures decide which pairs are worth it, shingle sets whether they are links.
 """
 
@@ -33,6 +33,8 @@ from frameops.session import shuffle_partitions, stage
 SETS_AT_ONCE = 16_384
 # Rows of a bucket that one task compares.
 BLOCK = 4_096
+# Sets of a family that a task holds at a time; pairs of two such blocks are checked together.
+TOGETHER = 512
 
 
 @dataclass(frozen=True)
@@ -229,7 +231,7 @@ def buckets(sets: DataFrame, s: Settings, at_once: int = SETS_AT_ONCE) -> DataFr
 
 
 def pivot_pairs(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(u, v): every set with the nearest of the pivots it met in its buckets, where one is near enough."""
+    """(u, v): every set with the pivots of its buckets that are near enough. In one order of all sets v is before u."""
     order = F.struct(F.xxhash64("sid"), "sid")
     pivots = stage(members.groupBy("key").agg(F.min(order).alias("pivot")).select("key", F.col("pivot.sid").alias("v")), "pivots")
     pairs = members.join(pivots, "key").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
@@ -239,13 +241,16 @@ def pivot_pairs(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             a, b = (sig_array(part.column(c), s.symbols) for c in ("sig_u", "sig_v"))
-            away = (a != b).sum(axis=1)
-            some = pa.array(away <= s.most)
-            columns = [part.column("u"), part.column("v"), pa.array(away.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([c.filter(some) for c in columns], ["u", "v", "away"])
+            some = pa.array((a != b).sum(axis=1) <= s.most)
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(some) for c in ("u", "v")], ["u", "v"])
 
-    near = pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(batches, "u bigint, v bigint, away int")
-    return near.groupBy("u").agg(F.min(F.struct("away", "v")).alias("best")).select("u", "best.v")
+    return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(batches, "u bigint, v bigint")
+
+
+def first_of(pairs: DataFrame) -> DataFrame:
+    """(u, v): of the pivots of each set the first in the order of all sets."""
+    first = pairs.groupBy("u").agg(F.min(F.struct(F.xxhash64("v"), "v")).alias("first"))
+    return first.select("u", "first.v")
 
 
 def _sizes_fit(a: str, b: str, s: Settings) -> Column:
@@ -312,11 +317,8 @@ def remaining_pairs(members: DataFrame, sets: DataFrame, s: Settings, block: int
                 off = sigs[a] != sigs[b]
                 near = np.flatnonzero(off.sum(axis=1) <= s.most)
                 # The pair is found once: by the first of its shared keys.
-                off = off[near]
-                first = np.full(len(near), len(kept))
-                for nth in range(len(kept) - 1, -1, -1):
-                    first[~off[:, kept[nth]].any(axis=1)] = nth
-                near = near[first == mine]
+                for earlier in kept[:mine]:
+                    near = near[off[np.ix_(near, earlier)].any(axis=1)]
                 found.append((sid[a[near]], sid[b[near]]))
         pairs = [np.concatenate([f[x] for f in found]) if found else np.empty(0, np.int64) for x in range(2)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["u", "v"])
@@ -325,10 +327,15 @@ def remaining_pairs(members: DataFrame, sets: DataFrame, s: Settings, block: int
 
 
 class Confirm:
-    """Candidate pairs against the full sets. Texts are fetched once, only of sets that are in some candidate pair."""
+    """Candidate pairs against the full sets. Texts are fetched once, only of sets that are in some candidate pair.
+
+    Sets that may be alike are in one family, and a family is cut into blocks. All pairs of two blocks are checked
+    together, so a text is sent once for all its pairs with a block, not with every pair.
+    """
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, s: Settings) -> None:
-        self.docs, self.sets, self.s, self.texts = docs, sets, s, None
+    def __init__(self, docs: DataFrame, sets: DataFrame, s: Settings, together: int = TOGETHER) -> None:
+        self.docs, self.sets, self.s, self.together = docs, sets, s, together
+        self.texts = self.blocks = None
 
     def _fetch(self, sids: DataFrame) -> None:
         if self.texts is not None:
@@ -350,28 +357,47 @@ class Confirm:
         found = stage(found.groupBy("sid").agg(F.first("text").alias("text")), "texts")
         self.texts = found if self.texts is None else self.texts.unionAll(found)
 
+    def families(self, labels: DataFrame) -> None:
+        """Sets with one label are a family from now on; others are families by themselves."""
+        sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / self.together).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+        self.blocks = stage(labels.join(sizes, "label").select("sid", F.struct("label", part.alias("part")).alias("block")), "blocks")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are links."""
         pairs = stage(pairs, "pairs")
         self._fetch(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct())
         if self.texts is None:
             return pairs
-        text = lambda c: self.texts.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}"))
+        alone = lambda c: F.struct(F.col(c).alias("label"), F.lit(0).alias("part"))
+        for c in "uv":
+            block = self.blocks.select(F.col("sid").alias(c), F.col("block").alias(f"of_{c}"))
+            pairs = pairs.join(block, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", alone(c)))
+        work = F.struct(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b")).alias("work")
+        pairs = stage(pairs.select(work, "u", "v"), "work")
+        wanted = pairs.select("work", F.explode(F.array("u", "v")).alias("u")).distinct()
+        texts = wanted.join(self.texts.withColumnRenamed("sid", "u"), "u")
+        rows = texts.select("work", "u", F.lit(None).cast("bigint").alias("v"), "text").unionAll(
+            pairs.select("work", "u", "v", F.lit(None).cast("string").alias("text"))
+        )
+        rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "work")
+        rows = rows.sortWithinPartitions("work", F.asc_nulls_first("v")).select(F.xxhash64("work").alias("work"), "u", "v", "text")
         s = self.s
 
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = (None, None)
+            of, sets = None, {}
             for part in parts:
-                keep = []
-                for v, a, b in zip(*(part.column(c).to_pylist() for c in ("v", "text_u", "text_v")), strict=True):
-                    if v != held[0]:  # a pivot has many pairs, one after the other
-                        held = (v, shingle_set(b, s.words))
-                    keep.append(similar(shingle_set(a, s.words), held[1], s))
-                some = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(some) for c in ("u", "v")], ["u", "v"])
+                found = []
+                for work, u, v, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    if work != of:
+                        of, sets = work, {}
+                    if v is None:
+                        sets[u] = shingle_set(text, s.words)
+                    elif similar(sets[u], sets[v], s):
+                        found.append((u, v))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-        joined = pairs.join(text("u"), "u").join(text("v"), "v")
-        return stage(joined.select("u", "v", "text_u", "text_v").mapInArrow(batches, "u bigint, v bigint"), "links")
+        return stage(rows.mapInArrow(batches, "u bigint, v bigint"), "links")
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -386,12 +412,14 @@ def roots(parents: DataFrame) -> DataFrame:
             return labels
 
 
-def set_groups(docs: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK) -> DataFrame:
+def set_groups(docs: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """(sid, label): for every set that is linked with another the group it is in."""
     members = stage(buckets(sets, s), "buckets")
-    confirm = Confirm(docs, sets, s)
-    # A pivot is before its bucket in one order of all sets, so that links to pivots make trees.
-    labels = roots(confirm.links(pivot_pairs(members, sets, s)))
+    near = stage(pivot_pairs(members, sets, s), "near-pivots")
+    confirm = Confirm(docs, sets, s, together)
+    # A pivot is before its bucket in one order of all sets, so one pivot for each set makes trees.
+    confirm.families(roots(first_of(near)))
+    labels = roots(first_of(confirm.links(near)))
     known = members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     links = confirm.links(remaining_pairs(stage(known, "labelled"), sets, s, block).distinct())
     if not links.take(1):
@@ -406,7 +434,12 @@ def set_groups(docs: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), block: int = BLOCK
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    settings: Settings = Settings(),
+    block: int = BLOCK,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``, repeated rows included.
 
@@ -422,7 +455,7 @@ def near_duplicates(
     sets = rows.filter("n > 0").groupBy("digest").agg(first.alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     sets = sets.select("digest", "first.least", "first.mark", "n", "sig", F.monotonically_increasing_id().alias("sid"))
     sets = stage(sets, "sets")
-    labels = set_groups(id_and_text(docs, id_col, text_col), sets, settings, block)
+    labels = set_groups(id_and_text(docs, id_col, text_col), sets, settings, block, together)
     of = sets.join(labels, "sid", "left").select("digest", "least", F.coalesce("label", "sid").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     of = stage(of.join(least, "label").select("digest", "component_id"), "components")

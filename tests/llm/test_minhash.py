@@ -90,7 +90,7 @@ def test_components_against_brute_force(spark, block, at_once, monkeypatch):
     rows = [(i, t) for i, t in enumerate(rnd.sample(texts, len(texts)))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     monkeypatch.setattr(minhash.buckets, "__defaults__", (at_once,))
-    assert found(minhash.near_duplicates(docs, block=block)) == brute(rows)
+    assert found(minhash.near_duplicates(docs, block=block, together=block)) == brute(rows)
 
 
 LONG = "lorem ipsum dolor sit amet " * 40_000
