@@ -119,6 +119,44 @@ def compare_many_runs(t):
     return compare_by(actual, expected, ["run"])
 
 
+_LINE = """string_agg('{"o_orderkey":' || o_orderkey || ',"day":"' || CAST(day AS DATE) || '","status":"' || status || '"}',
+  chr(10) ORDER BY o_orderkey)"""
+
+
+@query(f"""
+WITH e AS (SELECT o_orderstatus || o_custkey % 3 AS run, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS status,
+  o_custkey % 3 AS part FROM orders),
+a AS (SELECT run, o_orderkey, CAST(day + CAST(CASE WHEN part = 1 AND o_orderkey % 50 = 7 THEN 1 ELSE 0 END AS INTEGER) AS DATE) AS day,
+  CASE WHEN part = 1 AND o_orderkey % 70 = 5 THEN 'X' ELSE status END AS status FROM e
+  WHERE part < 2 OR o_orderkey % 2 = 0),
+judged AS (SELECT run, count(a.o_orderkey) AS n_a, count(*) AS n_e, count(*) FILTER (a.day <> e.day) AS days,
+  count(*) FILTER (a.status <> e.status) AS statuses FROM e LEFT JOIN a USING (run, o_orderkey) GROUP BY run),
+first_a AS (SELECT run, {_LINE} AS shown FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS r FROM a)
+  WHERE r <= 3 GROUP BY run),
+first_e AS (SELECT run, {_LINE} AS shown FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS r FROM e)
+  WHERE r <= 3 GROUP BY run)
+SELECT run, CASE WHEN n_a = 0 THEN 'empty_actual' WHEN n_a <> n_e THEN 'row_count' WHEN days + statuses > 0 THEN 'content'
+  ELSE 'match' END AS reason,
+  coalesce(first_a.shown, '<empty>') AS actual_preview, first_e.shown AS expected_preview,
+  CASE WHEN n_a = n_e AND days + statuses > 0 THEN 'columns with differing values: ['
+    || concat_ws(', ', CASE WHEN days > 0 THEN '''day''' END, CASE WHEN statuses > 0 THEN '''status''' END) || ']' END AS detail
+FROM judged LEFT JOIN first_a USING (run) LEFT JOIN first_e USING (run)""")
+def compare_many_runs_details(t):
+    """A third of the runs as expected, a third with other days and states, a third with rows missing."""
+    part, key = F.col("o_custkey") % 3, F.col("o_orderkey")
+    run = F.concat("o_orderstatus", part.cast("string")).alias("run")
+    day, status = F.col("o_orderdate").cast("date"), F.col("o_orderstatus")
+    expected = t.orders.select(run, "o_orderkey", day.alias("day"), status.alias("status"))
+    actual = t.orders.where((part < 2) | (key % 2 == 0)).select(
+        run,
+        "o_orderkey",
+        F.when((part == 1) & (key % 50 == 7), F.date_add(day, 1)).otherwise(day).alias("day"),
+        F.when((part == 1) & (key % 70 == 5), "X").otherwise(status).alias("status"),
+    )
+    found = compare_by(actual, expected, ["run"], previews=3, details=True)
+    return found.select("run", "reason", "actual_preview", "expected_preview", "detail")
+
+
 @query("""
 WITH a AS (SELECT l_partkey, l_quantity, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
 e AS (SELECT l_partkey, l_quantity, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from frameops.functions.scalar import named
 from frameops.operators.frame import hashable
+from frameops.operators.ranking import group_key
 from frameops.session import stage
 
 FLOAT_DIGITS = 6
@@ -203,20 +204,30 @@ def judge(actual: DataFrame, expected: DataFrame, previews: int = 5, float_digit
 
 
 def compare_by(
-    actual: DataFrame, expected: DataFrame, by: Sequence[str], float_digits: int = FLOAT_DIGITS
+    actual: DataFrame,
+    expected: DataFrame,
+    by: Sequence[str],
+    float_digits: int = FLOAT_DIGITS,
+    previews: int = 0,
+    details: bool = False,
 ) -> DataFrame:
     """:func:`compare` for many results at once, one row per value of ``by``.
 
     Both frames hold the results of many runs, told apart by the ``by`` columns.
     Rows are merged per run and content before the shuffle, then counted per run
     with partials, so a run with a third of all rows is still spread out.
+
+    With ``previews``, the first rows of each run on either side, as they sort, are added
+    as text. With ``details``, a run of which only the content differs has a ``detail``
+    that names the differing columns.
     """
     columns = [*by, *[c for c in expected.columns if c not in by]]
     missing, extra = column_difference(actual.columns, expected.columns)
     if missing or extra:
         raise ValueError(f"frames differ in columns: missing {missing}, extra {extra}")
+    rest = [c for c in columns if c not in by]
     counts = (
-        _counted(actual, expected, columns, float_digits, digest=[c for c in columns if c not in by])
+        _counted(actual, expected, columns, float_digits, digest=rest)
         .groupBy(*map(named, by))
         .agg(
             F.sum("__a").alias("actual_n_rows"),
@@ -225,7 +236,9 @@ def compare_by(
         )
         .withColumn("reason", _verdict(F.col("actual_n_rows"), F.col("expected_n_rows"), F.col("n_different")))
     )
-    return counts.select(
+    if details:
+        counts = stage(counts, "verdicts")
+    found = counts.select(
         *map(named, by),
         (F.col("reason") == "match").alias("match"),
         "reason",
@@ -233,6 +246,34 @@ def compare_by(
         "expected_n_rows",
         summary_text(F.col("reason"), F.col("actual_n_rows"), F.col("expected_n_rows")).alias("summary"),
     )
+    more = {}
+    if previews:
+        more["actual_preview"] = _first_rows(actual.select(*map(named, columns)), by, previews)
+        more["expected_preview"] = _first_rows(expected.select(*map(named, columns)), by, previews)
+    if details:
+        unlike = counts.where("reason = 'content'").select(group_key(by).alias("__of"))
+        rows = _counted(actual, expected, columns, float_digits).withColumn("__of", group_key(by))
+        rows = rows.join(unlike, "__of", "left_semi").drop("__of")
+        more["detail"] = detail_text(_facing_rows(rows, by, rest, POSITIONS_PER_BLOCK), "of")
+    for name, texts in more.items():
+        texts = texts.toDF("__of", name)
+        found = found.withColumn("__of", group_key(by)).join(texts, "__of", "left").drop("__of")
+        if name != "detail":
+            found = found.withColumn(name, F.coalesce(name, F.lit("<empty>")))
+    return found
+
+
+def _first_rows(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """(of, text): per group, its first ``n`` rows as they sort, a JSON object per line. Tasks pass on ``n`` rows of a
+    group at most."""
+    rest = [c for c in df.columns if c not in by]
+    order = [F.asc_nulls_first(named(f.name)) for f in df.schema if f.name in rest and hashable(f.dataType)]
+    place = F.row_number().over(Window.partitionBy(*map(named, by)).orderBy(*(order or [F.lit(0)])))
+    line = F.to_json(F.struct(*map(named, rest)), {"ignoreNullFields": "false"})
+    first = df.withColumn("__place", place).where(F.col("__place") <= n)
+    lines = F.array_sort(F.collect_list(F.struct("__place", line.alias("line"))))
+    texts = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    return first.groupBy(*map(named, by)).agg(texts.alias("text")).select(group_key(by).alias("of"), "text")
 
 
 def differing_columns(
@@ -259,6 +300,11 @@ POSITIONS_PER_BLOCK = 16_384
 
 
 def _differing_by_position(actual, expected, columns, digits, block: int = POSITIONS_PER_BLOCK) -> DataFrame:
+    """Per column, at how many positions of the sorted frames the values differ."""
+    return _facing_rows(_counted(actual, expected, columns, digits), [], columns, block)
+
+
+def _facing_rows(counted: DataFrame, by: Sequence[str], columns: Sequence[str], block: int) -> DataFrame:
     """Both frames are sorted as one: equal rows of either side are merged with their number of copies and cut into
     sorted slices by one range shuffle.
 
@@ -266,21 +312,24 @@ def _differing_by_position(actual, expected, columns, digits, block: int = POSIT
     two intervals are the same face themselves. The intervals of the others are cut at blocks of positions, and a
     sweep over the starts in a block meets every pair of rows that face each other. Values stand for themselves by a
     64-bit hash from the slices on.
+
+    With ``by``, counts are per group. Groups must have as many rows on either side, so that they begin at the same
+    positions and no row faces one of another group.
     """
-    counted = _counted(actual, expected, columns, digits)
-    places = [c for c in counted.columns if c not in ("__a", "__e", "__side")]
     # Rows of types that cannot be equal are told apart by their side.
-    hashes = F.array(*[F.xxhash64(named(c), *(["__side"] if "__side" in counted.columns else [])) for c in places])
-    order = [F.asc_nulls_first(named(c)) for c in places]
+    side = ["__side"] if "__side" in counted.columns else []
+    hashes = F.array(*[F.xxhash64(named(c), *side) for c in columns])
+    order = [F.asc_nulls_first(named(c)) for c in [*by, *columns]]
     sliced = counted.repartitionByRange(*order).sortWithinPartitions(*order)
-    sliced = sliced.select(F.spark_partition_id().alias("slice"), "__a", "__e", hashes.alias("row"))
-    sliced = stage(sliced.mapInArrow(_starts, "slice int, a bigint, n_a bigint, e bigint, n_e bigint, row array<bigint>"), "slices")
+    sliced = sliced.select(F.spark_partition_id().alias("slice"), "__a", "__e", hashes.alias("row"), group_key(by).alias("of"))
+    schema = f"slice int, a bigint, n_a bigint, e bigint, n_e bigint, row array<bigint>, of {dict(sliced.dtypes)['of']}"
+    sliced = stage(sliced.mapInArrow(_starts, schema), "slices")
     # One row per slice: what lies before it.
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.groupBy("slice").agg(F.sum("n_a").alias("n_a"), F.sum("n_e").alias("n_e"))
     totals = totals.select("slice", *[F.coalesce(F.sum(f"n_{s}").over(before), F.lit(0)).alias(f"more_{s}") for s in "ae"])
     placed = sliced.join(totals, "slice").select(
-        (F.col("a") + F.col("more_a")).alias("a"), (F.col("e") + F.col("more_e")).alias("e"), "n_a", "n_e", "row"
+        (F.col("a") + F.col("more_a")).alias("a"), (F.col("e") + F.col("more_e")).alias("e"), "n_a", "n_e", "row", "of"
     )
     moved = placed.where((F.col("a") != F.col("e")) | (F.col("n_a") != F.col("n_e")))
     sides = []
@@ -288,10 +337,10 @@ def _differing_by_position(actual, expected, columns, digits, block: int = POSIT
         start, end = F.col(side), F.col(side) + F.col(f"n_{side}")
         rows = moved.where(F.col(f"n_{side}") > 0).select(
             F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block))).alias("block"),
-            start.alias("start"), end.alias("end"), "row",
+            start.alias("start"), end.alias("end"), "row", "of",
         )
         first, last = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
-        interval = F.struct(last.alias("end"), "row")
+        interval = F.struct(last.alias("end"), "row", "of")
         nothing = F.lit(None)
         sides.append(
             rows.select("block", first.alias("at"), *[(interval if s == side else nothing).alias(s) for s in "ae"])
@@ -314,7 +363,7 @@ def _differing_by_position(actual, expected, columns, digits, block: int = POSIT
     one_sided = F.sum(F.col("either") - F.col("both"))
     unlike = [
         F.sum(F.when(~F.get(F.col("a.row"), i).eqNullSafe(F.get(F.col("e.row"), i)), F.col("both")).otherwise(0))
-        for i in range(len(places))
+        for i in range(len(columns))
     ]
     counts = F.array(
         *[
@@ -322,10 +371,13 @@ def _differing_by_position(actual, expected, columns, digits, block: int = POSIT
                 F.lit(i).cast("long").alias("position"), F.lit(c).alias("column"),
                 F.coalesce(one_sided + n, F.lit(0)).alias("n_different"),
             )
-            for i, (c, n) in enumerate(zip(places, unlike), 1)
+            for i, (c, n) in enumerate(zip(columns, unlike), 1)
         ]
     )
-    return swept.agg(counts.alias("counts")).select(F.inline("counts"))
+    if not by:
+        return swept.agg(counts.alias("counts")).select(F.inline("counts"))
+    groups = swept.where("either > 0").groupBy(F.coalesce("a.of", "e.of").alias("of")).agg(counts.alias("counts"))
+    return groups.select("of", F.inline("counts"))
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +390,7 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made[name] = pa.array(so_far[side] + np.cumsum(copies) - copies)
             made[f"n_{name}"] = batch.column(side)
             so_far[side] += int(copies.sum())
-        yield pa.RecordBatch.from_pydict({**made, "row": batch.column("row")})
+        yield pa.RecordBatch.from_pydict({**made, "row": batch.column("row"), "of": batch.column("of")})
 
 
 def _differing_by_key(actual, expected, keys, columns, digits) -> DataFrame:
@@ -387,12 +439,13 @@ def _count_differences(paired: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.inline("counts"))
 
 
-def detail_text(differences: DataFrame) -> DataFrame:
-    """One line that names the differing columns, in their order; empty if none differ."""
+def detail_text(differences: DataFrame, by: str | None = None) -> DataFrame:
+    """One line that names the differing columns, in their order; empty if none differ. With ``by``, a line for each
+    value of that column with a difference."""
     named = differences.where(F.col("n_different") > 0)
     in_order = F.sort_array(F.collect_list(F.struct("position", "column")))
     joined = F.array_join(F.transform(in_order, lambda c: F.concat(F.lit("'"), c["column"], F.lit("'"))), ", ")
-    return named.agg(
+    return named.groupBy(*([by] if by else [])).agg(
         F.when(F.count(F.lit(1)) > 0, F.concat(F.lit("columns with differing values: ["), joined, F.lit("]")))
         .otherwise("")
         .alias("detail")

@@ -218,3 +218,28 @@ def test_positions_in_one_range_pass(spark):
     assert [tuple(r) for r in found.orderBy("position").collect()] == [(1, "id", 0), (2, "s", 1)]
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and "rangepartitioning" not in text  # the slices have been written
+
+
+def test_many_runs_with_previews_and_details(spark):
+    schema = "run string, x int, y string"
+    expected = [("a", i, "u") for i in range(5)] + [("b", i, "v") for i in range(4)] + [(None, 1, None), ("d", 1, "w"), ("e", 1, "w")]
+    actual = [("a", i, "u") for i in range(5)] + [("b", i if i != 2 else 9, "v") for i in range(4)]
+    actual += [(None, 1, "z"), ("d", 1, "w"), ("d", 1, "w"), ("f", 2, "w")]
+    frames = [spark.createDataFrame(rows, schema).repartition(3) for rows in (actual, expected)]
+    found = {r.run: r for r in compare_by(*frames, ["run"], previews=2, details=True).collect()}
+    assert {k: r.reason for k, r in found.items()} == {
+        "a": "match", "b": "content", None: "content", "d": "row_count", "e": "empty_actual", "f": "row_count",
+    }
+    assert {k: r.detail for k, r in found.items() if r.detail} == {
+        "b": "columns with differing values: ['x']", None: "columns with differing values: ['y']",
+    }
+    assert found["e"].actual_preview == found["f"].expected_preview == "<empty>"
+    assert found["b"].actual_preview == '{"x":0,"y":"v"}\n{"x":1,"y":"v"}'
+    assert found[None].expected_preview == '{"x":1,"y":null}'
+
+
+def test_details_of_a_run_with_most_rows(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, id % 7, 100) AS run", "id AS x", "id % 5 AS y")
+    other = rows.withColumn("y", F.expr("if(x = 7, 9, y)"))
+    judged = compare_by(other, rows, ["run"], previews=2, details=True)
+    assert {r.run: r.detail for r in judged.collect() if r.detail} == {100: "columns with differing values: ['y']"}
