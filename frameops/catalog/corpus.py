@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frameops.catalog import relational  # noqa: F401  (registers the queries recorded here)
 from frameops.catalog.registry import QUERIES, query
-from frameops.corpus import build, errors, prompts, screen
+from frameops.corpus import build, errors, prompts, references, screen
 from frameops.session import scratch_path
 from frameops.sources.tables import load_tables
 
@@ -92,6 +92,39 @@ def unknown_columns(t):
     return codes.select("p_partkey", stray.alias("unknown"))
 
 
+# Code whose names are texts of one word: bare names, either quotes, names inside comments, names used too early.
+_REFERRING = (
+    "'result = part.sort(''p_size'').select(\"p_name\", ''size_' || p_size || ''')'",
+    "'result = part.group_by([''p_brand'']).agg(pl.col(''p_size'').max().alias(''top'')).sort(''top'') # pl.col(\"no_' || p_size || '\")'",
+    "'# part.select(''no_such'')' || chr(10) || 'result = part.unique(subset=[\"p_type\", \"kind_' || p_size % 3 || '\"])'",
+    "'result = part.filter(pl.col(\"twice\") > ' || p_size || ').with_columns((pl.col(''p_size'') * 2).alias(''twice''))'",
+    "'result = part.with_columns((pl.col(''p_size'') * 2).alias(''twice'')).filter(pl.col(\"twice\") > ' || p_size || ')'",
+)
+
+
+@query(
+    f"""WITH codes AS (SELECT p_partkey, {_pick(_REFERRING)} AS code FROM part),
+bare AS (SELECT p_partkey, regexp_replace(code, '#[^\\n]*', '', 'g') AS code FROM codes),
+words AS (SELECT p_partkey, unnest(regexp_extract_all(code, '(?:alias\\()?["''][a-z_0-9]+["'']')) AS word,
+  generate_subscripts(regexp_extract_all(code, '(?:alias\\()?["''][a-z_0-9]+["'']'), 1) AS nth FROM bare),
+named AS (SELECT p_partkey, nth, starts_with(word, 'alias(') AS given, regexp_extract(word, '["'']([a-z_0-9]+)', 1) AS name FROM words),
+strays AS (SELECT p_partkey, arg_min(name, nth) AS name FROM named n WHERE NOT given
+  AND name NOT IN ({', '.join(f"'{c}'" for c in _PART_COLUMNS)})
+  AND NOT EXISTS (SELECT 1 FROM named g WHERE g.p_partkey = n.p_partkey AND g.given AND g.name = n.name AND g.nth < n.nth)
+  GROUP BY p_partkey)
+SELECT p_partkey, len(regexp_extract_all(code, '["''][a-z_0-9]+["'']')) AS n_names, name AS unknown
+FROM bare LEFT JOIN strays USING (p_partkey)"""
+)
+def unknown_references(t):
+    """Names in code of any form of call, checked in the order in which the code runs."""
+    codes = t.part.select("p_partkey", references.code_facts(F.expr(_pick(_REFERRING))).alias("facts"))
+    known = F.array(*[F.lit(c) for c in _PART_COLUMNS])
+    return codes.select(
+        "p_partkey", F.size("facts.names").cast("long").alias("n_names"),
+        references.unknown_reference(F.col("facts"), known).alias("unknown"),
+    )
+
+
 def _reason_sql(case):
     text, pattern, unknown, parses = case
     if text.startswith("'  '"):
