@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from frameops.catalog.registry import query
 from frameops.functions.types import struct_type
+from frameops.jobs import rows_of_jobs
 from frameops.session import scratch_path
 from frameops.sources import records
 from frameops.sources.export import export_databases
-from frameops.sources.sqltext import execute_sql
+from frameops.sources.audit import RefusedError
+from frameops.sources.sqltext import execute_sql, private_session, query_frame
 from frameops.sources.tables import (
     load_database,
     load_expected,
@@ -128,3 +131,42 @@ def sql_text_error(t):
     return t.customer.agg(F.count(F.lit(1)).alias("n")).select(
         "n", F.lit(outcome.success).alias("success"), F.lit(outcome.error.split(":")[0]).alias("error")
     )
+
+
+# A text per nation: plain queries, and some that ask for more.
+_ASKED = (
+    "'SELECT count(*) AS n FROM customer WHERE c_nationkey = ' || n_nationkey",
+    "'SELECT reflect(''java.lang.System'', ''getProperty'', ''user.name'') FROM nation WHERE n_nationkey = ' || n_nationkey",
+    "'SELECT TRANSFORM (n_name) USING ''cat'' AS (x) FROM nation LIMIT ' || n_nationkey",
+    "'SELECT * FROM parquet.`/data/' || n_name || '` t'",
+    "'WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = ' || n_nationkey || ') SELECT count(*) FROM c'",
+    "'SELECT count(*) FROM supplier WHERE s_nationkey = ' || n_nationkey",
+    "'DROP TABLE nation_' || n_nationkey",
+)
+
+
+@query(
+    "WITH texts AS (SELECT n_nationkey, CASE n_nationkey % 7 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_ASKED))
+    + """ END AS sql FROM nation)
+SELECT n_nationkey, CASE WHEN sql LIKE '%reflect(%' THEN 'function reflect' WHEN sql LIKE '%TRANSFORM%' THEN 'node ScriptTransformation'
+  WHEN sql LIKE '%parquet.%' THEN 'relation parquet.' || regexp_extract(sql, '`(.*)`', 1)
+  WHEN sql LIKE '% supplier %' THEN 'relation supplier' WHEN sql NOT LIKE 'SELECT%' AND sql NOT LIKE 'WITH%' THEN 'no query' END AS refused,
+  CASE WHEN sql LIKE '%customer%' THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS n
+FROM texts""")
+def audited_sql(t):
+    """Texts with what was refused of them, and the results of those that were run."""
+    sql = "CASE n_nationkey % 7 " + " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(_ASKED)) + " END"
+    session = private_session(t.spark)
+    for name in ("customer", "nation"):
+        session.read.parquet(f"{t.folder}/{name}.parquet").createOrReplaceTempView(name)
+
+    def work(row):
+        try:
+            return row["n_nationkey"], None, query_frame(session, row["sql"], ("customer", "nation")).first()[0]
+        except RefusedError as error:
+            return row["n_nationkey"], str(error), None
+        except ParseException:
+            return row["n_nationkey"], "no query", None
+
+    texts = t.nation.select("n_nationkey", F.expr(sql).alias("sql")).orderBy("n_nationkey").toLocalIterator()
+    return rows_of_jobs(t.spark, texts, work, "n_nationkey int, refused string, n bigint", 4)

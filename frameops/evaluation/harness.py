@@ -61,8 +61,8 @@ def evaluate_sql(
     """Results of SQL answers, ready for the reports.
 
     ``answers`` has the columns of ``ANSWER_SCHEMA``; ``load(session, table)`` reads a
-    table. An answer must be a query and sees the tables its record names, no files by
-    path. With ``outputs``, the rows of each answer that runs are kept as
+    table. An answer must be a plain query over the tables its record names: one that asks
+    for programs, files by path or unlisted functions (see ``sources.audit``) does not run. With ``outputs``, the rows of each answer that runs are kept as
     ``<outputs>/<id>.parquet``. With ``resume``, outcomes are kept in a log, and answers
     that have one there, for the tables as they are, do not run again.
     """
@@ -73,7 +73,7 @@ def evaluate_sql(
         session.conf.set("spark.sql.runSQLOnFiles", "false")
         for name in row["tables"]:
             load(session, name).createOrReplaceTempView(name)
-        return query_frame(session, row["answer"])
+        return query_frame(session, row["answer"], row["tables"])
 
     chosen = answers.select("id", "tables", "answer", "generation_error")
     outcomes = _run(chosen, frame, expected, at_once, outputs, resume, "sql", load)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from frameops.jobs import QUERY_ERRORS, error_text
 from frameops.session import RUNTIME_SETTINGS, stage
+from frameops.sources.audit import RefusedError, refused
 
 
 @dataclass
@@ -28,9 +29,13 @@ def private_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def query_frame(session: SparkSession, sql: str) -> DataFrame:
-    """The frame of a SQL text that must be a query; commands are a parse error and do not run."""
-    session._jsparkSession.sessionState().sqlParser().parseQuery(sql)
+def query_frame(
+    session: SparkSession, sql: str, tables: Iterable[str] | None = None, functions: Iterable[str] = ()
+) -> DataFrame:
+    """The frame of a SQL text that must be a plain query over ``tables`` (any, if not given). Commands are a parse
+    error; whatever else :func:`refused` finds is an error too, and nothing of the text runs."""
+    if found := refused(session, sql, tables, functions):
+        raise RefusedError("; ".join(found))
     return session.sql(sql)
 
 

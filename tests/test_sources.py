@@ -7,7 +7,7 @@ from conftest import DATA
 from helpers import rows_of
 from pyspark.sql import functions as F
 
-from frameops.sources import records
+from frameops.sources import audit, records
 from frameops.sources.export import export_databases, export_tables
 from frameops.sources.sqltext import execute_sql
 from frameops.sources.tables import load_database, load_expected, load_tables, row_counts, table_names, write_frame
@@ -119,3 +119,27 @@ def test_sql_puts_hidden_views_back(spark):
     assert execute_sql(spark, "SELECT count(*) AS n FROM mine", {"mine": spark.range(7)}).result.first().n == 7
     assert spark.table("mine").count() == 1
     spark.catalog.dropTempView("mine")
+
+
+@pytest.mark.parametrize("sql,found", [
+    ("SELECT a, sum(b) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t", []),
+    ("SELECT a, CASE WHEN b IN (1, 2) THEN 'x' END, b::string, t.c.d, a[0], -b, b % 2, x -> x FROM t WHERE a LIKE 'x%'", []),
+    ("SELECT * FROM (SELECT a FROM t UNION ALL SELECT a FROM t EXCEPT SELECT 1) s LATERAL VIEW explode(array(1)) e AS v", []),
+    ("WITH c AS (SELECT 1 AS a) SELECT c.a, count(DISTINCT t.a) FROM c JOIN t ON c.a = t.a GROUP BY 1 HAVING count(*) > 1 LIMIT 3", []),
+    ("SELECT (SELECT max(a) FROM u) FROM t WHERE EXISTS (SELECT java_method('x', 'y') FROM t)", ["function java_method", "relation u"]),
+    ("SELECT input_file_name(), current_user() FROM t", ["function input_file_name", "function current_user"]),
+    ("SELECT * FROM db.t", ["relation db.t"]),
+    ("SELECT * FROM csv.`/etc/passwd`", ["relation csv./etc/passwd"]),
+    ("SELECT * FROM range(3)", []),
+    ("SELECT MAP(a) USING 'sh' AS x FROM t", None),
+])
+def test_audit_of_texts(spark, sql, found):
+    if found is None:
+        assert "node ScriptTransformation" in audit.refused(spark, "SELECT TRANSFORM(a) USING 'sh' AS x FROM t", ["t"])
+    else:
+        assert sorted(audit.refused(spark, sql, ["t"])) == sorted(found)
+
+
+def test_own_functions_can_be_admitted(spark):
+    assert audit.refused(spark, "SELECT my_sum(a) FROM t") == ["function my_sum"]
+    assert audit.refused(spark, "SELECT my_sum(a) FROM t", functions=["MY_SUM"]) == []
