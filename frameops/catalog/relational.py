@@ -12,6 +12,7 @@ from frameops.functions import scalar as fn
 from frameops.operators import frame as op
 from frameops.operators.joins import join
 from frameops.operators.ranking import aggregate_over, number_rows, rank, top_per_group
+from frameops.session import stage
 
 
 def _days(first: str, last: str) -> tuple[dt.date, dt.date]:
@@ -411,6 +412,25 @@ def users_and_kinds(t):
     return op.aggregate(kept, users=agg.agg_n_unique("user_id"), kinds=agg.agg_n_unique("event_type"))
 
 
+@query(
+    "SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT user_id) AS users, true AS within"
+    " FROM events GROUP BY event_type",
+    "events",
+)
+def distinct_users_rolled_up(t):
+    """Users per kind of event from sketches kept per kind and day, against the exact count."""
+    daily = t.events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(
+        agg.agg_distinct_sketch("user_id").alias("users")
+    )
+    daily = stage(daily, "daily-users")
+    rolled = daily.groupBy("event_type").agg(F.count("*").alias("days"), agg.agg_merged_sketch("users").alias("sketch"))
+    exact = t.events.groupBy("event_type").agg(agg.agg_n_unique("user_id").alias("users"))
+    off = F.abs(agg.distinct_estimate("sketch") - F.col("users"))
+    return exact.join(rolled, "event_type").select(
+        "event_type", "days", "users", (off <= agg.SKETCH_ERROR * F.col("users")).alias("within")
+    )
+
+
 @query(
     "SELECT source, count(DISTINCT quality) + CAST(coalesce(bool_or(quality IS NULL), false) AS INTEGER) AS n_unique,"
     " count(quality) AS n_labelled, count(*) AS n_rows, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS n_toxic"

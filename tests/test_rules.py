@@ -246,3 +246,15 @@ def test_schema_shapes_are_brought_to_one():
     assert normalise_tables({"t": {"x": "Int64"}}) == wanted
     assert normalise_tables({"t": {"columns": {"x": "Int64"}, "n_rows": 3}})[0]["n_rows"] == 3
     assert normalise_tables({"t": ["x"]})[0]["columns"] == [{"name": "x", "dtype": "Utf8"}]
+
+
+def test_sketches_of_distinct_values_merge(spark):
+    rows = [("a", None), ("a", 1), ("a", 1), ("b", None), ("b", None), ("c", 1), ("c", 2)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    daily = df.groupBy("k").agg(agg.agg_distinct_sketch("v").alias("s"))
+    assert {r.k: r.n for r in daily.select("k", agg.distinct_estimate("s").alias("n")).collect()} == {"a": 2, "b": 1, "c": 2}
+    assert daily.agg(agg.distinct_estimate(agg.agg_merged_sketch("s")).alias("n")).first().n == 3
+    assert daily.limit(0).agg(agg.distinct_estimate(agg.agg_merged_sketch("s")).alias("n")).first().n == 0
+    many = spark.range(200_000).selectExpr("id % 10 AS k", "cast(id % 90000 AS string) AS v").groupBy("k")
+    total = many.agg(agg.agg_distinct_sketch("v").alias("s")).agg(agg.distinct_estimate(agg.agg_merged_sketch("s")).alias("n"))
+    assert abs(total.first().n - 90_000) <= agg.SKETCH_ERROR * 90_000
