@@ -15,7 +15,7 @@ no comparison. Signatures decide which pairs are worth it, shingle sets whether
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -33,8 +33,6 @@ from frameops.session import shuffle_partitions, stage
 SETS_AT_ONCE = 16_384
 # Rows of a bucket that one task compares.
 BLOCK = 4_096
-# Sets of a family that a task holds at a time; pairs of two such blocks are checked together.
-TOGETHER = 512
 
 
 @dataclass(frozen=True)
@@ -257,11 +255,13 @@ def _sizes_fit(a: str, b: str, s: Settings) -> Column:
     return s.similar[1] * F.least(a, b) >= s.similar[0] * F.greatest(a, b)
 
 
-def remaining_pairs(members: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK) -> DataFrame:
-    """(u, v): all pairs of sets of different groups that share a bucket, near enough, each pair once.
+ROW = "key bigint, part bigint, own int, sid bigint, label bigint, n bigint, sig binary"
 
-    Buckets of one group are left out. A bucket of more than ``block`` sets is cut into blocks, and each pair of those
-    is compared by itself.
+
+def open_buckets(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The sets of buckets with several groups, as ``ROW``.
+
+    A bucket of more than ``block`` sets is cut into blocks, and each pair of those is compared by itself.
     """
     sizes = members.groupBy("key").agg(
         F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -272,14 +272,16 @@ def remaining_pairs(members: DataFrame, sets: DataFrame, s: Settings, block: int
     own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     pairs = F.expr("transform(sequence(0, parts - 1), j -> cast(least(own, j) as bigint) * parts + greatest(own, j))")
     rows = rows.withColumn("own", own).withColumn("part", F.explode(pairs))
-    columns = ["key", "part", "own", "sid", "label", "n", "sig"]
-    rows = rows.select(*columns).repartition(shuffle_partitions(members.sparkSession), "key", "part")
-    rows = rows.sortWithinPartitions("key", "part", "own", "sid")
+    return rows.select("key", "part", "own", "sid", "label", "n", "sig")
+
 
-    def batches(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def per_bucket(rows: DataFrame, work: Callable[[list[pa.RecordBatch]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the rows of every bucket, or pair of blocks."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         of = None
-        for some in batches_:
+        for some in parts:
             key, part = (some.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
@@ -287,62 +289,104 @@ def remaining_pairs(members: DataFrame, sets: DataFrame, s: Settings, block: int
                     continue
                 if (key[a], part[a]) != of:
                     if held:
-                        yield compare(held)
+                        yield work(held)
                     held, of = [], (key[a], part[a])
                 held.append(some.slice(a, b - a))
         if held:
-            yield compare(held)
+            yield work(held)
+
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "part")
+    return rows.sortWithinPartitions("key", "part", "own", "sid").mapInArrow(batches, schema)
 
+
+def near_pairs(held: list[pa.RecordBatch], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of sets of different groups that are near enough, in the rows of one bucket, the nearest of
+    some thousand first. A pair is met once in all buckets: by the first of its shared keys."""
     kept = s.kept
+    key, _, own, _, label, n = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in range(6))
+    sigs = np.concatenate([sig_array(x.column(6), s.symbols) for x in held])
+    two = own[0] != own[-1]  # a pair of blocks: rows of one against those of the other
+    left = np.flatnonzero(own == own[0]) if two else np.arange(len(own))
+    right = np.flatnonzero(own != own[0]) if two else left
+    mine = int(key[0]) >> (8 * len(kept[0]))
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        low, high = np.minimum(n[some][:, None], n[right]), np.maximum(n[some][:, None], n[right])
+        fit = (label[some][:, None] != label[right]) & (s.similar[1] * low >= s.similar[0] * high)
+        if not two:
+            fit &= some[:, None] < right
+        i, j = np.nonzero(fit)
+        for cut in range(0, len(i), 1 << 18):
+            a, b = some[i[cut : cut + (1 << 18)]], right[j[cut : cut + (1 << 18)]]
+            off = sigs[a] != sigs[b]
+            away = off.sum(axis=1)
+            near = np.flatnonzero(away <= s.most)
+            for earlier in kept[:mine]:
+                near = near[off[np.ix_(near, earlier)].any(axis=1)]
+            near = near[np.argsort(away[near], kind="stable")]
+            if len(near):
+                yield a[near], b[near]
+
+
+def sets_in_question(rows: DataFrame, s: Settings) -> DataFrame:
+    """The rows of sets that have a near pair in their bucket: at most those there are, however many pairs."""
+
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        some = np.zeros(sum(x.num_rows for x in held), dtype=bool)
+        for a, b in near_pairs(held, s):
+            some[a] = some[b] = True
+        whole = pa.Table.from_batches(held).filter(pa.array(some)).combine_chunks().to_batches()
+        return whole[0] if whole else held[0].slice(0, 0)
+
+    return per_bucket(rows, work, ROW)
+
+
+def bucket_links(rows: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): links between groups, from rows with their ``text``. Of a bucket's groups that are linked, enough links
+    to join them; pairs of groups that are joined already are not looked at."""
+
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sid, label = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in (3, 4))
+        texts = [t for x in held for t in x.column(7).to_pylist()]
+        sets: list = [None] * len(texts)
+        of = dict.fromkeys(label.tolist())
+        root = {x: x for x in of}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def set_of(i: int) -> np.ndarray:
+            if sets[i] is None:
+                sets[i] = shingle_set(texts[i], s.words)
+            return sets[i]
 
-    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        key, _, own, sid, label, n = (
-            np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in range(6)
-        )
-        sigs = np.concatenate([sig_array(x.column(6), s.symbols) for x in held])
-        two = own[0] != own[-1]  # a pair of blocks: rows of one against those of the other
-        left = np.flatnonzero(own == own[0]) if two else np.arange(len(sid))
-        right = np.flatnonzero(own != own[0]) if two else left
-        mine = int(key[0]) >> (8 * len(kept[0]))
         found = []
-        for at in range(0, len(left), 64):
-            some = left[at : at + 64]
-            low, high = np.minimum(n[some][:, None], n[right]), np.maximum(n[some][:, None], n[right])
-            fit = (label[some][:, None] != label[right]) & (s.similar[1] * low >= s.similar[0] * high)
-            if not two:
-                fit &= some[:, None] < right
-            i, j = np.nonzero(fit)
-            for cut in range(0, len(i), 1 << 18):
-                a, b = some[i[cut : cut + (1 << 18)]], right[j[cut : cut + (1 << 18)]]
-                off = sigs[a] != sigs[b]
-                near = np.flatnonzero(off.sum(axis=1) <= s.most)
-                # The pair is found once: by the first of its shared keys.
-                for earlier in kept[:mine]:
-                    near = near[off[np.ix_(near, earlier)].any(axis=1)]
-                found.append((sid[a[near]], sid[b[near]]))
-        pairs = [np.concatenate([f[x] for f in found]) if found else np.empty(0, np.int64) for x in range(2)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["u", "v"])
-
-    return rows.mapInArrow(batches, "u bigint, v bigint")
-
-
-class Confirm:
-    """Candidate pairs against the full sets. Texts are fetched once, only of sets that are in some candidate pair.
-
-    Sets that may be alike are in one family, and a family is cut into blocks. All pairs of two blocks are checked
-    together, so a text is sent once for all its pairs with a block, not with every pair.
-    """
+        for some in near_pairs(held, s):
+            for i, j in zip(*(x.tolist() for x in some), strict=True):
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a != b and similar(set_of(i), set_of(j), s):
+                    root[a] = b
+                    found.append((int(sid[i]), int(sid[j])))
+        return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)], ["u", "v"])
+
+    return per_bucket(rows, work, "u bigint, v bigint")
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, s: Settings, together: int = TOGETHER) -> None:
-        self.docs, self.sets, self.s, self.together = docs, sets, s, together
-        self.texts = self.blocks = None
 
-    def _fetch(self, sids: DataFrame) -> None:
-        if self.texts is not None:
-            sids = sids.join(self.texts.select("sid"), "sid", "left_anti")
+class Texts:
+    """Texts of sets, one for each, fetched once and only of sets that are in some candidate pair."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, s: Settings) -> None:
+        self.docs, self.sets, self.s, self.known = docs, sets, s, None
+
+    def of(self, sids: DataFrame) -> DataFrame:
+        """(sid, text) of these sets, and of others."""
+        if self.known is not None:
+            sids = sids.join(self.known.select("sid"), "sid", "left_anti")
         wanted = stage(self.sets.join(sids, "sid").select("sid", "least", "mark", "digest"), "wanted")
-        if not wanted.take(1):
-            return
+        if self.known is not None and not wanted.take(1):
+            return self.known
         # An id may have several texts, and texts may have no id.
         same = F.col("doc_id").eqNullSafe(F.col("least")) & (F.xxhash64("text") == F.col("mark"))
         words, rows = self.s.words, self.docs.join(wanted, same)
@@ -355,73 +399,50 @@ class Confirm:
 
         found = rows.select("sid", "text", "digest").mapInArrow(batches, "sid bigint, text string")
         found = stage(found.groupBy("sid").agg(F.first("text").alias("text")), "texts")
-        self.texts = found if self.texts is None else self.texts.unionAll(found)
-
-    def families(self, labels: DataFrame) -> None:
-        """Sets with one label are a family from now on; others are families by themselves."""
-        sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / self.together).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-        self.blocks = stage(labels.join(sizes, "label").select("sid", F.struct("label", part.alias("part")).alias("block")), "blocks")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that are links."""
-        pairs = stage(pairs, "pairs")
-        self._fetch(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct())
-        if self.texts is None:
-            return pairs
-        alone = lambda c: F.struct(F.col(c).alias("label"), F.lit(0).alias("part"))
-        for c in "uv":
-            block = self.blocks.select(F.col("sid").alias(c), F.col("block").alias(f"of_{c}"))
-            pairs = pairs.join(block, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", alone(c)))
-        work = F.struct(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b")).alias("work")
-        pairs = stage(pairs.select(work, "u", "v"), "work")
-        wanted = pairs.select("work", F.explode(F.array("u", "v")).alias("u")).distinct()
-        texts = wanted.join(self.texts.withColumnRenamed("sid", "u"), "u")
-        rows = texts.select("work", "u", F.lit(None).cast("bigint").alias("v"), "text").unionAll(
-            pairs.select("work", "u", "v", F.lit(None).cast("string").alias("text"))
-        )
-        rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "work")
-        rows = rows.sortWithinPartitions("work", F.asc_nulls_first("v")).select(F.xxhash64("work").alias("work"), "u", "v", "text")
-        s = self.s
+        self.known = found if self.known is None else self.known.unionAll(found)
+        return self.known
 
-        def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, sets = None, {}
-            for part in parts:
-                found = []
-                for work, u, v, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    if work != of:
-                        of, sets = work, {}
-                    if v is None:
-                        sets[u] = shingle_set(text, s.words)
-                    elif similar(sets[u], sets[v], s):
-                        found.append((u, v))
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
-
-        return stage(rows.mapInArrow(batches, "u bigint, v bigint"), "links")
-
-
-def roots(parents: DataFrame) -> DataFrame:
-    """(sid, label): the end of each set's chain of parents (u, v), by pointer jumping. Parents form no circle."""
-    labels = stage(parents.toDF("sid", "label"), "parents")
-    while True:
-        up = labels.select(F.col("sid").alias("label"), F.col("label").alias("up"))
-        further = labels.join(up, "label", "left")
-        labels = stage(further.select("sid", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), "labels")
-        moved, labels = labels.filter("moved").take(1), labels.select("sid", "label")
-        if not moved:
-            return labels
-
-
-def set_groups(docs: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+
+def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (u, v) that are links by their full sets."""
+    text = lambda c: texts.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (None, None)
+        for part in parts:
+            keep = []
+            for v, a, b in zip(*(part.column(c).to_pylist() for c in ("v", "text_u", "text_v")), strict=True):
+                if v != held[0]:  # a pivot has many pairs, one after the other
+                    held = (v, shingle_set(b, s.words))
+                keep.append(similar(shingle_set(a, s.words), held[1], s))
+            some = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(some) for c in ("u", "v")], ["u", "v"])
+
+    joined = pairs.join(text("u"), "u").join(text("v"), "v")
+    return stage(joined.select("u", "v", "text_u", "text_v").mapInArrow(batches, "u bigint, v bigint"), "links")
+
+
+def ancestors(parents: DataFrame, jumps: int = 2) -> DataFrame:
+    """(sid, label): what each set's chain of parents (u, v) leads to, ``2 ** jumps`` steps away or at its end."""
+    labels = parents.toDF("sid", "label")
+    for _ in range(jumps):
+        up = labels.toDF("label", "up")
+        labels = labels.join(up, "label", "left").select("sid", F.coalesce("up", "label").alias("label"))
+    return stage(labels, "labels")
+
+
+def set_groups(docs: DataFrame, sets: DataFrame, s: Settings, block: int = BLOCK) -> DataFrame:
     """(sid, label): for every set that is linked with another the group it is in."""
     members = stage(buckets(sets, s), "buckets")
     near = stage(pivot_pairs(members, sets, s), "near-pivots")
-    confirm = Confirm(docs, sets, s, together)
+    texts = Texts(docs, sets, s)
+    links = confirmed(near, texts.of(near.select(F.explode(F.array("u", "v")).alias("sid")).distinct()), s)
     # A pivot is before its bucket in one order of all sets, so one pivot for each set makes trees.
-    confirm.families(roots(first_of(near)))
-    labels = roots(first_of(confirm.links(near)))
+    labels = ancestors(first_of(links))
     known = members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    links = confirm.links(remaining_pairs(stage(known, "labelled"), sets, s, block).distinct())
+    rows = stage(sets_in_question(open_buckets(stage(known, "labelled"), sets, block), s), "in-question")
+    links = bucket_links(rows.join(texts.of(rows.select("sid").distinct()), "sid").select(*rows.columns, "text"), s)
+    links = stage(links.distinct(), "links")
     if not links.take(1):
         return labels
     for c in ("u", "v"):
@@ -439,7 +460,6 @@ def near_duplicates(
     text_col: str = "text",
     settings: Settings = Settings(),
     block: int = BLOCK,
-    together: int = TOGETHER,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``, repeated rows included.
 
@@ -455,7 +475,7 @@ def near_duplicates(
     sets = rows.filter("n > 0").groupBy("digest").agg(first.alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     sets = sets.select("digest", "first.least", "first.mark", "n", "sig", F.monotonically_increasing_id().alias("sid"))
     sets = stage(sets, "sets")
-    labels = set_groups(id_and_text(docs, id_col, text_col), sets, settings, block, together)
+    labels = set_groups(id_and_text(docs, id_col, text_col), sets, settings, block)
     of = sets.join(labels, "sid", "left").select("digest", "least", F.coalesce("label", "sid").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     of = stage(of.join(least, "label").select("digest", "component_id"), "components")
