@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -20,6 +21,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòó
 EDGE, OTHER = 0, len(LETTERS) + 1  # a word's edge, and any letter outside the alphabet
 SIZE = len(LETTERS) + 2
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
+BYTE_CODES = bytes(CODE.get(chr(i), EDGE) for i in range(256))
 
 # The letters that a sign commonly stands for.
 LEET = {
@@ -42,6 +44,7 @@ NOISE = re.compile(rf"{SIGNS.pattern}|{DOUBLE.pattern}")
 NUMBER = re.compile(r"[+$€£(|]*\d+(?:[.,:/+\-*=()|]+\d+)*[$€£+!|)]?")
 HEX = re.compile(r"(?=.*\d)[0-9a-f-]{16,}")
 NO_LETTERS = re.compile(r"[0-9@$!|+(€£¡]{3,}")
+BETWEEN_PARTS = re.compile(r"[^\w@$!|+(€£¡]+|_+")
 OUTER = ".,;:?\"'()[]{}<>“”„«»…"
 # Signs of OUTER that may also be a letter, by where they stand as punctuation.
 OPENING, CLOSING = "(¡", "!"
@@ -74,6 +77,31 @@ def trigram_counts(words: Counter) -> np.ndarray:
     return counts
 
 
+def text_trigrams(texts: Iterable[str], block: int = 1 << 20) -> np.ndarray:
+    """``trigram_counts`` of all words of texts, by arrays of about ``block`` letters, a longer text in pieces."""
+    counts, held, size = np.zeros(SIZE**3, dtype=np.int64), [], 0
+
+    def add() -> None:
+        # A letter is one byte of Latin-1; all else becomes an edge.
+        signs = "\n".join(["", "", *held, ""]).lower().encode("latin-1", "replace")
+        codes = np.frombuffer(signs.translate(BYTE_CODES), dtype=np.uint8)
+        for at in range(0, len(codes) - 2, block):
+            a, b, c = (codes[at + k : min(at + block, len(codes) - 2) + k] for k in range(3))
+            # What stands before an edge is no part of the word.
+            grams = (a * (b != EDGE)).astype(np.int32)
+            counts[:] += np.bincount((grams * SIZE + b) * SIZE + c, minlength=SIZE**3)
+
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= block:
+            add()
+            held, size = [], 0
+    add()
+    counts[EDGE] = 0  # edges after edges are no trigrams
+    return counts
+
+
 class LetterModel:
     """Costs (negative log probabilities) of a letter after two others, smoothed with pairs and singles."""
 
@@ -91,7 +119,7 @@ def is_gap(sign: str) -> bool:
 
 def parts_of(core: str) -> list[str]:
     """The stretches of letters and signs that stand for letters."""
-    return [p for p in re.split(r"[^\w@$!|+(€£¡]+|_+", core) if p]
+    return [p for p in BETWEEN_PARTS.split(core) if p]
 
 
 @dataclass

@@ -7,8 +7,6 @@ most ``Fit.rows``, those with the smallest hash of the id; everything else cover
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from frameops.llm.common import id_and_text
 from frameops.llm.deobfuscate import (
     NOISE,
+    OUTER,
     SIGNS,
     SIZE,
     WORD,
@@ -27,14 +26,14 @@ from frameops.llm.deobfuscate import (
     LetterModel,
     Restorer,
     parts_of,
-    trigram_counts,
+    text_trigrams,
 )
 from frameops.session import stage
 
 THRESHOLD = 0.7
-LONGEST_KEPT = 64  # characters of a run of signs that is remembered
+LONGEST_KEPT, MOST_KEPT = 64, 400_000  # characters of a run of signs that is remembered, and such runs in a task
 PREFIXES = (3, 4, 5, 6)
-EQUAL = re.compile(r"(.)\1+")
+LENGTHS = range(1, PREFIXES[-1] + 1)  # of a beginning with every letter once
 
 
 @dataclass(frozen=True)
@@ -57,14 +56,9 @@ def letter_counts(texts: DataFrame) -> np.ndarray:
     """Trigram counts of ``texts.text``, over all rows. At most ``SIZE ** 3`` counts come back, whatever the input."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words = np.zeros(SIZE**3, dtype=np.int64), Counter()
+        counts = np.zeros(SIZE**3, dtype=np.int64)
         for part in parts:
-            for text in part.column(0).to_pylist():
-                words.update(WORD.findall(text.lower()))
-                if len(words) > 200_000:
-                    counts += trigram_counts(words)
-                    words.clear()
-        counts += trigram_counts(words)
+            counts += text_trigrams(part.column(0).to_pylist())
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["gram", "n"])
 
@@ -75,11 +69,25 @@ def letter_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+def once(word: str) -> str:
+    """A word with every letter that is repeated once."""
+    return "".join([a for a, b in zip(word, word[1:] + " ", strict=False) if a != b])
+
+
 def features_of(word: str) -> list[str]:
     """A word, and its beginnings."""
     return [word, *(word[:k] + "*" for k in PREFIXES if k < len(word))]
 
 
+def features_in(restorer: Restorer, text: str) -> set[str]:
+    """The features of a text's restored words."""
+    groups, tokens = restorer.split(text)
+    words = {word for group in groups for word in group}
+    words.update(*map(restorer.token, set(tokens)))
+    starts = ({word[:k] for word in words if k < len(word)} for k in PREFIXES)
+    return words.union(*({start + "*" for start in same} for same in starts))
+
+
 @dataclass
 class Model:
     letters: LetterModel
@@ -90,33 +98,54 @@ class Model:
     def scorer(self):
         """A function from a text to its score, for one task."""
         restorer, weights = Restorer(self.letters, self.channel), self.weights
-        # How words with a feature begin, and how they do with every letter once.
-        starts = {f[:3] for f in weights}
-        bare = {EQUAL.sub(r"\1", f.rstrip("*")[:3]) for f in weights}
-        plain: set[str] = set()  # noisy runs of signs without a feature, as nearly all are
+        whole, stems = {f for f in weights if f[-1:] != "*"}, {f[:-1] for f in weights if f[-1:] == "*"}
+        # How words with a feature begin: five letters, or all of a shorter beginning.
+        starts, short = {f[:5] for f in whole | stems}, {f for f in stems if len(f) < 5}
+        # The same with every letter once.
+        bare, bare_whole, bare_stems = {once(f[:3]) for f in whole | stems}, set(map(once, whole)), set(map(once, stems))
+        # Runs of signs seen before: those without a feature, as nearly all are, and the features of the others.
+        plain: set[str] = set()
+        marked: dict[str, list[str]] = {}
 
         def useful(words: Iterable[str]) -> list[str]:
-            return [f for word in words if word[:3] in starts for f in features_of(word) if f in weights]
+            found = []
+            for word in words:
+                if word[:5] in starts or word[:4] in short or word[:3] in short:
+                    found += [f for f in features_of(word) if f in weights]
+            return found
 
         def may_be(token: str) -> bool:
             """Whether a run whose only noise are repeated letters, which restoring takes out, can have a feature."""
-            words = (EQUAL.sub(r"\1", part) for part in parts_of(token))
-            return any(word[:n] in bare for word in words for n in (1, 2, 3))
+            parts = parts_of(token)
+            words = [once(part) for part in parts]
+            if not any(word[:3] in bare or word[:2] in bare or word[:1] in bare for word in words):
+                return False
+            if not all(map(WORD.fullmatch, parts)):
+                return True
+            return any(w in bare_whole or not bare_stems.isdisjoint([w[:n] for n in LENGTHS]) for w in words)
+
+        def features(token: str) -> list[str]:
+            if not NOISE.search(token):
+                core = token.strip(OUTER)
+                return useful([core] if core.isascii() and core.isalpha() else WORD.findall(core))
+            return useful(restorer.decoded(token)) if SIGNS.search(token) or may_be(token) else []
 
         def score(text: str) -> float:
             groups, tokens = restorer.split(text)
             found = {f for group in groups for f in useful(group)}
-            new = set(tokens)
-            noisy = {token for token in new if NOISE.search(token)}
-            found.update(useful(set(WORD.findall(" ".join(new - noisy)))))
-            for token in noisy - plain:
-                some = useful(restorer.decoded(token)) if SIGNS.search(token) or may_be(token) else []
-                if some:
-                    found.update(some)
-                elif len(token) <= LONGEST_KEPT:
-                    if len(plain) >= restorer.most:
-                        plain.clear()
-                    plain.add(token)
+            for token in set(tokens) - plain:
+                some = marked.get(token)
+                if some is None:
+                    some = features(token)
+                    if len(token) <= LONGEST_KEPT:
+                        if len(plain) + len(marked) >= MOST_KEPT:
+                            plain.clear()
+                            marked.clear()
+                        if some:
+                            marked[token] = some
+                        else:
+                            plain.add(token)
+                found.update(some)
             return float(1 / (1 + np.exp(-np.clip(self.bias + sum(weights[f] for f in sorted(found)), -50, 50))))
 
         return score
@@ -183,10 +212,7 @@ def fit_toxicity(
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(letters, channel)
         for part in parts:
-            found = []
-            for text in part.column("text").to_pylist():
-                words = {w for group in set(restorer.words(text)) for w in group}
-                found.append(sorted({f for w in words for f in features_of(w)}))
+            found = [list(features_in(restorer, text)) for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("y"), pa.array(found, pa.list_(pa.string()))], ["y", "features"]
             )
@@ -210,7 +236,7 @@ def fit_toxicity(
 
     def numbered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            numbers = [[index[f] for f in row if f in index] for row in part.column("features").to_pylist()]
+            numbers = [sorted(index[f] for f in row if f in index) for row in part.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(numbers, pa.list_(pa.int64()))], ["y", "at"])
 
     data = sorted((r["y"], r["at"]) for r in marked.mapInArrow(numbered, "y int, at array<bigint>").collect())
